@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 _WORD = re.compile(WORD)
 #: White space to str.split() that isn't white space to WORD.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(_UPPER, _LOWER)
 #: A key counts as hot if it has this many rows, and more than one in HOT_SHARE of all rows.
@@ -92,3 +94,72 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, spread: str, how: str
     left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [on, "_salt"], how).drop("_salt")
+
+
+#: Cells of a bitmap that bitmap_construct_agg() makes at a time, and the largest bitmap: 2**29 cells are 64 MB, whatever the input.
+BLOCK, MAX_CELLS = 32768, 1 << 29
+
+
+def bitmap(hashes: DataFrame, column: str, rows: int, a_row: int = 16) -> np.ndarray:
+    """A one-function Bloom filter of a column of 64-bit hashes, as bytes on the driver, for in_bitmap().
+
+    It has a power of two of cells, about `a_row` for each of `rows`, MAX_CELLS at most; a filter too small lets more
+    hashes through, never fewer.
+    """
+    cells = BLOCK
+    while cells < min(rows * a_row, MAX_CELLS):
+        cells *= 2
+    cell = F.col(column).bitwiseAND(F.lit(cells - 1))
+    blocks = hashes.select(cell.alias("cell")).groupBy(F.expr(f"cell div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.col("cell") % BLOCK).alias("bits"))
+    out = np.zeros(cells // 8, np.uint8)
+    for row in blocks.collect():
+        part = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[row["block"] * (BLOCK // 8) :][: BLOCK // 8] = part[: len(out)]
+    return out
+
+
+def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes.astype(np.int64) & (len(bits) * 8 - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 != 0
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash; a worker remembers a bounded number."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_hashes = WordHashes()
+
+
+def word_hashes(found: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit integers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
+
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words: polynomials, joined by doubling, then mixed."""
+    if len(words) < k:
+        return np.zeros(0, np.uint64)
+    base, done, out, power = 0x9E3779B97F4A7C15, 0, None, words
+    size = 1
+    while True:
+        if k & size:
+            n = len(words) - done - size + 1
+            shifted = power[done : done + n]
+            out = shifted.copy() if out is None else out[:n] * np.uint64(pow(base, size, 1 << 64)) + shifted
+            done += size
+        if done == k:
+            return mixed(out)
+        power = power[:-size] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
+        size *= 2

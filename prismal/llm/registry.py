@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, packing, piece_bpe, quality_rules, toxicity, wavelet
-from .common import documents
+from . import exact_dedup, jaccard_join, license_scan, line_dedup, packing, piece_bpe, quality_rules, substring_dedup, toxicity, wavelet
+from .common import WORD, documents
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), 1)
+    digest = F.sha2(F.array_join("kept", " "), 256).alias("kept_sha256")
+    return found.withColumn("kept", kept).select("doc_id", (F.size("kept") + F.col("n_removed")).alias("n_words"), "n_removed", digest)
+
+
 def op6_wavelet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digests(wavelet.write_shards(documents(spark, sf_dir)))
 
@@ -46,9 +53,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_exact_dedup, op6_wavelet_files, op7_toxicity, op8_line_dedup, op10_sentencepiece)}
-ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_wavelet_files, op7_toxicity, op8_line_dedup, op9_jaccard_join, op10_sentencepiece)}
+ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
