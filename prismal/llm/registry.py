@@ -61,5 +61,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_wavelet_files, op7_toxicity, op8_line_dedup, op9_jaccard_join, op10_sentencepiece)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_best_fit_packing, op3_quality_rules, op4_exact_dedup, op5_substring_dedup, op6_wavelet_files, op7_toxicity, op8_line_dedup, op9_jaccard_join, op10_sentencepiece, pipeline)}
 ORACLES = {"op4_exact_dedup": exact_dedup.ORACLE_SQL, "op5_substring_dedup": substring_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op9_jaccard_join": jaccard_join.ORACLE_SQL}
