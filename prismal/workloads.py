@@ -1,4 +1,487 @@
-"""Named queries over the driver tables and their DuckDB counterparts."""
+"""Named queries over the driver tables and their DuckDB counterparts.
 
-QUERIES = {}
-ORACLES = {}
+The image cube of most of them is made of `embeddings`: ix = vec_id div 20, iy = vec_id % 20, iw = position,
+wavelength = 400 + 10 * iw.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import geo, geodesy, image, track
+from .functions.bins import BinAxis, BinGrid
+from .operators.dataset import FDataset, Nested, rgb_at
+from .plans.query import run_query
+from .sinks import image as image_sink
+from .sources import generator, granules
+from .sources.catalog import Catalog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+_PIXEL = "CAST(vec_id // 20 AS BIGINT) AS ix, CAST(vec_id % 20 AS BIGINT) AS iy"
+_CUBE = f"(SELECT {_PIXEL}, CAST(i AS INTEGER) AS iw, CAST(embedding[i + 1] AS DOUBLE) AS radiance FROM embeddings, range(64) AS r(i))"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark, sf_dir, name, domain, range_) -> FDataset:
+    return FDataset(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*domain, *range_), domain, range_, name)
+
+
+def _pixels(spark, sf_dir) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return df.select(F.expr("vec_id div 20").alias("ix"), (F.col("vec_id") % 20).alias("iy"), "vec_id", "embedding", "label")
+
+
+def _cube(spark, sf_dir) -> FDataset:
+    """(ix, iy) -> iw -> radiance."""
+    samples = F.transform("embedding", lambda v, i: F.struct(i.alias("iw"), v.cast("double").alias("radiance")))
+    return FDataset(_pixels(spark, sf_dir).select("ix", "iy", samples.alias("samples")), ["ix", "iy"], [], "cube", Nested("samples", ["iw"], ["radiance"]))
+
+
+def _spectra(spark, sf_dir) -> FDataset:
+    """(ix, iy) -> wavelength -> radiance."""
+    samples = F.transform("embedding", lambda v, i: F.struct((F.lit(400.0) + i * 10).alias("wavelength"), v.cast("double").alias("radiance")))
+    return FDataset(_pixels(spark, sf_dir).select("ix", "iy", samples.alias("samples")), ["ix", "iy"], [], "spectra", Nested("samples", ["wavelength"], ["radiance"]))
+
+
+def _rgb(spark, sf_dir) -> FDataset:
+    px = _pixels(spark, sf_dir)
+    return FDataset(px.select("ix", "iy", *[c.alias(n) for n, c in rgb_at("embedding", (5, 20, 40)).items()]), ["ix", "iy"], ["r", "g", "b"], "rgb")
+
+
+# Filters
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity > 45 AND l_discount <= 0.02")
+def select_range(spark, sf_dir):
+    ds = _table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount"])
+    return ds.select("l_quantity > 45").select("l_discount <= 0.02").df
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 100 AND o_orderstatus <> 'F' AND o_totalprice < 100000 AND o_orderkey <> 133")
+def select_ops(spark, sf_dir):
+    ds = _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
+    for text in ("o_orderkey >= 100", "o_orderstatus != F", "o_totalprice<100000", "o_orderkey!=133"):
+        ds = ds.select(text)
+    return ds.df
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, 'red .*')")
+def select_regex(spark, sf_dir):
+    return _table(spark, sf_dir, "part", ["p_partkey"], ["p_name"]).select("p_name =~ red .*").df
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT regexp_full_match(p_name, 'red .*')")
+def select_not_regex(spark, sf_dir):
+    return _table(spark, sf_dir, "part", ["p_partkey"], ["p_name"]).select("p_name !=~ red .*").df
+
+
+@query("SELECT event_id, value FROM events WHERE value = (SELECT value FROM events ORDER BY abs(value - 100), value LIMIT 1)")
+def select_nearest(spark, sf_dir):
+    return _table(spark, sf_dir, "events", ["event_id"], ["value"]).select("value ~ 100").df
+
+
+@query(f"SELECT * FROM {_CUBE} WHERE iw IN (3, 17, 42)")
+def contains(spark, sf_dir):
+    return _cube(spark, sf_dir).uncurry().contains("iw", 3, 17, 42).df
+
+
+@query(f"SELECT {_PIXEL}, label FROM embeddings WHERE (vec_id // 20) % 3 = 0 AND vec_id % 20 % 5 = 0")
+def stride_index(spark, sf_dir):
+    return FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"]).stride(3, 5).df
+
+
+@query("WITH r AS (SELECT s_suppkey, s_acctbal, dense_rank() OVER (ORDER BY s_acctbal) - 1 AS k FROM supplier) SELECT s_acctbal, s_suppkey FROM r WHERE k % 4 = 0")
+def stride_ranked(spark, sf_dir):
+    return _table(spark, sf_dir, "supplier", ["s_acctbal"], ["s_suppkey"]).stride(4, index=False).df
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def project(spark, sf_dir):
+    return _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).project("o_totalprice").df
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 10")
+def take_drop(spark, sf_dir):
+    return _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_totalprice"]).drop(10).take(20).df
+
+
+@query("SELECT ts, event_id, value FROM events ORDER BY ts LIMIT 25")
+def ordered(spark, sf_dir):
+    return _table(spark, sf_dir, "events", ["ts"], ["event_id", "value"]).ordered().take(25).df
+
+
+# Lists of granules
+
+
+@query("SELECT CAST(i AS INTEGER) AS ix, printf('/data/img%04d.txt', i + 1) AS uri FROM range(0, 4200, 42) AS r(i)")
+def granule_list(spark, sf_dir):
+    return granules.numbered(spark, "/data", stride=42).df
+
+
+@query("SELECT * FROM (VALUES (1.0::DOUBLE, 'f.nc!/low#(0,0:2029:5,0:1353:5)'), (13.5::DOUBLE, 'f.nc!/high#(2,0:2029:5,0:1353:5)')) AS t(band, uri)")
+def section_list(spark, sf_dir):
+    return granules.sections(spark, "f.nc", [(1, "low", 0), (13.5, "high", 2)], stride=5).df
+
+
+@query("SELECT row_number() OVER (ORDER BY key) - 1 AS index, key, regexp_extract(key, 'x/(\\w+)-(\\d+)', 1) AS kind, regexp_extract(key, 'x/(\\w+)-(\\d+)', 2) AS num FROM (SELECT DISTINCT printf('x/%s-%03d', event_type, user_id) AS key FROM events WHERE user_id < 500)")
+def key_listing(spark, sf_dir):
+    keys = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 500").select(F.format_string("x/%s-%03d", "event_type", "user_id").alias("path")).distinct()
+    return granules.from_listing(keys, r"x/(?<kind>\w+)-(?<num>\d+)", "x/").df
+
+
+# Restructuring
+
+
+@query(f"SELECT * FROM {_CUBE}")
+def uncurry(spark, sf_dir):
+    return _cube(spark, sf_dir).uncurry().df
+
+
+@query("SELECT user_id, count(*) AS n, arg_min(value, event_id) AS head, arg_max(value, event_id) AS tail FROM events GROUP BY user_id")
+def curry(spark, sf_dir):
+    ds = _table(spark, sf_dir, "events", ["user_id", "event_id"], ["value"]).curry(1)
+    s = F.col("samples")
+    return ds.df.select("user_id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0))["value"].alias("head"), F.get(s, F.size(s) - 1)["value"].alias("tail"))
+
+
+@query(f"SELECT iw, iy, ix, radiance FROM {_CUBE} WHERE iw < 4")
+def group_by_variable(spark, sf_dir):
+    return _cube(spark, sf_dir).uncurry().select("iw < 4").group_by_variable("iw", "iy", "ix").df
+
+
+@query(f"SELECT iw, count(*) AS n, arg_min(radiance, ix * 20 + iy) AS head, arg_max(radiance, ix * 20 + iy) AS tail FROM {_CUBE} GROUP BY iw")
+def transpose(spark, sf_dir):
+    s = F.col("samples")
+    df = _cube(spark, sf_dir).transpose().df
+    return df.select("iw", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0))["radiance"].alias("head"), F.get(s, F.size(s) - 1)["radiance"].alias("tail"))
+
+
+_RGB_SQL = f"SELECT {_PIXEL}, CAST(embedding[6] AS DOUBLE) AS r, CAST(embedding[21] AS DOUBLE) AS g, CAST(embedding[41] AS DOUBLE) AS b FROM embeddings"
+
+
+@query(_RGB_SQL)
+def rgb_pivot(spark, sf_dir):
+    return _cube(spark, sf_dir).rgb_pivot(5, 20, 40).df
+
+
+@query(_RGB_SQL)
+def rgb_extract(spark, sf_dir):
+    return _rgb(spark, sf_dir).df
+
+
+@query(_RGB_SQL)
+def rgb_compose(spark, sf_dir):
+    return _spectra(spark, sf_dir).make_rgb(450.0, 600.0, 800.0).df
+
+
+@query(_RGB_SQL)
+def rgb_flat(spark, sf_dir):
+    return _spectra(spark, sf_dir).uncurry().make_rgb(450.0, 600.0, 800.0).df
+
+
+@query(f"SELECT {_PIXEL}, true AS missing FROM embeddings")
+def rgb_missing(spark, sf_dir):
+    df = _spectra(spark, sf_dir).make_rgb(450.0, 600.0, 801.0).df
+    return df.select("ix", "iy", (F.isnan("r") & F.isnan("g") & F.isnan("b")).alias("missing"))
+
+
+# Combining functions
+
+
+@query(f"SELECT ix, iy, CAST(400 + 10 * iw AS DOUBLE) AS wavelength, radiance FROM {_CUBE} WHERE iw < 60")
+def substitute_table(spark, sf_dir):
+    table = FDataset(spark.range(60).select(F.col("id").cast("int").alias("iw"), (F.col("id") * 10.0 + 400.0).alias("wavelength")), ["iw"], ["wavelength"])
+    return _cube(spark, sf_dir).uncurry().substitute(table).df
+
+
+@query("SELECT o_custkey, l_linenumber, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def substitute_orders(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_custkey"]).rename_variable("o_orderkey", "l_orderkey")
+    return _table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"], ["l_quantity"]).substitute(orders).df
+
+
+@query("SELECT round(0.92167 * (vec_id // 20), 6) AS x, round(12.358 * (239.5 - vec_id % 20), 6) AS y, label FROM embeddings".replace("0.92167", "0.92167::DOUBLE").replace("12.358", "12.358::DOUBLE"))
+def substitute_xy(spark, sf_dir):
+    df = FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"]).xy_transform().df
+    return df.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "label")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 77")
+def eval_point(spark, sf_dir):
+    return _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_totalprice"]).eval(77).df
+
+
+@query("SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > 0")
+def natural_join(spark, sf_dir):
+    a = _table(spark, sf_dir, "customer", ["c_custkey"], ["c_acctbal"]).select("c_acctbal > 0")
+    return a.natural_join(_table(spark, sf_dir, "customer", ["c_custkey"], ["c_mktsegment"])).df
+
+
+_PLACES = "(SELECT event_type, i * 31.5 + 0.25 AS place FROM (SELECT DISTINCT event_type FROM events), range(20) AS r(i))"
+
+
+def _places(spark, sf_dir):
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct()
+    return kinds.select("event_type", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i")).select("event_type", (F.col("i") * 31.5 + 0.25).alias("place"))
+
+
+@query(f"WITH p AS {_PLACES} SELECT event_type, CAST(place AS DOUBLE) AS place, value FROM (SELECT p.event_type, place, value, row_number() OVER (PARTITION BY p.event_type, place ORDER BY abs(event_id - place), event_id) AS k FROM p JOIN events USING (event_type)) WHERE k = 1")
+def nearest_eval(spark, sf_dir):
+    return _table(spark, sf_dir, "events", ["event_type", "event_id"], ["value"]).nearest(_places(spark, sf_dir), "place").df
+
+
+@query(
+    f"""WITH p AS {_PLACES}, n AS (SELECT p.event_type, CAST(place AS DOUBLE) AS place,
+    max(event_id) FILTER (WHERE event_id <= place) AS x0, arg_max(value, event_id) FILTER (WHERE event_id <= place) AS v0,
+    min(event_id) FILTER (WHERE event_id >= place) AS x1, arg_min(value, event_id) FILTER (WHERE event_id >= place) AS v1
+    FROM p JOIN events USING (event_type) GROUP BY ALL)
+    SELECT event_type, place, round(v0 + (place - x0) / (x1 - x0) * (v1 - v0), 6) AS value FROM n"""
+)
+def linear_eval(spark, sf_dir):
+    df = _table(spark, sf_dir, "events", ["event_type", "event_id"], ["value"]).linear(_places(spark, sf_dir), "place").df
+    return df.select("event_type", "place", F.round("value", 6).alias("value"))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def union_all(spark, sf_dir):
+    return _both(spark, sf_dir, False)
+
+
+@query("SELECT DISTINCT n_regionkey AS key FROM nation UNION SELECT r_regionkey FROM region")
+def union_distinct(spark, sf_dir):
+    a = _table(spark, sf_dir, "nation", ["n_regionkey"], []).rename_variable("n_regionkey", "key")
+    return a.union(_table(spark, sf_dir, "region", ["r_regionkey"], []).rename_variable("r_regionkey", "key"), distinct=True).df
+
+
+def _both(spark, sf_dir, distinct):
+    a = _table(spark, sf_dir, "nation", ["n_nationkey"], ["n_name"]).rename_variable("n_nationkey", "key").rename_variable("n_name", "name")
+    b = _table(spark, sf_dir, "region", ["r_regionkey"], ["r_name"]).rename_variable("r_regionkey", "key").rename_variable("r_name", "name")
+    return a.union(b, distinct).df
+
+
+# Gridding
+
+_HEAD = BinGrid((BinAxis(0.0, 25.0, 20), BinAxis(0.0, 10.0, 50)))
+_IN_HEAD = "value >= 0 AND value < 500 AND user_id >= 0 AND user_id < 500"
+
+
+@query(f"SELECT v * 25.0::DOUBLE AS value, u * 10.0::DOUBLE AS user_id, event_id FROM (SELECT floor(value / 25) AS v, floor(user_id / 10) AS u, event_id, row_number() OVER (PARTITION BY floor(value / 25), floor(user_id / 10) ORDER BY value, user_id, event_id) AS k FROM events WHERE {_IN_HEAD}) WHERE k = 1")
+def resample_head(spark, sf_dir):
+    return _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"]).resample(_HEAD).df
+
+
+@query(f"SELECT floor(value / 25) * 25.0::DOUBLE AS value, floor(user_id / 10) * 10.0::DOUBLE AS user_id, count(*) AS n, max(event_id) AS last_id FROM events WHERE {_IN_HEAD} GROUP BY floor(value / 25) * 25.0::DOUBLE, floor(user_id / 10) * 10.0::DOUBLE")
+def group_by_bin(spark, sf_dir):
+    ds = _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"])
+    return ds.group_by_bin(_HEAD, {"n": F.count(F.lit(1)), "last_id": F.max("event_id")}).df
+
+
+@query("SELECT x * 4.0::DOUBLE AS ix, y * 3.0::DOUBLE AS iy, label, vec_id FROM (SELECT (vec_id // 20) // 4 AS x, (vec_id % 20) // 3 AS y, label, vec_id, row_number() OVER (PARTITION BY (vec_id // 20) // 4, (vec_id % 20) // 3 ORDER BY (vec_id // 20 % 4 - 2.0) * (vec_id // 20 % 4 - 2.0) + (vec_id % 20 % 3 - 1.5) * (vec_id % 20 % 3 - 1.5), vec_id // 20, vec_id % 20) AS k FROM embeddings WHERE vec_id // 20 < 24 AND vec_id % 20 < 18) WHERE k = 1")
+def resample_nearest(spark, sf_dir):
+    ds = FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label", "vec_id"), ["ix", "iy"], ["label", "vec_id"])
+    return ds.nearest_in_bin(BinGrid((BinAxis(0, 4, 6), BinAxis(0, 3, 6)))).df
+
+
+@query("SELECT round(-108.27::DOUBLE + (i // 4) * 0.01875::DOUBLE, 9) AS lon, round(34.68::DOUBLE + (i % 4) * 0.02::DOUBLE, 9) AS lat FROM range(16) AS r(i)")
+def geo_grid(spark, sf_dir):
+    # Extents that give 4 x 4 nodes.
+    df = BinGrid.of_shape((-108.27, 34.68), (-108.195, 34.76), (4, 4)).table(spark, ["lon", "lat"])
+    return df.select(F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+_GEO = """(SELECT vec_id, x, y, rs * cos(x) * cos(y) AS sx, -rs * sin(x) AS sy, rs * cos(x) * sin(y) AS sz FROM (
+  SELECT *, (42164160.0::DOUBLE * cos(x) * cos(y) - sqrt(greatest(d, 0))) / a AS rs FROM (
+    SELECT *, (42164160.0::DOUBLE * cos(x) * cos(y)) ** 2 - a * (42164160.0::DOUBLE ** 2 - 6378137.0::DOUBLE ** 2) AS d FROM (
+      SELECT vec_id, x, y, sin(x) ** 2 + cos(x) ** 2 * (cos(y) ** 2 + (6378137.0::DOUBLE / 6356752.31414::DOUBLE) ** 2 * sin(y) ** 2) AS a FROM (
+        SELECT vec_id, (vec_id // 20 - 12) * 0.005::DOUBLE AS x, (vec_id % 20 - 10) * 0.01::DOUBLE AS y FROM embeddings WHERE vec_id < 500)))  WHERE d >= 0))"""
+_LON, _LAT = "degrees(-1.308996939::DOUBLE - atan(sy / (42164160.0::DOUBLE - sx)))", "degrees(atan((6378137.0::DOUBLE / 6356752.31414::DOUBLE) ** 2 * sz / sqrt((42164160.0::DOUBLE - sx) ** 2 + sy ** 2)))"
+
+
+def _fixed_grid(spark, sf_dir) -> FDataset:
+    px = _pixels(spark, sf_dir).filter("vec_id < 500")
+    return FDataset(px.select(((F.col("ix") - 12) * 0.005).alias("x"), ((F.col("iy") - 10) * 0.01).alias("y"), "vec_id"), ["x", "y"], ["vec_id"], "fixed")
+
+
+@query(f"SELECT vec_id, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat FROM {_GEO}")
+def grid_to_geo(spark, sf_dir):
+    df = _fixed_grid(spark, sf_dir).substitute_by(["x", "y"], ["lon", "lat"], geo.grid_to_geo).filter("not isnan(lon) and not isnan(lat)").df
+    return df.select("vec_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query(f"SELECT floor((lon + 105) / 6) * 6.0::DOUBLE - 105 AS lon, floor((lat + 60) / 12) * 12.0::DOUBLE - 60 AS lat, count(*) AS n FROM (SELECT {_LON} AS lon, {_LAT} AS lat FROM {_GEO}) WHERE lon >= -105 AND lon < -45 AND lat >= -60 AND lat < 60 GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY ALL"))
+def geo_subset(spark, sf_dir):
+    ds = _fixed_grid(spark, sf_dir).substitute_by(["x", "y"], ["lon", "lat"], geo.grid_to_geo, once=True)
+    return ds.group_by_bin(BinGrid.of_shape((-105.0, -60.0), (-45.0, 60.0), (10, 10)), {"n": F.count(F.lit(1))}).df
+
+
+@query(f"SELECT iw, ix // 5 * 5.0::DOUBLE AS ix, iy // 5 * 5.0::DOUBLE AS iy, arg_min(radiance, ix * 20 + iy) AS radiance FROM {_CUBE} WHERE ix < 25 AND iw < 8 GROUP BY iw, ix // 5 * 5.0::DOUBLE, iy // 5 * 5.0::DOUBLE")
+def image_resample(spark, sf_dir):
+    by_band = _cube(spark, sf_dir).uncurry().select("iw < 8").group_by_variable("iw", "ix", "iy")
+    return by_band.resample_range(BinGrid((BinAxis(0, 5, 5), BinAxis(0, 5, 4)))).df
+
+
+@query(f"SELECT x * 5.0::DOUBLE AS ix, y * 5.0::DOUBLE AS iy, label FROM (SELECT (vec_id // 20) // 5 AS x, vec_id % 20 // 5 AS y, arg_min(label, vec_id) AS label FROM embeddings WHERE vec_id < 400 GROUP BY ALL)")
+def bounding_box(spark, sf_dir):
+    ds = FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"])
+    return ds.bounding_box((0.0, 0.0), (20.0, 20.0), 16).df
+
+
+# Intensities and images
+
+
+@query("SELECT round(quantile_cont(value, 0.05), 8) AS p05, round(quantile_cont(value, 0.5), 8) AS p50, round(quantile_cont(value, 0.97), 8) AS p97 FROM (SELECT CAST(value AS DOUBLE) AS value FROM events)")
+def percentiles(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.agg(*[F.round(image.percentile("value", p), 8).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p97", 0.97))])
+
+
+_EDGES = "(SELECT " + ", ".join(f"quantile_cont({c}, 0.03) AS {c}0, quantile_cont({c}, 0.97) AS {c}1" for c in "rgb") + f" FROM ({_RGB_SQL}))"
+_STRETCHED = ", ".join(f"round(greatest(0, least(1, ({c} - {c}0) / ({c}1 - {c}0))), 8) AS {c}" for c in "rgb")
+
+
+@query(f"SELECT ix, iy, {_STRETCHED} FROM ({_RGB_SQL}), {_EDGES}")
+def stretch_rgb(spark, sf_dir):
+    df = image.with_stretch(_rgb(spark, sf_dir).df, ["r", "g", "b"], 0.03)
+    return df.select("ix", "iy", *[F.round(c, 8).alias(c) for c in "rgb"])
+
+
+@query(f"SELECT ix, iy, CAST(trunc(-128 + greatest(0, least(1, (r - lo) / (hi - lo))) * 255) AS TINYINT) AS v FROM ({_RGB_SQL}), (SELECT min(r) AS lo, max(r) AS hi FROM ({_RGB_SQL}))")
+def to_byte(spark, sf_dir):
+    df = _rgb(spark, sf_dir).df
+    edges = df.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
+    return df.crossJoin(F.broadcast(edges)).select("ix", "iy", image.to_byte("r", F.col("lo"), F.col("hi")).alias("v"))
+
+
+@query(f"SELECT ix, iy, CAST(-16777216 + CAST(trunc(greatest(0, least(1, r)) * 255) AS INTEGER) * 65536 + CAST(trunc(greatest(0, least(1, g)) * 255) AS INTEGER) * 256 + CAST(trunc(greatest(0, least(1, b)) * 255) AS INTEGER) AS INTEGER) AS argb FROM ({_RGB_SQL})")
+def packed_argb(spark, sf_dir):
+    return _rgb(spark, sf_dir).df.select("ix", "iy", image.packed_argb(*[image.to_level(c, 0.0, 1.0) for c in "rgb"]).alias("argb"))
+
+
+@query(f"WITH p AS (SELECT * FROM ({_RGB_SQL}) WHERE (ix * 20 + iy) % 11 <> 0) SELECT x.ix, y.iy, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT ix FROM p) x CROSS JOIN (SELECT DISTINCT iy FROM p) y LEFT JOIN p ON p.ix = x.ix AND p.iy = y.iy")
+def image_grid(spark, sf_dir):
+    return image_sink.grid(_rgb(spark, sf_dir).filter("(ix * 20 + iy) % 11 <> 0"))
+
+
+@query("SELECT count(DISTINCT vec_id // 20) AS rows, count(DISTINCT vec_id % 20) AS cols, 1.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, min(vec_id % 20) - 0.5::DOUBLE AS min_lon, min(vec_id // 20) - 0.5::DOUBLE AS min_lat, max(vec_id % 20) + 0.5::DOUBLE AS max_lon, max(vec_id // 20) + 0.5::DOUBLE AS max_lat FROM embeddings")
+def geotiff_extent(spark, sf_dir):
+    return image_sink.geo_extent(_rgb(spark, sf_dir))
+
+
+# Geolocation
+
+_GLOBE = "(SELECT i AS k, (i % 37) * 5.0::DOUBLE - 90 AS lat, (i // 37) * 5.0::DOUBLE - 180 AS lon FROM range(2664) AS r(i))"
+_VIEW = f"""(SELECT *, 42164160.0::DOUBLE - rc * cos(phi) * cos(radians(lon) + 1.308996939::DOUBLE) AS sx, -rc * cos(phi) * sin(radians(lon) + 1.308996939::DOUBLE) AS sy, rc * sin(phi) AS sz FROM (
+  SELECT *, 6356752.31414::DOUBLE / sqrt(1 - 0.0818191910435::DOUBLE ** 2 * cos(phi) ** 2) AS rc FROM (SELECT *, atan(tan(radians(lat)) * (6356752.31414::DOUBLE / 6378137.0::DOUBLE) ** 2) AS phi FROM {_GLOBE})))"""
+_SEEN = "42164160.0::DOUBLE * (42164160.0::DOUBLE - sx) > sy ** 2 + (6378137.0::DOUBLE / 6356752.31414::DOUBLE) ** 2 * sz ** 2"
+
+
+def _globe(spark):
+    return spark.range(2664).select(F.col("id").alias("k"), ((F.col("id") % 37) * 5.0 - 90).alias("lat"), (F.floor(F.col("id") / 37) * 5.0 - 180).alias("lon"))
+
+
+@query(f"SELECT k, {_SEEN} AS visible FROM {_VIEW}")
+def geo_visible(spark, sf_dir):
+    return _globe(spark).select("k", geo.is_visible("lat", "lon").alias("visible"))
+
+
+@query(f"SELECT k, round((0.151844::DOUBLE - atan(sz / sx)) / 5.6e-5::DOUBLE, 4) AS row, round((0.151844::DOUBLE + asin(-sy / sqrt(sx ** 2 + sy ** 2 + sz ** 2))) / 5.6e-5::DOUBLE, 4) AS col FROM {_VIEW} WHERE {_SEEN}")
+def geo_to_index(spark, sf_dir):
+    row, col = geo.geo_to_index("lat", "lon")
+    return _globe(spark).select("k", F.round(row, 4).alias("row"), F.round(col, 4).alias("col")).filter("row is not null")
+
+
+@query(f"SELECT k, round(lat, 6) AS lat, round(lon, 6) AS lon FROM {_VIEW} WHERE {_SEEN} AND abs(lat) < 60 AND abs(lon + 75) < 50")
+def index_to_geo(spark, sf_dir):
+    """There and back again."""
+    row, col = geo.geo_to_index("lat", "lon")
+    there = _globe(spark).filter("abs(lat) < 60 and abs(lon + 75) < 50").select("k", row.alias("row"), col.alias("col")).filter("row is not null")
+    lat, lon = geo.index_to_geo("row", "col")
+    return there.select("k", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+@query("SELECT CAST(i // 109 * 50 AS BIGINT) AS ix, CAST(i % 109 * 50 AS BIGINT) AS iy FROM range(11881) AS r(i) WHERE i // 109 * 50 >= 1061 AND i // 109 * 50 < 2509 AND i % 109 * 50 >= 766 AND i % 109 * 50 < 2179")
+def gbox(spark, sf_dir):
+    # The corners' pixels: column 1061 and row 766, column 2509 and row 2179.
+    px = FDataset(spark.range(11881).select((F.floor(F.col("id") / 109) * 50).alias("ix"), (F.col("id") % 109 * 50).alias("iy")), ["ix", "iy"], [])
+    return px.gbox(*GBOX).df
+
+
+GBOX = (-108.0, 10.0, -80.0, 40.0)
+
+
+@query("SELECT vec_id, round((vec_id // 20) * cos(0.7::DOUBLE) - (vec_id % 20) * sin(0.7::DOUBLE), 8) AS x, round((vec_id // 20) * sin(0.7::DOUBLE) + (vec_id % 20) * cos(0.7::DOUBLE), 8) AS y FROM embeddings")
+def rotate_xy(spark, sf_dir):
+    x, y = geo.rotate(F.col("ix").cast("double"), F.col("iy").cast("double"), 0.7)
+    return _pixels(spark, sf_dir).select("vec_id", F.round(x, 8).alias("x"), F.round(y, 8).alias("y"))
+
+
+@query()
+def geodesic_direct(spark, sf_dir):
+    g = geodesy.scene_index_to_geo(F.col("ix").cast("double"), F.col("iy").cast("double"))
+    return _pixels(spark, sf_dir).select("vec_id", F.round(g["lon"], 9).alias("lon"), F.round(g["lat"], 9).alias("lat"))
+
+
+@query("SELECT vec_id, round(0.92167::DOUBLE * (vec_id // 20), 3) AS x, round(12.358::DOUBLE * (239.5::DOUBLE - vec_id % 20), 3) AS y FROM embeddings")
+def geodesic_inverse(spark, sf_dir):
+    """To longitude and latitude, and back to the scene."""
+    g = geodesy.scene_index_to_geo(F.col("ix").cast("double"), F.col("iy").cast("double"))
+    there = _pixels(spark, sf_dir).select("vec_id", g.alias("g"))
+    x, y = geodesy.geo_to_scene("g.lon", "g.lat")
+    return there.select("vec_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+# Others
+
+
+@query("SELECT CAST(i // 96 AS DOUBLE) AS x, CAST(i // 8 % 12 AS DOUBLE) AS y, CAST(i % 8 AS DOUBLE) AS z, CASE WHEN i // 96 < 5 AND i // 8 % 12 < 6 THEN 3.0 WHEN i // 96 < 5 THEN 2.0 WHEN i // 8 % 12 < 6 THEN 4.0 ELSE 1.0 END::DOUBLE * (CAST(i % 8 AS DOUBLE) / 7.0::DOUBLE) AS value FROM range(960) AS r(i)")
+def cube_generator(spark, sf_dir):
+    return generator.cube(spark, 10, 12, 8, partitions=3).df
+
+
+@query("SELECT event_id, CASE WHEN value >= 100 THEN 9 ELSE CAST(trunc(value / 10) AS INTEGER) END AS part FROM events")
+def range_partition_id(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return df.select("event_id", track.range_partition(F.col("value"), 10, 0.0, 100.0).alias("part"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, (lead(value) OVER w - lag(value) OVER w) / (lead(event_id) OVER w - lag(event_id) OVER w) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+    SELECT user_id, event_id, coalesce(c, lead(c) OVER w, lag(c) OVER w) AS slope FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""
+)
+def track_slope(spark, sf_dir):
+    df = track.slopes(_table(spark, sf_dir, "events", ["user_id", "event_id"], ["value"]), "value").df
+    return df.select("user_id", "event_id", "slope")
+
+
+@query(f"SELECT ix, iy, iw, radiance FROM {_CUBE} WHERE ix < 3 AND iw >= 60")
+def query_string(spark, sf_dir):
+    catalog = Catalog(spark)
+    catalog.register("cube", lambda s: _cube(s, sf_dir))
+    return run_query("/dap/cube.txt?uncurry()&ix%3C3&iw>=60", catalog)[0].df
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def sql_view(spark, sf_dir):
+    FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"]).as_view("prismal_pixels")
+    return spark.sql("SELECT label, count(*) AS n FROM prismal_pixels GROUP BY label")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total, time_bucket(INTERVAL '1 hour', ts) AS ts FROM events GROUP BY ALL")
+def time_bins(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    g = ev.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return g.select("event_type", "n", "total", F.col("window.start").alias("ts"))
