@@ -58,7 +58,11 @@ def shingle_texts(words: Column) -> Column:
 
 def _minima(window: Column) -> Column:
     """A band for each of BANDS hash functions: the least value over the window's shingles."""
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.array_min(F.transform(window, lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias("least")) for k in range(BANDS)])
+
+    def band(k: int) -> Column:
+        return F.struct(F.lit(k).alias("band"), F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k)))).alias("least"))
+
+    return F.array(*[band(k) for k in range(BANDS)])
 
 
 def collision_probability(jaccard: float, bands: int = BANDS) -> float:
