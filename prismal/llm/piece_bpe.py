@@ -17,8 +17,8 @@ DEFAULT_FILE = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Each byte that isn't part of a character decodes to a replacement character of its own.
 codecs.register_error("prismal-each-byte", lambda e: ("\ufffd", e.start + 1))
-#: Parts of texts that a worker remembers.
-CACHE = 300_000
+#: Parts of texts that a worker remembers in each of two generations, and pairs whose compatibility it remembers.
+CACHE, PAIRS = 400_000, 1_000_000
 
 
 def default_path() -> str:
@@ -77,6 +77,8 @@ class PieceEncoder:
         cut = "" if "\n" in self.known else "\n"
         self.parts = re.compile(f"{cut or '(?!)'}|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+")
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.older = self.cache
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, text: str) -> list[int]:
         """Plain BPE of known characters, for pieces and short runs; _last is the last merged pair."""
@@ -112,12 +114,24 @@ class PieceEncoder:
                 until, right = (score[right], -1), b[0]
 
     def _known(self, text: str) -> list[int]:
-        last, lengths = [-1] * (len(text) + 1), [0] * (len(text) + 1)
+        last, lengths, pairs = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.pairs
         for end, (piece, length) in self.automaton.iter(text):
-            if last[end + 1] < 0:
-                start = end + 1 - length
-                if not start or last[start] >= 0 and self.compatible(last[start], piece):
-                    last[end + 1], lengths[end + 1] = piece, length
+            end += 1
+            if last[end] < 0:
+                start = end - length
+                if start:
+                    before = last[start]
+                    if before < 0:
+                        continue
+                    pair = before << 32 | piece
+                    fits = pairs.get(pair)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[pair] = self.compatible(before, piece)
+                    if not fits:
+                        continue
+                last[end], lengths[end] = piece, length
         out, at = [], len(text)
         while at:
             out.append(last[at])
@@ -144,17 +158,20 @@ class PieceEncoder:
         return out + (self._known(run) if run else [])
 
     def _look(self, part: str) -> tuple[int, str, str]:
-        """Number of ids, their decimals with a comma before each, and what they decode to."""
-        found = self.cache.get(part)
+        """Number of ids, their decimals with a comma before each, and what they decode to, for a part that isn't in the cache."""
+        found = self.older.get(part)
         if found is None:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
             ids = self._part(part) if part != "\n" or "\n" in self.known else [self.byte_ids[10]]
-            found = self.cache[part] = len(ids), "".join(f",{i}" for i in ids), self._spell(ids)
+            found = len(ids), "".join([f",{i}" for i in ids]), self._spell(ids)
+        if len(self.cache) >= CACHE:
+            self.older, self.cache = self.cache, {}
+        self.cache[part] = found
         return found
 
     def _parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        return [self._look(p) for p in self.parts.findall(SPACE + text.replace(" ", SPACE))] if text else []
+        if not text:
+            return []
+        return [self.cache.get(p) or self._look(p) for p in self.parts.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self._parts(text) for i in ids[1:].split(",")]
