@@ -108,10 +108,7 @@ def test_resampling_drops_outside_before_the_shuffle(spark):
 
 @settings(max_examples=8, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 9), st.integers(1, 9), st.integers(1, 5))
-def test_cube_has_every_voxel(nx, ny, nz, parts):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
+def test_cube_has_every_voxel(spark, nx, ny, nz, parts):
     assert generator.cube(spark, nx, ny, nz, parts).count() == nx * ny * nz
 
 
