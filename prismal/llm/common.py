@@ -16,7 +16,6 @@ _WORD = re.compile(WORD)
 #: White space to str.split() that isn't white space to WORD.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = str.maketrans(_UPPER, _LOWER)
 #: A key counts as hot if it has this many rows, and more than one in HOT_SHARE of all rows.
 HOT_ROWS, HOT_SHARE, SALTS = 1000, 1000, 32
 
@@ -30,7 +29,7 @@ def words(text: str | None) -> list[str]:
 
 def fold(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_FOLD)
+    return text.encode().lower().decode()  # bytes know ASCII letters only
 
 
 def folded(text: Column) -> Column:

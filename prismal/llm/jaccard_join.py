@@ -88,25 +88,28 @@ def _fold_sketch(shingles: np.ndarray) -> list[int]:
     return sketch(shingles, 4).astype(np.int64).tolist()
 
 
-def _pairs(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows (set ids, size, fold sketch) may link: sizes, and bits that differ, allow it."""
-    na, nb = left[:, None, 2], right[None, :, 2]
-    differing = sum(np.bitwise_count((left[:, None, c] ^ right[None, :, c]).view(np.uint64)).astype(np.int64) for c in range(3, 7))
+def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows (set ids, size, fold sketch), along the last axis, may link: sizes, and bits that differ, allow it."""
+    na, nb = a[..., 2], b[..., 2]
+    differing = sum(np.bitwise_count((a[..., c] ^ b[..., c]).view(np.uint64)).astype(np.int64) for c in range(3, 7))
     fits = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (differing <= (100 - PERCENT) * (na + nb) // (100 + PERCENT))
-    return np.nonzero(fits & ((left[:, None, 0] != right[None, :, 0]) | (left[:, None, 1] != right[None, :, 1])))
+    return fits & ((a[..., 0] != b[..., 0]) | (a[..., 1] != b[..., 1]))
 
 
-_PAIR = "a0 long, a1 long, b0 long, b1 long"
+_PAIR = "a0 long, a1 long, b0 long, b1 long, star long"
 
 
-def _ordered(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+def _ordered(a: np.ndarray, b: np.ndarray, star) -> pd.DataFrame:
     swap = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
     low, high = np.where(swap[:, None], b[:, :2], a[:, :2]), np.where(swap[:, None], a[:, :2], b[:, :2])
-    return pd.DataFrame(np.concatenate([low, high], 1), columns=["a0", "a1", "b0", "b1"]).drop_duplicates()
+    return pd.DataFrame(np.concatenate([low, high], 1), columns=["a0", "a1", "b0", "b1"]).assign(star=np.broadcast_to(np.asarray(star, np.int64), len(a)))
 
 
 def _cold_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs that share a segment which isn't hot: HOT rows at most have it, which are compared with each other where they meet."""
+    """Pairs that share a segment which isn't hot: HOT rows at most have it, which are compared with each other where they meet.
+
+    star is 1 if one of the pair has the least set id there; most groups of near copies have the same one in most segments.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = pd.DataFrame()
@@ -118,22 +121,23 @@ def _cold_pairs(rows: DataFrame) -> DataFrame:
         yield compare(rest)
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 4), np.int64)]
-        if len(held):
-            keys, values = held.key.to_numpy(), held[_SELF].to_numpy(np.int64)
-            starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1 if keys[0] > -(1 << 62) else keys[0] + 1))
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if b - a > 1:
-                    i, j = _pairs(values[a:b], values[a:b])
-                    if (i < j).any():
-                        found.append(_ordered(values[a:b][i[i < j]], values[a:b][j[i < j]]).to_numpy())
-        return pd.DataFrame(np.concatenate(found), columns=["a0", "a1", "b0", "b1"]).drop_duplicates()
+        found = [np.zeros((0, 5), np.int64)]
+        keys, values = (held.key.to_numpy(), held[_SELF].to_numpy(np.int64)) if len(held) else (np.zeros(0, np.int64), np.zeros((0, 7), np.int64))
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        for step in range(1, len(keys)):  # rows of a key stand side by side, so at most HOT steps
+            at = np.flatnonzero(keys[step:] == keys[:-step])
+            if not len(at):
+                break
+            at = at[_may_link(values[at], values[at + step])]
+            found.append(_ordered(values[at], values[at + step], first[at]).to_numpy())
+        pairs = pd.DataFrame(np.concatenate(found), columns=["a0", "a1", "b0", "b1", "star"])
+        return pairs.groupby(["a0", "a1", "b0", "b1"], as_index=False).star.max() if len(pairs) else pairs
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(run, _PAIR)
+    return rows.repartition("key").sortWithinPartitions("key", "s0", "s1").mapInPandas(run, _PAIR)
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a0", "a1", "b0", "b1").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    return pairs.groupBy("a0", "a1", "b0", "b1").agg(F.max("star").alias("star"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,59 +191,64 @@ class _Search:
         small_batches(self.spark)
 
     def members(self) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                sets = [shingle_set(t) for t in b.text]
-                ids = [set_id(s) if len(s) else (None, None) for s in sets]
-                yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(s) for s in sets], "s0": pd.array([i[0] for i in ids], "Int64"), "s1": pd.array([i[1] for i in ids], "Int64")})
-
-        return materialize(self.docs.mapInPandas(run, "doc_id long, n long, s0 long, s1 long"), "members")
-
-    def segments(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bitmaps of segments that two rows have at least, and of hot ones."""
+        """What the search needs of every document, in one pass over the texts: set id and size, fold sketch, and the segment keys of each band."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                keys = [k for t in b.text if len(s := shingle_set(t)) for _, k in segment_keys(s)]
-                yield pd.DataFrame({"key": np.concatenate([np.zeros(0, np.uint64), *keys]).astype(np.int64)})
-
-        counts = materialize(self.docs.mapInPandas(run, "key long").groupBy("key").count().filter("count > 1"), "segments")
+                rows = []
+                for doc_id, text in zip(b.doc_id, b.text, strict=True):
+                    s = shingle_set(text)
+                    if len(s):
+                        bands = segment_keys(s)
+                        keys = np.concatenate([k for _, k in bands]).astype(np.int64)
+                        rows.append((doc_id, len(s), *set_id(s), *_fold_sketch(s), keys, [len(k) for _, k in bands], [d for d, _ in bands]))
+                    else:
+                        rows.append((doc_id, 0, *[None] * 6, [], [], []))
+                out = pd.DataFrame(rows, columns=["doc_id", "n", "s0", "s1", "f0", "f1", "f2", "f3", "keys", "counts", "most"], dtype=object)
+                # From objects, as floats between would round 64-bit integers beside nulls.
+                yield out.assign(doc_id=b.doc_id.to_numpy(), n=out.n.astype("int64"), **{c: pd.array(out[c], dtype="Int64") for c in ("s0", "s1", "f0", "f1", "f2", "f3")})
+
+        kinds = "doc_id long, n long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long, keys array<long>, counts array<int>, most array<int>"
+        return materialize(self.docs.mapInPandas(run, kinds).withColumn("uid", F.monotonically_increasing_id()), "members")
+
+    def segments(self, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Bitmaps of segments that two sets have at least, and of hot ones."""
+        counts = materialize(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "segments")
         often = counts.filter(F.col("count") > HOT)
         return bitmap(counts, "key", counts.count(), 8), bitmap(often, "key", often.count())
 
-    def rows(self) -> tuple[DataFrame, DataFrame]:
+    def rows(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(cold, hot) rows of segments that others may have.
 
         A set with more segments that aren't hot than differing elements agrees with each set it links with in
         one of those. So only sets with fewer ("bound") need their hot segments, and only with each other.
         """
-        sent = self.spark.sparkContext.broadcast(self.segments())
+        sent = self.spark.sparkContext.broadcast(self.segments(nodes))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             repeated, often = sent.value
             for b in batches:
                 found = [np.zeros((0, 10), np.int64)]
-                for t in b.text:
-                    if not len(s := shingle_set(t)):
+                for keys, counts, most, *about in zip(b["keys"], b.counts, b.most, *[b[c] for c in _SELF], strict=True):
+                    keys = np.asarray(keys, np.int64)
+                    twice = in_bitmap(repeated, keys)
+                    if not twice.any():
                         continue
-                    about = None
-                    for d, keys in segment_keys(s):
-                        twice = in_bitmap(repeated, keys)
-                        if not twice.any():
-                            continue
-                        is_hot = in_bitmap(often, keys) & twice
-                        bound = len(keys) - is_hot.sum() <= d
-                        chosen = twice if bound else twice & ~is_hot
-                        about = about or [*set_id(s), len(s), *_fold_sketch(s)]
+                    is_hot = in_bitmap(often, keys) & twice
+                    at = 0
+                    for k, d in zip(counts, most, strict=True):
+                        part = slice(at, at + k)
+                        n_hot = int(is_hot[part].sum())
+                        chosen = twice[part] if k - n_hot <= d else twice[part] & ~is_hot[part]
                         out = np.empty((int(chosen.sum()), 10), np.int64)
-                        out[:, 0], out[:, 1:8] = keys[chosen].astype(np.int64), about
-                        out[:, 8], out[:, 9] = is_hot[chosen], is_hot.sum()
+                        out[:, 0], out[:, 1:8] = keys[part][chosen], about
+                        out[:, 8], out[:, 9] = is_hot[part][chosen], n_hot
                         found.append(out)
+                        at += k
                 yield pd.DataFrame(np.concatenate(found), columns=["key", *_SELF, "hot", "n_hot"])
 
-        rows = self.docs.mapInPandas(run, f"{_KEY}, hot long, n_hot long")
-        # Copies have the same rows: one is left, before they shuffle.
-        once = materialize(rows.groupBy("key", "s0", "s1", "hot").agg(*[F.max(c).alias(c) for c in (*_SELF[2:], "n_hot")]), "rows")
+        rows = nodes.mapInPandas(run, f"{_KEY}, hot long, n_hot long")
+        once = materialize(rows, "rows")
         return once.filter("hot = 0").select("key", *_SELF), once.filter("hot = 1").select("key", *_SELF, "n_hot")
 
     def sets(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -259,7 +268,6 @@ class _Search:
 
     def linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Edges (a, b) between the nodes of sets that link."""
-        pairs = materialize(_distinct_pairs(pairs), "pairs")
         edges = verify(pairs, self.sets(pairs, classes))
         node = lambda n, s: classes.select(F.col("s0").alias(f"{s}0"), F.col("s1").alias(f"{s}1"), F.col("node").alias(n))
         return materialize(edges.join(node("a", "s"), ["s0", "s1"]).join(node("b", "t"), ["t0", "t1"]).select("a", "b"), "links")
@@ -268,9 +276,12 @@ class _Search:
         """(members, classes, components)."""
         members = self.members()
         grouped = members.filter("s0 is not null and doc_id is not null").groupBy("s0", "s1")
-        classes = materialize(grouped.agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "classes")
-        cold, hot = self.rows()
-        # First the middle of each hot group, the set with most hot segments, with all of the group.
+        grouped = grouped.agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("size"))
+        classes = materialize(grouped.select("s0", "s1", F.col("first.doc_id").alias("node"), F.col("first.uid").alias("uid"), "size"), "classes")
+        # Copies go no further: the first row of a class stands for them.
+        nodes = members.join(classes.select("uid"), "uid", "left_semi")
+        cold, hot = self.rows(materialize(nodes, "nodes"))
+        # First one set of each group with all of it: in hot segments the middle, the set with most hot segments.
         me, middle = F.struct("n_hot", *_SELF), [F.col(f"m.{c}").alias(f"m_{c}") for c in _SELF]
         middles = materialize(hot.groupBy("key").agg(F.max(me).alias("m")).select("key", *middle), "middles")
         star = skew_join(hot, middles, "key", "s0")
@@ -279,18 +290,20 @@ class _Search:
         star = star.filter(bits <= F.floor((100 - PERCENT) * (F.col("n") + F.col("m_n")) / (100 + PERCENT)))
         swap = (F.col("s0") > F.col("m_s0")) | ((F.col("s0") == F.col("m_s0")) & (F.col("s1") > F.col("m_s1")))
         star = star.select(*[F.when(swap, F.col(f"m_{c}")).otherwise(F.col(c)).alias(f"a{c[1]}") for c in ("s0", "s1")], *[F.when(swap, F.col(c)).otherwise(F.col(f"m_{c}")).alias(f"b{c[1]}") for c in ("s0", "s1")])
-        links = self.linked(star.unionByName(_cold_pairs(cold)), classes)
+        pairs = materialize(_distinct_pairs(star.withColumn("star", F.lit(1).cast("long")).unionByName(_cold_pairs(cold))), "pairs")
+        links = self.linked(pairs.filter("star = 1"), classes)
         found = components(links)
-        # Then, in each hot group, sets apart from its middle with all that are apart from them.
-        if not hot.isEmpty():
-            rest = self._apart(hot, middles, classes, found)
-            more = self.linked(rest, classes)
-            if not more.isEmpty():
-                found = components(links.unionByName(more))
-        return members, classes, found
-
-    def _apart(self, hot: DataFrame, middles: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+        # Then all pairs that this leaves apart; in hot segments, sets apart from the middle with all that are apart from them.
         named = classes.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("c"))
+        named = materialize(named, "named")
+        end = lambda x: named.select(F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1"), F.col("c").alias(f"c_{x}"))
+        rest = pairs.filter("star = 0").join(end("a"), ["a0", "a1"]).join(end("b"), ["b0", "b1"]).filter("c_a <> c_b").select("a0", "a1", "b0", "b1", "star")
+        rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named))), "pairs")
+        if not rest.isEmpty():
+            found = components(links.unionByName(self.linked(rest, classes)))
+        return members.select("doc_id", "n", "s0", "s1"), classes, found
+
+    def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame) -> DataFrame:
         rows = materialize(hot.drop("n_hot").join(named, ["s0", "s1"]), "hot")
         m = middles.select("key", F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).join(named, ["s0", "s1"]).select("key", F.col("c").alias("m_c"))
         rows = materialize(skew_join(rows, materialize(m, "middle"), "key", "s0").withColumn("apart", F.col("c") != F.col("m_c")), "hot")
@@ -305,9 +318,8 @@ class _Search:
         def compare(rows: pd.DataFrame) -> pd.DataFrame:
             values, c, side = rows[_SELF].to_numpy(np.int64), rows.c.to_numpy(), rows.side.to_numpy()
             a, b = values[side == 0], values[side == 1]
-            i, j = _pairs(a, b)
-            other = c[side == 0][i] != c[side == 1][j]
-            return _ordered(a[i[other]], b[j[other]])
+            i, j = np.nonzero(_may_link(a[:, None], b[None]) & (c[side == 0][:, None] != c[side == 1][None]))
+            return _ordered(a[i], b[j], 0)
 
         return met.groupBy("key", "i", "j").applyInPandas(compare, _PAIR)
 
