@@ -88,12 +88,12 @@ def _fold_sketch(shingles: np.ndarray) -> list[int]:
     return sketch(shingles, 4).astype(np.int64).tolist()
 
 
-def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows (set ids, size, fold sketch), along the last axis, may link: sizes, and bits that differ, allow it."""
-    na, nb = a[..., 2], b[..., 2]
-    differing = sum(np.bitwise_count((a[..., c] ^ b[..., c]).view(np.uint64)).astype(np.int64) for c in range(3, 7))
+def _may_link(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether rows, by columns (set ids, size, fold sketch), may link: sizes, and bits that differ, allow it."""
+    na, nb = a[2], b[2]
+    differing = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.uint16) for x, y in zip(a[3:], b[3:], strict=True))
     fits = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (differing <= (100 - PERCENT) * (na + nb) // (100 + PERCENT))
-    return fits & ((a[..., 0] != b[..., 0]) | (a[..., 1] != b[..., 1]))
+    return fits & ((a[0] != b[0]) | (a[1] != b[1]))
 
 
 _PAIR = "a0 long, a1 long, b0 long, b1 long, star long"
@@ -123,12 +123,12 @@ def _cold_pairs(rows: DataFrame) -> DataFrame:
     def compare(held: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros((0, 5), np.int64)]
         keys, values = (held.key.to_numpy(), held[_SELF].to_numpy(np.int64)) if len(held) else (np.zeros(0, np.int64), np.zeros((0, 7), np.int64))
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        first, columns = np.concatenate([[True], keys[1:] != keys[:-1]]), list(np.ascontiguousarray(values.T))
         for step in range(1, len(keys)):  # rows of a key stand side by side, so at most HOT steps
             at = np.flatnonzero(keys[step:] == keys[:-step])
             if not len(at):
                 break
-            at = at[_may_link(values[at], values[at + step])]
+            at = at[_may_link([c[at] for c in columns], [c[at + step] for c in columns])]
             found.append(_ordered(values[at], values[at + step], first[at]).to_numpy())
         pairs = pd.DataFrame(np.concatenate(found), columns=["a0", "a1", "b0", "b1", "star"])
         return pairs.groupby(["a0", "a1", "b0", "b1"], as_index=False).star.max() if len(pairs) else pairs
@@ -318,7 +318,7 @@ class _Search:
         def compare(rows: pd.DataFrame) -> pd.DataFrame:
             values, c, side = rows[_SELF].to_numpy(np.int64), rows.c.to_numpy(), rows.side.to_numpy()
             a, b = values[side == 0], values[side == 1]
-            i, j = np.nonzero(_may_link(a[:, None], b[None]) & (c[side == 0][:, None] != c[side == 1][None]))
+            i, j = np.nonzero(_may_link([x[:, None] for x in a.T], [x[None] for x in b.T]) & (c[side == 0][:, None] != c[side == 1][None]))
             return _ordered(a[i], b[j], 0)
 
         return met.groupBy("key", "i", "j").applyInPandas(compare, _PAIR)
