@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import WORD, bitmap, in_bitmap, materialize, run_hashes, skew_join, small_batches, word_hashes, words
 
 #: Words of a window, and of an anchor in it. Anchors in more places than HOT are not kept together. Words of a shard's automaton.
-LENGTH, ANCHOR, HOT, SHARD_WORDS = 35, 20, 1000, 50_000
+LENGTH, ANCHOR, HOT, SHARD_WORDS = 35, 12, 1000, 50_000
 _WORD = re.compile(WORD)
 
 
@@ -45,54 +45,66 @@ class SuffixAutomaton:
         return new
 
     def add(self, sequence: list[int], weight: int = 1) -> None:
-        following, link, last = self.next, self.link, 0
+        following, link, length, count, last = self.next, self.link, self.length, self.count, 0
         for word in sequence:
             old = following[last].get(word)
             if old is not None:
                 last = self._split(last, word, old)
             else:
-                new = self._new(self.length[last] + 1, 0, {})
-                while last >= 0 and word not in following[last]:
-                    following[last][word] = new
+                new = len(link)
+                following.append({})
+                length.append(length[last] + 1)
+                count.append(0)
+                link.append(0)
+                while last >= 0:
+                    after = following[last]
+                    if word in after:
+                        link[new] = self._split(last, word, after[word])
+                        break
+                    after[word] = new
                     last = link[last]
-                if last >= 0:
-                    link[new] = self._split(last, word, following[last][word])
                 last = new
-            self.count[last] += weight
+            count[last] += weight
 
     def finish(self) -> None:
         """Adds each state's count to the state of its longest shorter ending."""
         for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             self.count[self.link[state]] += self.count[state]
 
-    def matching(self, sequence: list[int], length: int) -> Iterator[tuple[int, int]]:
+    def matching(self, sequence: list[int], length: int) -> list[tuple[int, int]]:
         """For each place: how many words before its end match, up to length, and how often those occur."""
+        following, link, lengths, count, out = self.next, self.link, self.length, self.count, []
         state = matched = 0
         for word in sequence:
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            if word in self.next[state]:
-                state, matched = self.next[state][word], matched + 1
-            while matched > length and self.length[self.link[state]] >= length:
-                state = self.link[state]
-            matched = min(matched, length)
-            yield matched, self.count[state]
-
-
-def anchors(hashes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> np.ndarray:
-    """For each window of `length` words, where its anchor is: the run of `anchor` words with the least hash, leftmost.
+            after = following[state].get(word)
+            while after is None and state:
+                state = link[state]
+                matched = lengths[state]
+                after = following[state].get(word)
+            if after is not None:
+                state = after
+                if matched < length:
+                    matched += 1
+            if matched == length:
+                while lengths[link[state]] >= length:
+                    state = link[state]
+            out.append((matched, count[state]))
+        return out
+
+
+def anchors(hashes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `length` words, where its anchor is: the run of `anchor` words with the least hash, leftmost. And the hashes of all runs.
 
     It depends on the window's words alone, so equal windows have equal anchors; it never moves back.
     """
     grams = run_hashes(hashes, anchor)
     if len(hashes) < length:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), grams
     out = np.empty(len(hashes) - length + 1, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(grams, length - anchor + 1)
     for at in range(0, len(out), 1 << 16):
         out[at : at + (1 << 16)] = view[at : at + (1 << 16)].argmin(1) + np.arange(at, min(at + (1 << 16), len(out)))
-    return out
+    return out, grams
 
 
 def _fragments(text: str | None, repeated: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, str]]:
@@ -105,7 +117,7 @@ def _fragments(text: str | None, repeated: np.ndarray, hot: np.ndarray) -> Itera
     if len(found) < LENGTH:
         return
     hashes = word_hashes(found)
-    where, grams = anchors(hashes), run_hashes(hashes, ANCHOR)
+    where, grams = anchors(hashes)
     first = np.flatnonzero(np.diff(where, prepend=-1))
     last = np.append(first[1:], len(where)) - 1
     keys = grams[where[first]]
@@ -162,9 +174,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for text in batch.text:
-                hashes = word_hashes(words(text))
-                where = np.unique(anchors(hashes))
-                found.append(run_hashes(hashes, ANCHOR)[where])
+                where, grams = anchors(word_hashes(words(text)))
+                found.append(grams[np.flatnonzero(np.bincount(where))] if len(where) else grams[:0])
             yield pd.DataFrame({"anchor": np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)})
 
     counts = docs.select("text").mapInPandas(anchor_hashes, "anchor long").groupBy("anchor").count().filter("count > 1")
