@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, fold, in_bitmap, materialize, mixed, run_hashes, skew_join, small_batches, word_hashes, words
 
-#: Words in a shingle; two sets link if 100 * intersection >= PERCENT * union.
+#: Words in a shingle; two sets link if 100 * intersection >= PERCENT * union. Those of op9; other callers may give their own.
 SHINGLE, PERCENT = 3, 90
 #: A segment that more rows than this have is hot; rows of a block of a hot segment that are compared with another block.
 HOT, BLOCK_ROWS = 32, 512
@@ -22,12 +22,12 @@ _KEY = "key long, s0 long, s1 long, n long, f0 long, f1 long, f2 long, f3 long"
 _SELF = ["s0", "s1", "n", "f0", "f1", "f2", "f3"]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles; a shorter text is one shingle, one without words has none."""
     found = words(fold(text)) if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    return np.unique(run_hashes(word_hashes(found), min(SHINGLE, len(found))))
+    return np.unique(run_hashes(word_hashes(found), min(shingle, len(found))))
 
 
 def set_id(shingles: np.ndarray) -> tuple[int, int]:
@@ -35,9 +35,9 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def most_different(a: int, b: int) -> int:
+def most_different(a: int, b: int, percent: int = PERCENT) -> int:
     """Largest symmetric difference of two sets of these sizes that link: it is at most (1 - J) / (1 + J) of the sizes' sum."""
-    return (100 - PERCENT) * (a + b) // (100 + PERCENT)
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
 def band_of(n: int) -> tuple[int, int, int]:
@@ -50,9 +50,9 @@ def band_of(n: int) -> tuple[int, int, int]:
         low, i = high + 1, i + 1
 
 
-def segments_of(largest: int) -> tuple[int, int]:
+def segments_of(largest: int, percent: int = PERCENT) -> tuple[int, int]:
     """Most elements in which linked sets differ whose lesser one is in the band, and segments of its sketches: more than that, and a quarter more."""
-    d = most_different(largest, largest * 100 // PERCENT)
+    d = most_different(largest, largest * 100 // percent, percent)
     return d, d + 1 + (d + 1) // 4
 
 
@@ -64,7 +64,7 @@ def sketch(shingles: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
-def segment_keys(shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def segment_keys(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
     """(most differing elements, hashes of (band, segment, its bits)) for the set's own band, and for the one below if a set there can link with it.
 
     Of two linked sets the lesser one's band has keys of both. Their sketches there have more segments than
@@ -73,11 +73,11 @@ def segment_keys(shingles: np.ndarray) -> list[tuple[int, np.ndarray]]:
     n, out = len(shingles), []
     own, low, high = band_of(n)
     bands = [(own, high)]
-    while own and most_different(n, low - 1) >= n - (low - 1) and 100 * (low - 1) >= PERCENT * n:
+    while own and most_different(n, low - 1, percent) >= n - (low - 1) and 100 * (low - 1) >= percent * n:
         own, low, high = band_of(low - 1)
         bands.append((own, high))
     for band, largest in bands:
-        d, k = segments_of(largest)
+        d, k = segments_of(largest, percent)
         at = np.arange(k, dtype=np.uint64)
         out.append((d, mixed(mixed(sketch(shingles, k) + np.uint64(band << 32) + at) ^ at)))
     return out
@@ -88,11 +88,11 @@ def _fold_sketch(shingles: np.ndarray) -> list[int]:
     return sketch(shingles, 4).astype(np.int64).tolist()
 
 
-def _may_link(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def _may_link(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
     """Whether rows, by columns (set ids, size, fold sketch), may link: sizes, and bits that differ, allow it."""
     na, nb = a[2], b[2]
     differing = sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.uint16) for x, y in zip(a[3:], b[3:], strict=True))
-    fits = (100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)) & (differing <= (100 - PERCENT) * (na + nb) // (100 + PERCENT))
+    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (differing <= (100 - percent) * (na + nb) // (100 + percent))
     return fits & ((a[0] != b[0]) | (a[1] != b[1]))
 
 
@@ -105,7 +105,7 @@ def _ordered(a: np.ndarray, b: np.ndarray, star) -> pd.DataFrame:
     return pd.DataFrame(np.concatenate([low, high], 1), columns=["a0", "a1", "b0", "b1"]).assign(star=np.broadcast_to(np.asarray(star, np.int64), len(a)))
 
 
-def _cold_pairs(rows: DataFrame) -> DataFrame:
+def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a segment which isn't hot: HOT rows at most have it, which are compared with each other where they meet.
 
     star is 1 if one of the pair has the least set id there; most groups of near copies have the same one in most segments.
@@ -128,7 +128,7 @@ def _cold_pairs(rows: DataFrame) -> DataFrame:
             at = np.flatnonzero(keys[step:] == keys[:-step])
             if not len(at):
                 break
-            at = at[_may_link([c[at] for c in columns], [c[at + step] for c in columns])]
+            at = at[_may_link([c[at] for c in columns], [c[at + step] for c in columns], percent)]
             found.append(_ordered(values[at], values[at + step], first[at]).to_numpy())
         pairs = pd.DataFrame(np.concatenate(found), columns=["a0", "a1", "b0", "b1", "star"])
         return pairs.groupby(["a0", "a1", "b0", "b1"], as_index=False).star.max() if len(pairs) else pairs
@@ -140,7 +140,7 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a0", "a1", "b0", "b1").agg(F.max("star").alias("star"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that link, by their sets. A set in very many pairs is dealt over several keys."""
 
     @F.pandas_udf("boolean")
@@ -149,7 +149,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for x, y in zip(xs, ys, strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
     key = lambda s: F.struct(F.col(f"{s}0").alias("s0"), F.col(f"{s}1").alias("s1"))
@@ -185,21 +185,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Search:
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, shingle: int, percent: int):
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select("doc_id", "text")
+        self.shingle, self.percent = shingle, percent
         small_batches(self.spark)
 
     def members(self) -> DataFrame:
         """What the search needs of every document, in one pass over the texts: set id and size, fold sketch, and the segment keys of each band."""
+        shingle, percent = self.shingle, self.percent
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b.doc_id, b.text, strict=True):
-                    s = shingle_set(text)
+                    s = shingle_set(text, shingle)
                     if len(s):
-                        bands = segment_keys(s)
+                        bands = segment_keys(s, percent)
                         keys = np.concatenate([k for _, k in bands]).astype(np.int64)
                         rows.append((doc_id, len(s), *set_id(s), *_fold_sketch(s), keys, [len(k) for _, k in bands], [d for d, _ in bands]))
                     else:
@@ -255,12 +257,12 @@ class _Search:
         """(s0, s1, shingles) of the sets in pairs, from one document each."""
         wanted = pairs.select(F.col("a0").alias("s0"), F.col("a1").alias("s1")).unionByName(pairs.select(F.col("b0").alias("s0"), F.col("b1").alias("s1"))).distinct()
         wanted = materialize(wanted.join(classes, ["s0", "s1"]).select("s0", "s1", F.xxhash64("node").alias("h")), "wanted")
-        sent = self.spark.sparkContext.broadcast(bitmap(wanted, "h", wanted.count()))
+        sent, shingle = self.spark.sparkContext.broadcast(bitmap(wanted, "h", wanted.count())), self.shingle
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 chosen = b[in_bitmap(sent.value, b.h.to_numpy())]
-                sets = [s for t in chosen.text if len(s := shingle_set(t))]
+                sets = [s for t in chosen.text if len(s := shingle_set(t, shingle))]
                 yield pd.DataFrame([(*set_id(s), s.tobytes()) for s in sets], columns=["s0", "s1", "shingles"])
 
         found = self.docs.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).select("h", "text").mapInPandas(run, "s0 long, s1 long, shingles binary")
@@ -268,13 +270,13 @@ class _Search:
 
     def linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Edges (a, b) between the nodes of sets that link."""
-        edges = verify(pairs, self.sets(pairs, classes))
+        edges = verify(pairs, self.sets(pairs, classes), self.percent)
         node = lambda n, s: classes.select(F.col("s0").alias(f"{s}0"), F.col("s1").alias(f"{s}1"), F.col("node").alias(n))
         return materialize(edges.join(node("a", "s"), ["s0", "s1"]).join(node("b", "t"), ["t0", "t1"]).select("a", "b"), "links")
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(members, classes, components)."""
-        members = self.members()
+        members, percent = self.members(), self.percent
         grouped = members.filter("s0 is not null and doc_id is not null").groupBy("s0", "s1")
         grouped = grouped.agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("size"))
         classes = materialize(grouped.select("s0", "s1", F.col("first.doc_id").alias("node"), F.col("first.uid").alias("uid"), "size"), "classes")
@@ -286,11 +288,11 @@ class _Search:
         middles = materialize(hot.groupBy("key").agg(F.max(me).alias("m")).select("key", *middle), "middles")
         star = skew_join(hot, middles, "key", "s0")
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in _SELF[3:]), F.lit(0))
-        star = star.filter("s0 <> m_s0 or s1 <> m_s1").filter(F.lit(100) * F.least("n", "m_n") >= F.lit(PERCENT) * F.greatest("n", "m_n"))
-        star = star.filter(bits <= F.floor((100 - PERCENT) * (F.col("n") + F.col("m_n")) / (100 + PERCENT)))
+        star = star.filter("s0 <> m_s0 or s1 <> m_s1").filter(F.lit(100) * F.least("n", "m_n") >= F.lit(percent) * F.greatest("n", "m_n"))
+        star = star.filter(bits <= F.floor((100 - percent) * (F.col("n") + F.col("m_n")) / (100 + percent)))
         swap = (F.col("s0") > F.col("m_s0")) | ((F.col("s0") == F.col("m_s0")) & (F.col("s1") > F.col("m_s1")))
         star = star.select(*[F.when(swap, F.col(f"m_{c}")).otherwise(F.col(c)).alias(f"a{c[1]}") for c in ("s0", "s1")], *[F.when(swap, F.col(c)).otherwise(F.col(f"m_{c}")).alias(f"b{c[1]}") for c in ("s0", "s1")])
-        pairs = materialize(_distinct_pairs(star.withColumn("star", F.lit(1).cast("long")).unionByName(_cold_pairs(cold))), "pairs")
+        pairs = materialize(_distinct_pairs(star.withColumn("star", F.lit(1).cast("long")).unionByName(_cold_pairs(cold, percent))), "pairs")
         links = self.linked(pairs.filter("star = 1"), classes)
         found = components(links)
         # Then all pairs that this leaves apart; in hot segments, sets apart from the middle with all that are apart from them.
@@ -304,6 +306,7 @@ class _Search:
         return members.select("doc_id", "n", "s0", "s1"), classes, found
 
     def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame) -> DataFrame:
+        percent = self.percent
         rows = materialize(hot.drop("n_hot").join(named, ["s0", "s1"]), "hot")
         m = middles.select("key", F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).join(named, ["s0", "s1"]).select("key", F.col("c").alias("m_c"))
         rows = materialize(skew_join(rows, materialize(m, "middle"), "key", "s0").withColumn("apart", F.col("c") != F.col("m_c")), "hot")
@@ -318,17 +321,18 @@ class _Search:
         def compare(rows: pd.DataFrame) -> pd.DataFrame:
             values, c, side = rows[_SELF].to_numpy(np.int64), rows.c.to_numpy(), rows.side.to_numpy()
             a, b = values[side == 0], values[side == 1]
-            i, j = np.nonzero(_may_link([x[:, None] for x in a.T], [x[None] for x in b.T]) & (c[side == 0][:, None] != c[side == 1][None]))
+            i, j = np.nonzero(_may_link([x[:, None] for x in a.T], [x[None] for x in b.T], percent) & (c[side == 0][:, None] != c[side == 1][None]))
             return _ordered(a[i], b[j], 0)
 
         return met.groupBy("key", "i", "j").applyInPandas(compare, _PAIR)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
-    A set is the distinct 3-word shingles of the text in lower case (A-Z); a text with fewer words is one shingle,
-    one without words has none and links with nothing, and its component is itself. component_id is the smallest
+    A set is the distinct shingles (of `shingle` words) of the text in lower case (A-Z); a text with fewer words is one
+    shingle, one without words has none and links with nothing, and its component is itself. Sets link if their Jaccard
+    index is `percent` / 100 at least. component_id is the smallest
     doc_id that links reach. Rows with the same doc_id are one node with the links of each; a null id links with
     nothing and has a null component. Repeated rows repeat; an empty table gives an empty one; extra columns are dropped.
 
@@ -336,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Of classes that share a segment, at most HOT are compared in one place; larger groups first go by their
     middle, and only what that leaves apart is compared with the rest, in blocks of bounded size.
     """
-    members, classes, found = _Search(docs).run()
+    members, classes, found = _Search(docs, shingle, percent).run()
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = materialize(named.filter("size > 1 or component <> node").select(F.struct("s0", "s1").alias("s"), "component"), "named")
     keyed = members.withColumn("s", F.struct(F.coalesce("s0", F.xxhash64("doc_id")), F.coalesce("s1", F.lit(0))).cast("struct<s0:long,s1:long>")).withColumn("_spread", F.xxhash64("doc_id"))
@@ -345,9 +349,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(mine, "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; null ids stay."""
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    gone = near_duplicates(docs, shingle, percent).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 

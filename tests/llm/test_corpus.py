@@ -169,6 +169,36 @@ def test_near_copies(docs, monkeypatch, hot):
     assert jaccard_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_other_shingles(spark):
+    """Five words and 0.8 link what three words and 0.9 leave apart, by brute force."""
+    rng, rows = random.Random(17), [(900, "one two three four"), (901, "One two three four"), (902, "one two"), (903, None)]
+    for g in range(6):
+        base = sentence(rng, rng.randrange(60, 400)).split()
+        for i in range(9):
+            w = list(base)
+            for _ in range(len(base) * i // 200):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+
+    def components(k, percent):
+        sets, root = {}, {d: d for d, _ in rows}
+        for d, t in rows:
+            w = WORD.findall(upper_fold(t))
+            sets[d] = {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+        for a in sorted(sets):
+            for b in sorted(sets):
+                if b < a and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    low, high = sorted((root[a], root[b]))
+                    root = {d: low if r == high else r for d, r in root.items()}
+        return root
+
+    want = components(5, 80)
+    assert want != components(3, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, 5, 80).collect()} == want
+    assert {r.doc_id for r in jaccard_join.keep_one(docs, shingle=5, percent=80).collect()} == {d for d, c in want.items() if d == c}
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(5)
     for n in (1, 2, 9, 40, 300, 2000):
