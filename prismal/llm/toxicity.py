@@ -31,6 +31,8 @@ BINS, DEPTH, TREES, RATE, LEAST = 32, 3, 60, 0.2, 20
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…"
 _STRETCHED, _SYMBOLS = re.compile(r"(.)\1\1+"), re.compile(r"[#*$%&|<>]")
+#: Signs of LEET at a word's edges are letters too, though they are stripped from its core.
+_LETTER_SIGNS = frozenset(map(chr, LEET))
 _KINDS = {w: k for k, ws in enumerate((INSULTS, THREATS, PROFANITY, YOU)) for w in ws}
 
 
@@ -47,7 +49,8 @@ class _Words(dict):
         core = word.strip(_EDGE)
         lower, stretched, plain = core.lower(), _STRETCHED.search(word) is not None, core.isalpha()
         kind = _KINDS.get(lower)
-        if kind is None and len(word) > 2 and (stretched or not plain):
+        # Of other words the letters are the core, which isn't known.
+        if kind is None and len(word) > 2 and (not lower.isalpha() or not _LETTER_SIGNS.isdisjoint(word) or _STRETCHED.search(lower)):
             spelled = "".join([c for c in word.lower().translate(LEET) if c.isalpha()])
             for form in (spelled, _STRETCHED.sub(r"\1\1", spelled)):
                 if len(form) > 3 and (kind := _KINDS.get(form)) in (0, 1, 2):

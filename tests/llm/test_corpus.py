@@ -318,6 +318,15 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(docs, labels).columns == ["doc_id", "text", "score"] or True
 
 
+def test_signs_for_letters_at_the_edges():
+    at = dict(zip(toxicity.FEATURES, range(len(toxicity.FEATURES)), strict=True))
+    for word, kind in (("$tupid", "insult_density"), ("!diot", "insult_density"), ("@sshole", "profanity_density"), ("$cum,", "insult_density"), ("$hit", "profanity_density"), ("fuck|ng", "profanity_density"), ("asSshole", "profanity_density")):
+        x = toxicity.features(f"well you {word}")
+        assert x[at[kind]] == x[at["obfuscated"]] == 1 / 3, word
+    assert toxicity.features("you !diot")[at["near_you"]] == 0.5
+    assert not toxicity.features("wow! $5 @home |x| tupid")[at["obfuscated"]]
+
+
 def test_isotonic():
     f = toxicity.Isotonic(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]))
     assert f(np.array([0.0, 1, 2, 3, 4, 9])).tolist() == [0, 0, 0.5, 0.5, 1, 1]
