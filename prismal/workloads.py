@@ -139,7 +139,7 @@ def section_list(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY key) - 1 AS index, key, regexp_extract(key, 'x/(\\w+)-(\\d+)', 1) AS kind, regexp_extract(key, 'x/(\\w+)-(\\d+)', 2) AS num FROM (SELECT DISTINCT printf('x/%s-%03d', event_type, user_id) AS key FROM events WHERE user_id < 500)")
 def key_listing(spark, sf_dir):
-    keys = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 500").select(F.format_string("x/%s-%03d", "event_type", "user_id").alias("path")).distinct()
+    keys = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.format_string("x/%s-%03d", "event_type", "user_id").alias("path")).distinct()
     return granules.from_listing(keys, r"x/(?<kind>\w+)-(?<num>\d+)", "x/").df
 
 
