@@ -30,12 +30,12 @@ def geocentric_distance(phi_c) -> Column:
 
 
 def satellite_distance(y, x) -> Column:
-    """Along a line of sight to the ellipsoid; NaN off the disk."""
+    """Along a line of sight to the ellipsoid; NaN off the disk, and for angles that look away from it."""
     y, x = _c(y), _c(x)
     sx, cx, sy, cy = F.sin(x), F.cos(x), F.sin(y), F.cos(y)
     a = sx * sx + cx * cx * (cy * cy + FLATTENING * sy * sy)
     half = ORBIT * cx * cy
-    return (half - F.sqrt(half * half - a * (ORBIT**2 - EQUATOR**2))) / a
+    return F.when(half > 0, (half - F.sqrt(half * half - a * (ORBIT**2 - EQUATOR**2))) / a).otherwise(F.lit(float("nan")))
 
 
 def view_from_lat_lon(lat, lon) -> tuple[Column, Column, Column]:
