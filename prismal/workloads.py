@@ -6,6 +6,7 @@ wavelength = 400 + 10 * iw.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -275,19 +276,30 @@ def _both(spark, sf_dir, distinct):
 
 # Gridding
 
-_HEAD = BinGrid((BinAxis(0.0, 25.0, 20), BinAxis(0.0, 10.0, 50)))
+_HEAD_STEPS = {"value": 25.0, "user_id": 10.0}
 _IN_HEAD = "value >= 0 AND value < 500 AND user_id >= 0 AND user_id < 500"
 
 
+def _grid_over(df: DataFrame, steps: dict[str, float]) -> BinGrid:
+    """Bins of these steps, at multiples of them, over all of a table."""
+    edges = df.agg(*[f(c).cast("double").alias(f"{n}_{c}") for c in steps for n, f in (("low", F.min), ("high", F.max))]).first()
+    axes = []
+    for c, step in steps.items():
+        low, high = (math.floor((edges[f"{n}_{c}"] or 0.0) / step) for n in ("low", "high"))
+        axes.append(BinAxis(low * step, step, high - low + 1))
+    return BinGrid(tuple(axes))
+
+
 @query(f"SELECT v * 25.0::DOUBLE AS value, u * 10.0::DOUBLE AS user_id, event_id FROM (SELECT floor(value / 25) AS v, floor(user_id / 10) AS u, event_id, row_number() OVER (PARTITION BY floor(value / 25), floor(user_id / 10) ORDER BY value, user_id, event_id) AS k FROM events WHERE {_IN_HEAD}) WHERE k = 1")
 def resample_head(spark, sf_dir):
-    return _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"]).resample(_HEAD).df
+    ds = _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"])
+    return ds.resample(_grid_over(ds.df, _HEAD_STEPS)).df
 
 
 @query(f"SELECT floor(value / 25) * 25.0::DOUBLE AS value, floor(user_id / 10) * 10.0::DOUBLE AS user_id, count(*) AS n, max(event_id) AS last_id FROM events WHERE {_IN_HEAD} GROUP BY floor(value / 25) * 25.0::DOUBLE, floor(user_id / 10) * 10.0::DOUBLE")
 def group_by_bin(spark, sf_dir):
     ds = _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"])
-    return ds.group_by_bin(_HEAD, {"n": F.count(F.lit(1)), "last_id": F.max("event_id")}).df
+    return ds.group_by_bin(_grid_over(ds.df, _HEAD_STEPS), {"n": F.count(F.lit(1)), "last_id": F.max("event_id")}).df
 
 
 @query("SELECT x * 4.0::DOUBLE AS ix, y * 3.0::DOUBLE AS iy, label, vec_id FROM (SELECT (vec_id // 20) // 4 AS x, (vec_id % 20) // 3 AS y, label, vec_id, row_number() OVER (PARTITION BY (vec_id // 20) // 4, (vec_id % 20) // 3 ORDER BY (vec_id // 20 % 4 - 2.0) * (vec_id // 20 % 4 - 2.0) + (vec_id % 20 % 3 - 1.5) * (vec_id % 20 % 3 - 1.5), vec_id // 20, vec_id % 20) AS k FROM embeddings WHERE vec_id // 20 < 24 AND vec_id % 20 < 18) WHERE k = 1")
@@ -331,7 +343,7 @@ def geo_subset(spark, sf_dir):
 @query(f"SELECT iw, ix // 5 * 5.0::DOUBLE AS ix, iy // 5 * 5.0::DOUBLE AS iy, arg_min(radiance, ix * 20 + iy) AS radiance FROM {_CUBE} WHERE ix < 25 AND iw < 8 GROUP BY iw, ix // 5 * 5.0::DOUBLE, iy // 5 * 5.0::DOUBLE")
 def image_resample(spark, sf_dir):
     by_band = _cube(spark, sf_dir).uncurry().select("iw < 8").group_by_variable("iw", "ix", "iy")
-    return by_band.resample_range(BinGrid((BinAxis(0, 5, 5), BinAxis(0, 5, 4)))).df
+    return by_band.resample_range(_grid_over(_pixels(spark, sf_dir), {"ix": 5.0, "iy": 5.0})).df
 
 
 @query(f"SELECT x * 5.0::DOUBLE AS ix, y * 5.0::DOUBLE AS iy, label FROM (SELECT (vec_id // 20) // 5 AS x, vec_id % 20 // 5 AS y, arg_min(label, vec_id) AS label FROM embeddings WHERE vec_id < 400 GROUP BY ALL)")
