@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +51,20 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Arrow batches (64 MB of texts at most, by Spark's own setting) in pieces, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def arrow_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """As slices(), for columns that pandas would change: integers beside nulls."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set here only for a local master without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -64,11 +82,51 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables that materialize() writes while this is open; they are deleted when it closes, or earlier by discard()."""
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        self._outer = _scratch.set((*_scratch.get(), self))
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scratch.reset(self._outer)
+        self.discard(*[df for df, _ in self.tables])
+
+    def discard(self, *tables: DataFrame) -> None:
+        for df, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
+
+
+_scratch: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+#: Spark's own setting that removes the shuffle files of an execution as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, keep: bool = False, codec: str = "snappy", by: str | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts the lineage and outlives lost executors.
+
+    It belongs to the innermost open Scratch; with keep, to the one around that, if any. The shuffle files behind it
+    are removed once it is written, as nothing reads them again. by: a column whose values have folders of their own.
+    """
+    spark = df.sparkSession
+    path, was = new_path(spark, tag), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        write = df.write.option("compression", codec)
+        (write.partitionBy(by) if by else write).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    owners = _scratch.get()[: -1 if keep else None]
+    if owners:
+        owners[-1].tables.append((out, path))
+    return out
 
 
 def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
@@ -76,25 +134,39 @@ def hot_keys(counts: DataFrame, key: str, count: str, total: int) -> DataFrame:
     return counts.filter(F.col(count) > max(HOT_ROWS, total // HOT_SHARE)).select(key)
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
-    """Joins where one key may hold a third of left's rows and right has few rows for each key.
+def hot_rows(rows: DataFrame, on: str) -> DataFrame | None:
+    """The hot keys of a column, found by an exact count with partial sums; None if there are none. Give a written table, which is read twice.
 
-    Hot keys of left are found by an exact count (under HOT_SHARE of them by the pigeonhole principle, hence
-    broadcast); their rows are dealt over SALTS keys by the hash of the column `spread`, and right's rows for
-    them are repeated as often. Left is read twice; give a materialized table.
+    Under HOT_SHARE of them can exist, so they are collected.
     """
-    counts = left.groupBy(on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = materialize(hot_keys(counts, on, "_n", total).withColumn("_hot", F.lit(True)), "hot")
-    if hot.isEmpty():
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return None
+    found = hot_keys(rows.groupBy(on).agg(F.count(F.lit(1)).alias("_n")), on, "_n", total)
+    keys = found.collect()
+    return rows.sparkSession.createDataFrame(keys, found.schema) if keys else None
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: str, spread: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """A join where left's rows of hot keys are dealt over SALTS keys by the hash of the column `spread`, and right's rows for them repeated as often."""
+    if hot is None:
         return left.join(right, on, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    left = left.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
-    right = right.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    left = left.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    right = right.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
+def skew_join(left: DataFrame, right: DataFrame, on: str, spread: str, how: str = "inner") -> DataFrame:
+    """Joins where one key may hold a third of left's rows and right has few rows for each key.
+
+    Hot keys of left are found by an exact count and dealt out, see salted_join(). Left is read twice; give a materialized table.
+    """
+    return salted_join(left, right, on, spread, hot_rows(left, on), how)
+
+
 #: Cells of a bitmap that bitmap_construct_agg() makes at a time, and the largest bitmap: 2**29 cells are 64 MB, whatever the input.
 BLOCK, MAX_CELLS = 32768, 1 << 29
 
@@ -117,6 +189,24 @@ def bitmap(hashes: DataFrame, column: str, rows: int, a_row: int = 16) -> np.nda
     return out
 
 
+def flagged(df: DataFrame, column: str, keys: DataFrame, a_row: int = 16) -> DataFrame:
+    """df with `flag`: false proves that a column's 64-bit hash isn't in the column of that name of keys, a written table.
+
+    As bitmap(), without Python: its blocks of 4 KB are rows, joined by broadcast, MAX_CELLS / 8 bytes at most. Columns of
+    df must not be named flag, block, bits or cell.
+    """
+    cells, rows = BLOCK, keys.count()
+    while cells < min(rows * a_row, MAX_CELLS):
+        cells *= 2
+    cell = F.col(column).bitwiseAND(F.lit(cells - 1)).alias("cell")
+    blocks = keys.select(cell).groupBy(F.expr(f"cell div {BLOCK}").alias("block")).agg(F.bitmap_construct_agg(F.col("cell") % BLOCK).alias("bits"))
+    blocks = materialize(blocks, "blocks", keep=True)
+    out = df.withColumn("cell", cell).withColumn("block", F.expr(f"cell div {BLOCK}")).join(F.broadcast(blocks), "block", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(bits, cast(cell % {BLOCK} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.getbit(byte, (F.col("cell") % 8).cast("int")) == 1
+    return out.withColumn("flag", F.coalesce(bit, F.lit(False))).drop("cell", "block", "bits")
+
+
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     cell = hashes.astype(np.int64) & (len(bits) * 8 - 1)
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 != 0

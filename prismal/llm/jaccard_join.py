@@ -6,19 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, fold, in_bitmap, materialize, mixed, run_hashes, skew_join, small_batches, word_hashes, words
+from .common import Scratch, arrow_slices, bitmap, fold, hot_rows, in_bitmap, materialize, mixed, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words in a shingle; two sets link if 100 * intersection >= PERCENT * union. Those of op9; other callers may give their own.
 SHINGLE, PERCENT = 3, 90
 #: A segment that more rows than this have is hot; rows of a block of a hot segment that are compared with another block.
 HOT, BLOCK_ROWS = 32, 512
-#: A band's largest set is this many times its smallest.
-BAND_RATIO = 1.5
-_KEY = "key long, s0 long, s1 long, n long, f0 long, f1 long, f2 long, f3 long"
+#: A band's largest set is this many times its smallest. Bits of the short sketch, which is enough for sets of as many elements.
+BAND_RATIO, SHORT_BITS = 1.5, 256
 _SELF = ["s0", "s1", "n", "f0", "f1", "f2", "f3"]
 
 
@@ -64,11 +64,42 @@ def sketch(shingles: np.ndarray, segments: int) -> np.ndarray:
     return out
 
 
-def segment_keys(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
-    """(most differing elements, hashes of (band, segment, its bits)) for the set's own band, and for the one below if a set there can link with it.
+def long_sketch(shingles: np.ndarray) -> np.ndarray:
+    """A parity sketch of about as many bits as elements, a power of two of 64-bit words.
 
-    Of two linked sets the lesser one's band has keys of both. Their sketches there have more segments than
-    differing elements, and one that holds no differing element is equal.
+    The word is a hash's lowest bits, so a longer sketch folded in half, by xor, is the sketch of half the length.
+    """
+    size = 1 << (len(shingles) // 64).bit_length()
+    h = mixed(shingles + np.uint64(1))
+    out = np.zeros(size, np.uint64)
+    np.bitwise_xor.at(out, (h & np.uint64(size - 1)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
+    return out
+
+
+def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Hamming distance of two long sketches, the longer one folded to the other's length."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def parities(shingles: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the parities of 64 bits of its elements' hashes, which is their xor, and how many elements it has."""
+    h = mixed(shingles + np.uint64(segments))
+    at = (h % np.uint64(segments)).astype(np.int64)
+    out = np.zeros(segments, np.uint64)
+    np.bitwise_xor.at(out, at, mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)))
+    return out, np.bincount(at, minlength=segments)
+
+
+def segment_keys(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(segments that may be left out, keys, elements in each) of the set's own band, and of the one below if a set there can link with it.
+
+    A key is a hash of band, segment and its parities. Of two linked sets the lesser one's band has keys of both. They
+    differ in at most d elements, so of k > d segments k - d at least hold none of these and are equal in both. Hence
+    k - d - 1 may be left out of a set.
     """
     n, out = len(shingles), []
     own, low, high = band_of(n)
@@ -79,13 +110,33 @@ def segment_keys(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int
     for band, largest in bands:
         d, k = segments_of(largest, percent)
         at = np.arange(k, dtype=np.uint64)
-        out.append((d, mixed(mixed(sketch(shingles, k) + np.uint64(band << 32) + at) ^ at)))
+        found, counts = parities(shingles, k)
+        out.append((k - d - 1, mixed(mixed(found + np.uint64(band << 32) + at) ^ at), counts))
+    return out
+
+
+def left_out(counts: np.ndarray, hot: np.ndarray, first: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Which segments sets leave out, by columns: elements, whether hot, where each band of a set starts, and how many it may leave out.
+
+    All hot ones go, then those of the fewest elements, t at most, with the largest t for which there aren't more than
+    `spare`; if there are more hot ones, nothing goes. Two linked sets that both leave some out still share one: the
+    set with the larger t keeps a segment that is equal in both, which isn't hot and has more than t elements, so the
+    other keeps it too. A set that leaves out nothing shares what the other keeps.
+    """
+    lengths = np.diff(np.append(first, len(counts)))
+    out = np.zeros(len(counts), bool)
+    for t in range(-1, int(counts.max(initial=0))):
+        gone = hot | (counts <= t)
+        fits = np.add.reduceat(gone.astype(np.int64), first) <= spare if len(first) else np.zeros(0, bool)
+        if not fits.any():
+            break
+        out |= gone & np.repeat(fits, lengths)
     return out
 
 
 def _fold_sketch(shingles: np.ndarray) -> list[int]:
-    """A parity sketch of 256 bits, to drop pairs by before they are verified."""
-    return sketch(shingles, 4).astype(np.int64).tolist()
+    """A parity sketch of SHORT_BITS, to drop pairs by where they are found."""
+    return sketch(shingles, SHORT_BITS // 64).astype(np.int64).tolist()
 
 
 def _may_link(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndarray:
@@ -96,13 +147,16 @@ def _may_link(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.ndar
     return fits & ((a[0] != b[0]) | (a[1] != b[1]))
 
 
-_PAIR = "a0 long, a1 long, b0 long, b1 long, star long"
+_PAIR = "a0 long, a1 long, b0 long, b1 long, star long, n long"
+_PAIR_COLUMNS = ["a0", "a1", "b0", "b1", "star", "n"]
 
 
-def _ordered(a: np.ndarray, b: np.ndarray, star) -> pd.DataFrame:
+def _ordered(a: np.ndarray, b: np.ndarray, star) -> np.ndarray:
+    """Rows of _PAIR of rows of _SELF: the lesser set first; n is the larger size."""
     swap = (a[:, 0] > b[:, 0]) | (a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1])
     low, high = np.where(swap[:, None], b[:, :2], a[:, :2]), np.where(swap[:, None], a[:, :2], b[:, :2])
-    return pd.DataFrame(np.concatenate([low, high], 1), columns=["a0", "a1", "b0", "b1"]).assign(star=np.broadcast_to(np.asarray(star, np.int64), len(a)))
+    star = np.broadcast_to(np.asarray(star, np.int64), len(a))
+    return np.concatenate([low, high, star[:, None], np.maximum(a[:, 2], b[:, 2])[:, None]], 1)
 
 
 def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -121,7 +175,7 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
         yield compare(rest)
 
     def compare(held: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros((0, 5), np.int64)]
+        found = [np.zeros((0, 6), np.int64)]
         keys, values = (held.key.to_numpy(), held[_SELF].to_numpy(np.int64)) if len(held) else (np.zeros(0, np.int64), np.zeros((0, 7), np.int64))
         first, columns = np.concatenate([[True], keys[1:] != keys[:-1]]), list(np.ascontiguousarray(values.T))
         for step in range(1, len(keys)):  # rows of a key stand side by side, so at most HOT steps
@@ -129,19 +183,46 @@ def _cold_pairs(rows: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 break
             at = at[_may_link([c[at] for c in columns], [c[at + step] for c in columns], percent)]
-            found.append(_ordered(values[at], values[at + step], first[at]).to_numpy())
-        pairs = pd.DataFrame(np.concatenate(found), columns=["a0", "a1", "b0", "b1", "star"])
-        return pairs.groupby(["a0", "a1", "b0", "b1"], as_index=False).star.max() if len(pairs) else pairs
+            found.append(_ordered(values[at], values[at + step], first[at]))
+        pairs = pd.DataFrame(np.concatenate(found), columns=_PAIR_COLUMNS)
+        return pairs.groupby(["a0", "a1", "b0", "b1", "n"], as_index=False).star.max()[_PAIR_COLUMNS] if len(pairs) else pairs
 
     return rows.repartition("key").sortWithinPartitions("key", "s0", "s1").mapInPandas(run, _PAIR)
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a0", "a1", "b0", "b1").agg(F.max("star").alias("star"))
+    return pairs.groupBy("a0", "a1", "b0", "b1").agg(F.max("star").alias("star"), F.max("n").alias("n"))
+
+
+def _with_ends(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """pairs with `column` of their two sets (s0, s1), as x and y. A set in very many pairs, as the middle of a group is, is dealt over several keys."""
+    keyed = pairs.withColumn("a", F.struct("a0", "a1")).withColumn("b", F.struct("b0", "b1")).withColumn("_spread", F.xxhash64("a0", "b0"))
+    end = lambda side, name: values.select(F.struct(F.col("s0").alias(f"{side}0"), F.col("s1").alias(f"{side}1")).alias(side), F.col(column).alias(name))
+    hot = {side: hot_rows(keyed, side) for side in "ab"}  # of both ends, while rows are narrow
+    out = salted_join(keyed, end("a", "x"), "a", "_spread", hot["a"])
+    return salted_join(out, end("b", "y"), "b", "_spread", hot["b"]).drop("a", "b", "_spread")
+
+
+def near_enough(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose parity sketches, of about as many bits as the sets have elements, don't differ in too many of them.
+
+    The short sketch, a column where pairs are found, has told already for sets of up to SHORT_BITS elements; longer
+    ones that have nothing in common differ in about half of its bits, which is within their limit. `nodes` has s0, s1,
+    n and bits, an eighth of a byte for each element, so that few sets are read and sent to be verified.
+    """
+
+    @F.pandas_udf("boolean")
+    def near(m: pd.Series, x: pd.Series, n: pd.Series, y: pd.Series) -> pd.Series:
+        rows = zip(m, x, n, y, strict=True)
+        return pd.Series([sketch_distance(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) <= most_different(p, q, percent) for p, a, q, b in rows], dtype=bool)
+
+    large = pairs.filter(F.col("n") > SHORT_BITS)
+    near_ones = _with_ends(large, nodes.select("s0", "s1", F.struct("n", "bits").alias("v")), "v").filter(near("x.n", "x.bits", "y.n", "y.bits"))
+    return pairs.filter(F.col("n") <= SHORT_BITS).unionByName(near_ones.select(*pairs.columns))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs that link, by their sets. A set in very many pairs is dealt over several keys."""
+    """The pairs (a0, a1, b0, b1) that link, by their sets (s0, s1, shingles)."""
 
     @F.pandas_udf("boolean")
     def links(xs: pd.Series, ys: pd.Series) -> pd.Series:
@@ -152,105 +233,104 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             out.append(100 * both >= percent * (len(x) + len(y) - both))
         return pd.Series(out, dtype=bool)
 
-    key = lambda s: F.struct(F.col(f"{s}0").alias("s0"), F.col(f"{s}1").alias("s1"))
-    first = sets.select(F.struct("s0", "s1").alias("a"), F.col("shingles").alias("x"))
-    second = sets.select(F.struct("s0", "s1").alias("b"), F.col("shingles").alias("y"))
-    pairs = pairs.select(key("a").alias("a"), key("b").alias("b"), F.xxhash64("a0", "b0").alias("_spread"))
-    with_first = skew_join(pairs, first, "a", "_spread")
-    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n"))
-    often = materialize(counted.filter(F.col("_n") > 1000).select("b"), "often")
-    if often.isEmpty():
-        both = with_first.join(second, "b")
-    else:
-        # As skew_join, without reading the rows that already hold a set once more.
-        salted = lambda df, salt: df.join(often.withColumn("_hot", F.lit(True)), "b", "left").withColumn("_salt", salt).drop("_hot")
-        both = salted(with_first, F.when(F.col("_hot"), F.pmod("_spread", F.lit(32))).otherwise(F.lit(0)).cast("int"))
-        both = both.join(salted(second, F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(31))).otherwise(F.array(F.lit(0))))), ["b", "_salt"])
-    return both.filter(links("x", "y")).select("a.s0", "a.s1", F.col("b.s0").alias("t0"), F.col("b.s1").alias("t1"))
+    return _with_ends(pairs, sets, "shingles").filter(links("x", "y")).select("a0", "a1", "b0", "b1")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node that edges (a, b) reach. Labels spread to neighbours and jump to their labels' labels, each round written."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        step = materialize(step, "labels")
-        jumped = step.alias("l").join(step.select(F.col("a").alias("label"), F.col("label").alias("next")), "label", "left")
-        jumped = materialize(jumped.select("a", F.least("label", F.coalesce("next", "label")).alias("label"), "was"), "labels")
-        labels = jumped.drop("was")
-        if jumped.filter("label <> was").isEmpty():
-            return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))
+    """(node, component): the least node that edges (a, b) reach.
+
+    Labels spread to neighbours, and from the second round on jump to their labels' labels; each round is written. A
+    node of a third of all edges, and a label that a whole group shares, are dealt over several keys.
+    """
+    with Scratch() as scratch:
+        both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
+        hot = hot_rows(both, "b")
+        labels = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
+        first = True
+        while True:
+            near = salted_join(both, labels.select(F.col("a").alias("b"), "label"), "b", "a", hot).groupBy("a").agg(F.min("label").alias("near"))
+            step = materialize(labels.join(near, "a").select("a", F.least("label", "near").alias("label"), F.col("label").alias("was")), "labels")
+            scratch.discard(labels)
+            if step.filter("label <> was").isEmpty():
+                return materialize(step.select(F.col("a").alias("node"), F.col("label").alias("component")), "components", keep=True)
+            if first:
+                labels, first = step, False
+                continue
+            jumped = skew_join(step.drop("was"), step.select(F.col("a").alias("label"), F.col("label").alias("next")), "label", "a", "left")
+            labels = materialize(jumped.select("a", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+            scratch.discard(step)
+
+
+_MEMBERS = pa.schema(
+    [("doc_id", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in ("s0", "s1", "f0", "f1", "f2", "f3")]]
+    + [("bits", pa.binary()), ("keys", pa.list_(pa.int64())), ("elements", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("spare", pa.list_(pa.int32()))]
+)
+_MEMBER_KINDS = "doc_id long, n long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long, bits binary, keys array<long>, elements array<int>, lengths array<int>, spare array<int>"
+
+
+def _member(text: str | None, shingle: int, percent: int) -> tuple:
+    """A row of _MEMBERS without its doc_id."""
+    s = shingle_set(text, shingle)
+    if not len(s):
+        return 0, *[None] * 7, [], [], [], []
+    bands = segment_keys(s, percent)
+    keys, elements = np.concatenate([k for _, k, _ in bands]).astype(np.int64), np.concatenate([c for *_, c in bands])
+    return len(s), *set_id(s), *_fold_sketch(s), long_sketch(s).tobytes(), keys, elements.astype(np.int32), [len(k) for _, k, _ in bands], [spare for spare, *_ in bands]
 
 
 class _Search:
-    def __init__(self, docs: DataFrame, shingle: int, percent: int):
+    def __init__(self, docs: DataFrame, shingle: int, percent: int, scratch: Scratch):
         self.spark: SparkSession = docs.sparkSession
-        self.docs = docs.select("doc_id", "text")
-        self.shingle, self.percent = shingle, percent
-        small_batches(self.spark)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        self.shingle, self.percent, self.scratch = shingle, percent, scratch
 
     def members(self) -> DataFrame:
-        """What the search needs of every document, in one pass over the texts: set id and size, fold sketch, and the segment keys of each band."""
+        """What the search needs of every document, in one pass over the texts: set id and size, sketches, and the segment keys of each band."""
         shingle, percent = self.shingle, self.percent
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = []
-                for doc_id, text in zip(b.doc_id, b.text, strict=True):
-                    s = shingle_set(text, shingle)
-                    if len(s):
-                        bands = segment_keys(s, percent)
-                        keys = np.concatenate([k for _, k in bands]).astype(np.int64)
-                        rows.append((doc_id, len(s), *set_id(s), *_fold_sketch(s), keys, [len(k) for _, k in bands], [d for d, _ in bands]))
-                    else:
-                        rows.append((doc_id, 0, *[None] * 6, [], [], []))
-                out = pd.DataFrame(rows, columns=["doc_id", "n", "s0", "s1", "f0", "f1", "f2", "f3", "keys", "counts", "most"], dtype=object)
-                # From objects, as floats between would round 64-bit integers beside nulls.
-                yield out.assign(doc_id=b.doc_id.to_numpy(), n=out.n.astype("int64"), **{c: pd.array(out[c], dtype="Int64") for c in ("s0", "s1", "f0", "f1", "f2", "f3")})
-
-        kinds = "doc_id long, n long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long, keys array<long>, counts array<int>, most array<int>"
-        return materialize(self.docs.mapInPandas(run, kinds).withColumn("uid", F.monotonically_increasing_id()), "members")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in arrow_slices(batches):
+                columns = zip(*[_member(t, shingle, percent) for t in b.column("text").to_pylist()], strict=True)
+                arrays = [pa.array(list(c), f.type) for c, f in zip(columns, list(_MEMBERS)[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], schema=_MEMBERS)
+
+        return materialize(self.docs.mapInArrow(run, _MEMBER_KINDS).withColumn("uid", F.monotonically_increasing_id()), "members")
 
     def segments(self, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Bitmaps of segments that two sets have at least, and of hot ones."""
         counts = materialize(nodes.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "segments")
         often = counts.filter(F.col("count") > HOT)
-        return bitmap(counts, "key", counts.count(), 8), bitmap(often, "key", often.count())
+        found = bitmap(counts, "key", counts.count(), 8), bitmap(often, "key", often.count())
+        self.scratch.discard(counts)
+        return found
 
     def rows(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(cold, hot) rows of segments that others may have.
+        """(cold, hot) rows of segments that others may have and that the set doesn't leave out, see left_out().
 
-        A set with more segments that aren't hot than differing elements agrees with each set it links with in
-        one of those. So only sets with fewer ("bound") need their hot segments, and only with each other.
+        A set with more hot segments than it may leave out keeps them all, and the others too: it meets the sets that
+        leave theirs out in cold segments, and those that don't in either.
         """
         sent = self.spark.sparkContext.broadcast(self.segments(nodes))
+        names = ["key", *_SELF, "hot", "n_hot"]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             repeated, often = sent.value
-            for b in batches:
-                found = [np.zeros((0, 10), np.int64)]
-                for keys, counts, most, *about in zip(b["keys"], b.counts, b.most, *[b[c] for c in _SELF], strict=True):
-                    keys = np.asarray(keys, np.int64)
-                    twice = in_bitmap(repeated, keys)
-                    if not twice.any():
-                        continue
-                    is_hot = in_bitmap(often, keys) & twice
-                    at = 0
-                    for k, d in zip(counts, most, strict=True):
-                        part = slice(at, at + k)
-                        n_hot = int(is_hot[part].sum())
-                        chosen = twice[part] if k - n_hot <= d else twice[part] & ~is_hot[part]
-                        out = np.empty((int(chosen.sum()), 10), np.int64)
-                        out[:, 0], out[:, 1:8] = keys[part][chosen], about
-                        out[:, 8], out[:, 9] = is_hot[part][chosen], n_hot
-                        found.append(out)
-                        at += k
-                yield pd.DataFrame(np.concatenate(found), columns=["key", *_SELF, "hot", "n_hot"])
-
-        rows = nodes.mapInPandas(run, f"{_KEY}, hot long, n_hot long")
-        once = materialize(rows, "rows")
+            for b in arrow_slices(batches, 1024):
+                flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
+                keys, elements, lengths, spare = flat("keys"), flat("elements"), flat("lengths").astype(np.int64), flat("spare")
+                twice = in_bitmap(repeated, keys)
+                is_hot = in_bitmap(often, keys) & twice
+                first = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[:-1]
+                gone = left_out(elements, is_hot, first, spare)
+                n_hot = np.add.reduceat(is_hot.astype(np.int64), first) if len(first) else first
+                chosen = np.flatnonzero(twice & ~gone)
+                band = np.repeat(np.arange(len(lengths)), lengths)[chosen]
+                bands = np.array([len(x) for x in b.column("lengths").to_pylist()], np.int64)
+                row = np.repeat(np.arange(b.num_rows), bands)[band]
+                about = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in _SELF]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys[chosen], *about, is_hot[chosen].astype(np.int64), n_hot[band])], names)
+
+        once = materialize(nodes.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "rows")
         return once.filter("hot = 0").select("key", *_SELF), once.filter("hot = 1").select("key", *_SELF, "n_hot")
 
     def sets(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,18 +341,20 @@ class _Search:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                chosen = b[in_bitmap(sent.value, b.h.to_numpy())]
-                sets = [s for t in chosen.text if len(s := shingle_set(t, shingle))]
-                yield pd.DataFrame([(*set_id(s), s.tobytes()) for s in sets], columns=["s0", "s1", "shingles"])
+                for part in slices([b[in_bitmap(sent.value, b.h.to_numpy())]]):
+                    sets = [s for t in part.text if len(s := shingle_set(t, shingle))]
+                    yield pd.DataFrame([(*set_id(s), s.tobytes()) for s in sets], columns=["s0", "s1", "shingles"])
 
-        found = self.docs.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).select("h", "text").mapInPandas(run, "s0 long, s1 long, shingles binary")
+        found = self.docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInPandas(run, "s0 long, s1 long, shingles binary")
         return materialize(found.join(wanted.select("s0", "s1"), ["s0", "s1"], "left_semi").dropDuplicates(["s0", "s1"]), "sets")
 
-    def linked(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
         """Edges (a, b) between the nodes of sets that link."""
-        edges = verify(pairs, self.sets(pairs, classes), self.percent)
-        node = lambda n, s: classes.select(F.col("s0").alias(f"{s}0"), F.col("s1").alias(f"{s}1"), F.col("node").alias(n))
-        return materialize(edges.join(node("a", "s"), ["s0", "s1"]).join(node("b", "t"), ["t0", "t1"]).select("a", "b"), "links")
+        pairs = materialize(near_enough(pairs, nodes, self.percent), "near")
+        sets = self.sets(pairs, classes)
+        edges = materialize(verify(pairs, sets, self.percent), "verified")
+        self.scratch.discard(sets, pairs)
+        return materialize(_with_ends(edges, classes, "node").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(members, classes, components)."""
@@ -281,8 +363,8 @@ class _Search:
         grouped = grouped.agg(F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("size"))
         classes = materialize(grouped.select("s0", "s1", F.col("first.doc_id").alias("node"), F.col("first.uid").alias("uid"), "size"), "classes")
         # Copies go no further: the first row of a class stands for them.
-        nodes = members.join(classes.select("uid"), "uid", "left_semi")
-        cold, hot = self.rows(materialize(nodes, "nodes"))
+        nodes = materialize(members.join(classes.select("uid"), "uid", "left_semi"), "nodes")
+        cold, hot = self.rows(nodes)
         # First one set of each group with all of it: in hot segments the middle, the set with most hot segments.
         me, middle = F.struct("n_hot", *_SELF), [F.col(f"m.{c}").alias(f"m_{c}") for c in _SELF]
         middles = materialize(hot.groupBy("key").agg(F.max(me).alias("m")).select("key", *middle), "middles")
@@ -291,27 +373,30 @@ class _Search:
         star = star.filter("s0 <> m_s0 or s1 <> m_s1").filter(F.lit(100) * F.least("n", "m_n") >= F.lit(percent) * F.greatest("n", "m_n"))
         star = star.filter(bits <= F.floor((100 - percent) * (F.col("n") + F.col("m_n")) / (100 + percent)))
         swap = (F.col("s0") > F.col("m_s0")) | ((F.col("s0") == F.col("m_s0")) & (F.col("s1") > F.col("m_s1")))
-        star = star.select(*[F.when(swap, F.col(f"m_{c}")).otherwise(F.col(c)).alias(f"a{c[1]}") for c in ("s0", "s1")], *[F.when(swap, F.col(c)).otherwise(F.col(f"m_{c}")).alias(f"b{c[1]}") for c in ("s0", "s1")])
-        pairs = materialize(_distinct_pairs(star.withColumn("star", F.lit(1).cast("long")).unionByName(_cold_pairs(cold, percent))), "pairs")
-        links = self.linked(pairs.filter("star = 1"), classes)
+        ends = [F.when(swap, F.col(f"m_{c}")).otherwise(F.col(c)).alias(f"a{c[1]}") for c in ("s0", "s1")] + [F.when(swap, F.col(c)).otherwise(F.col(f"m_{c}")).alias(f"b{c[1]}") for c in ("s0", "s1")]
+        star = star.select(*ends, F.lit(1).cast("long").alias("star"), F.greatest("n", "m_n").alias("n"))
+        pairs = materialize(_distinct_pairs(star.unionByName(_cold_pairs(cold, percent))), "pairs")
+        links = self.linked(pairs.filter("star = 1"), classes, nodes)
         found = components(links)
         # Then all pairs that this leaves apart; in hot segments, sets apart from the middle with all that are apart from them.
-        named = classes.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("c"))
-        named = materialize(named, "named")
-        end = lambda x: named.select(F.col("s0").alias(f"{x}0"), F.col("s1").alias(f"{x}1"), F.col("c").alias(f"c_{x}"))
-        rest = pairs.filter("star = 0").join(end("a"), ["a0", "a1"]).join(end("b"), ["b0", "b1"]).filter("c_a <> c_b").select("a0", "a1", "b0", "b1", "star")
+        named = materialize(classes.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("c")), "named")
+        rest = _with_ends(pairs.filter("star = 0"), named, "c").filter("x <> y").select(*_PAIR_COLUMNS)
         rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named))), "pairs")
         if not rest.isEmpty():
-            found = components(links.unionByName(self.linked(rest, classes)))
+            found = components(links.unionByName(self.linked(rest, classes, nodes)))
         return members.select("doc_id", "n", "s0", "s1"), classes, found
 
     def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame) -> DataFrame:
         percent = self.percent
-        rows = materialize(hot.drop("n_hot").join(named, ["s0", "s1"]), "hot")
-        m = middles.select("key", F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).join(named, ["s0", "s1"]).select("key", F.col("c").alias("m_c"))
-        rows = materialize(skew_join(rows, materialize(m, "middle"), "key", "s0").withColumn("apart", F.col("c") != F.col("m_c")), "hot")
-        blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("all"), F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK_ROWS).cast("int").alias("some"))
-        rows = skew_join(rows, materialize(blocks.filter("some > 0"), "blocks"), "key", "s0")
+        # Only keys where a set is apart from the middle go on, so groups that link as a whole end here, as narrow rows.
+        names = named.select(F.struct("s0", "s1").alias("s"), "c")
+        narrow = materialize(hot.select("key", F.struct("s0", "s1").alias("s")).join(names, "s"), "apart")
+        ends = materialize(middles.select("key", F.struct(F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).alias("s")).join(names, "s").select("key", F.col("c").alias("m_c")), "middle")
+        apart = skew_join(narrow, ends, "key", "s").withColumn("apart", (F.col("c") != F.col("m_c")).cast("int"))
+        counts = apart.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum("apart").alias("some")).filter("some > 0")
+        blocks = materialize(counts.select("key", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("all", "some")]).join(ends, "key"), "blocks")
+        kept = materialize(skew_join(hot.drop("n_hot"), blocks, "key", "s0").withColumn("s", F.struct("s0", "s1")), "hot")
+        rows = kept.join(names, "s").drop("s").withColumn("apart", F.col("c") != F.col("m_c"))
         at = lambda n: F.pmod(F.xxhash64("s1", "s0"), F.col(n)).cast("int")
         # Block i of all rows meets block j of those apart.
         left = rows.select("*", at("all").alias("i"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("j")).withColumn("side", F.lit(0))
@@ -322,7 +407,7 @@ class _Search:
             values, c, side = rows[_SELF].to_numpy(np.int64), rows.c.to_numpy(), rows.side.to_numpy()
             a, b = values[side == 0], values[side == 1]
             i, j = np.nonzero(_may_link([x[:, None] for x in a.T], [x[None] for x in b.T], percent) & (c[side == 0][:, None] != c[side == 1][None]))
-            return _ordered(a[i], b[j], 0)
+            return pd.DataFrame(_ordered(a[i], b[j], 0), columns=_PAIR_COLUMNS)
 
         return met.groupBy("key", "i", "j").applyInPandas(compare, _PAIR)
 
@@ -340,19 +425,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Of classes that share a segment, at most HOT are compared in one place; larger groups first go by their
     middle, and only what that leaves apart is compared with the rest, in blocks of bounded size.
     """
-    members, classes, found = _Search(docs, shingle, percent).run()
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = materialize(named.filter("size > 1 or component <> node").select(F.struct("s0", "s1").alias("s"), "component"), "named")
-    keyed = members.withColumn("s", F.struct(F.coalesce("s0", F.xxhash64("doc_id")), F.coalesce("s1", F.lit(0))).cast("struct<s0:long,s1:long>")).withColumn("_spread", F.xxhash64("doc_id"))
-    out = skew_join(keyed, named, "s", "_spread", "left")
-    mine = F.when(F.col("doc_id").isNotNull() & F.col("s0").isNotNull(), F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(mine, "doc_id").alias("component_id"))
+    with Scratch() as scratch:
+        members, classes, found = _Search(docs, shingle, percent, scratch).run()
+        named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = materialize(named.filter("size > 1 or component <> node").select(F.struct("s0", "s1").alias("s"), "component"), "named")
+        # A row without a set has a key of its own, which nothing matches.
+        own = F.struct(F.coalesce("s0", F.xxhash64("doc_id")).alias("s0"), F.coalesce("s1", F.lit(0).cast("long")).alias("s1"))
+        keyed = members.withColumn("s", own).withColumn("_spread", F.xxhash64("doc_id"))
+        out = skew_join(keyed, named, "s", "_spread", "left")
+        mine = F.when(F.col("doc_id").isNotNull() & F.col("s0").isNotNull(), F.col("component"))
+        return materialize(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(mine, "doc_id").alias("component_id")), "near", keep=True)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; null ids stay."""
-    gone = near_duplicates(docs, shingle, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the documents whose component has a smaller doc_id; null ids stay, and so do all columns."""
+    with Scratch():
+        gone = near_duplicates(docs, shingle, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+        gone = materialize(gone, "gone", keep=True)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 ORACLE_SQL = """

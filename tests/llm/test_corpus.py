@@ -210,7 +210,7 @@ def test_sketches_bound_the_difference():
             differ = sum(int(x).bit_count() for x in (jaccard_join.sketch(a, 4) ^ jaccard_join.sketch(b, 4)))
             assert differ <= union - both
             if 100 * both >= 90 * union:
-                x, y = (np.concatenate([k for _, k in jaccard_join.segment_keys(s)]) for s in (a, b))
+                x, y = (np.concatenate([k for _, k, _ in jaccard_join.segment_keys(s)]) for s in (a, b))
                 assert len(np.intersect1d(x, y))
 
 
