@@ -65,16 +65,19 @@ def arrow_slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator
             yield batch.slice(at, rows)
 
 
+#: Folders made here, by application.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; set here only for a local master without one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(spark.sparkContext.applicationId)
     if found is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
-        found = f"file://{tempfile.mkdtemp(prefix='prismal-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own_dirs[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='prismal-')}"
     return found.rstrip("/")
 
 

@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bitmap, in_bitmap, materialize, run_hashes, skew_join, small_batches, word_hashes, words
+from .common import HOT_ROWS, HOT_SHARE, WORD, Scratch, arrow_slices, bitmap, flagged, in_bitmap, materialize, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words of a window, and of an anchor in it. Anchors in more places than HOT are not kept together. Words of a shard's automaton.
 LENGTH, ANCHOR, HOT, SHARD_WORDS = 35, 12, 1000, 50_000
@@ -107,30 +108,20 @@ def anchors(hashes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> t
     return out, grams
 
 
-def _fragments(text: str | None, repeated: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, str]]:
+def _fragments(found: list[str], keys: np.ndarray, first: np.ndarray, chosen: np.ndarray, is_hot: np.ndarray) -> Iterator[tuple[int, int, str]]:
     """(key, first word, words) of the parts of a text that may hold a repeated window.
 
     The windows of one anchor stand side by side; the words they cover are a fragment, whose key is the anchor.
     Where an anchor is hot, each window is a fragment, and its own hash the key.
     """
-    found = words(text)
-    if len(found) < LENGTH:
-        return
-    hashes = word_hashes(found)
-    where, grams = anchors(hashes)
-    first = np.flatnonzero(np.diff(where, prepend=-1))
-    last = np.append(first[1:], len(where)) - 1
-    keys = grams[where[first]]
-    chosen = np.flatnonzero(in_bitmap(repeated, keys))
-    is_hot = in_bitmap(hot, keys)
-    whole = run_hashes(hashes, LENGTH) if is_hot[chosen].any() else None
-    signed = keys.astype(np.int64)
+    last = np.append(first[1:], len(found) - LENGTH + 1) - 1
+    whole = run_hashes(word_hashes(found), LENGTH).astype(np.int64) if is_hot[chosen].any() else None
     for j in chosen:
         if is_hot[j]:
             for at in range(first[j], last[j] + 1):
-                yield int(whole[at].astype(np.int64)), at, " ".join(found[at : at + LENGTH])
+                yield int(whole[at]), at, " ".join(found[at : at + LENGTH])
         else:
-            yield int(signed[j]), int(first[j]), " ".join(found[first[j] : last[j] + LENGTH])
+            yield int(keys[j]), int(first[j]), " ".join(found[first[j] : last[j] + LENGTH])
 
 
 def repeated_windows(shard: list[tuple[bytes, str, int]]) -> Iterator[tuple[bytes, list[dict[str, int]]]]:
@@ -154,78 +145,126 @@ def repeated_windows(shard: list[tuple[bytes, str, int]]) -> Iterator[tuple[byte
             yield fid, runs
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row_id, spans) of rows that hold a repeated window; a span's first and last are the first words of windows.
+def text_id(text: Column) -> Column:
+    """128 bits of a text's SHA-256, as two longs; null counts as empty."""
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    part = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
+    return F.struct(part(1).alias("t0"), part(17).alias("t1"))
+
+
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, whole, spans) of texts that hold a repeated window, by the text_id() of docs' `text`; and ids that hold a large share of the rows.
+
+    whole: another row has the same text, so all of it goes. Else a span's first and last are the first words of windows.
 
     Spreading whole automata over all documents would take time with the square of the input. A window's
     anchor says which shard can hold it, so fragments go to the shard of their anchor, and only there:
 
-    1. Anchors are counted. Windows whose anchor occurs once can't be repeated. What occurs twice or more, and what
-       occurs more than HOT times, is sent round as bitmaps of bounded size; a false hit only costs work.
+    1. One pass over the texts writes those of a window at least, with their anchors. Anchors that stand in two different
+       texts, or twice in one, are counted; those of exact copies alone need no more. What may be repeated, and
+       what occurs more than HOT times, is sent round as bitmaps of bounded size; a false hit only costs work.
     2. Fragments around repeated anchors are written, and equal ones counted together before they shuffle.
     3. A task builds the automata of its shards one after the other, each of whole anchors' fragments, at most
        HOT of them for an anchor, and streams the same fragments through it.
-    4. Spans go back to every place of their fragment; fragments in very many places are dealt over several keys.
+    4. Spans go back to every text of their fragment; fragments in very many texts are dealt over several keys.
     """
     spark = docs.sparkSession
-    small_batches(spark)
 
-    def anchor_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for text in batch.text:
+    def with_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow_slices(batches):
+            rows, keep = [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
                 where, grams = anchors(word_hashes(words(text)))
-                found.append(grams[np.flatnonzero(np.bincount(where))] if len(where) else grams[:0])
-            yield pd.DataFrame({"anchor": np.concatenate([np.zeros(0, np.uint64), *found]).astype(np.int64)})
-
-    counts = docs.select("text").mapInPandas(anchor_hashes, "anchor long").groupBy("anchor").count().filter("count > 1")
-    counts = materialize(counts, "anchors")
-    repeated = bitmap(counts, "anchor", counts.count())
-    often = counts.filter(F.col("count") > HOT)
-    hot = bitmap(often, "anchor", often.count())
-    sent = spark.sparkContext.broadcast((repeated, hot))
-
-    def fragments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row_id, text in zip(batch.row_id, batch.text, strict=True):
-                rows += [(key, xxhash.xxh3_128_digest(part), row_id, at, part) for key, at, part in _fragments(text, *sent.value)]
-                if len(rows) > 20_000:
-                    yield pd.DataFrame(rows, columns=["key", "fid", "row_id", "at", "part"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "fid", "row_id", "at", "part"])
-
-    parts = materialize(docs.select("row_id", "text").mapInPandas(fragments, "key long, fid binary, row_id long, at int, part string"), "fragments")
-    distinct = parts.groupBy("key", "fid").agg(F.first("part").alias("part"), F.count(F.lit(1)).alias("n"))
-
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[bytes, str, int]] = []
-        size, key = 0, None
-        for batch in batches:
-            out: list[tuple[bytes, list[dict[str, int]]]] = []
-            for k, fid, part, n in zip(batch.key, batch.fid, batch.part, batch.n, strict=True):
-                if k != key and size >= SHARD_WORDS:
-                    out += repeated_windows(held)
-                    held, size = [], 0
-                held.append((fid, part, n))
-                size += part.count(" ") + 1
-                key = k
-            yield pd.DataFrame(out, columns=["fid", "runs"])
-        yield pd.DataFrame(list(repeated_windows(held)), columns=["fid", "runs"])
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2048)
-    found = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "fid binary, runs array<struct<first:int,last:int>>")
-    found = materialize(found, "runs")
-    places = skew_join(parts.select("fid", "row_id", "at"), found, "fid", "row_id")
-    places = places.select("row_id", F.transform("runs", lambda r: F.struct((r["first"] + F.col("at")).alias("first"), (r["last"] + F.col("at")).alias("last"))).alias("runs"))
-    spans = places.groupBy("row_id").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("spans"))
-    spans = materialize(spans, "spans")
-    small_batches(spark)
-    return spans
-
-
-def cut_spans(text: str, spans: list[dict[str, int]] | None) -> tuple[str, int]:
+                if len(where):
+                    first = np.flatnonzero(np.diff(where, prepend=-1))
+                    keys = grams[where[first]].astype(np.int64)
+                    once, n = np.unique(keys, return_counts=True)
+                    keep.append(i)
+                    rows.append((text, keys, first.astype(np.int32), once, once[n > 1]))
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            ids = [b.column(c).take(pa.array(keep, pa.int64())) for c in ("t0", "t1")]
+            yield pa.RecordBatch.from_arrays([*ids, *columns], ["t0", "t1", "text", "anchors", "firsts", "once", "doubled"])
+
+    texts = docs.select(text_id(F.col("text")).alias("t"), "text").select("t.*", "text")
+    texts = texts.mapInArrow(with_anchors, "t0 long, t1 long, text string, anchors array<long>, firsts array<int>, once array<long>, doubled array<long>")
+    with Scratch() as scratch:
+        texts = materialize(texts, "texts", codec="zstd")
+        # An anchor that stands twice in one text counts as if in two.
+        places = texts.select(F.explode("once").alias("anchor"), F.col("t0").alias("t")).unionByName(texts.select(F.explode("doubled").alias("anchor"), F.col("t0").bitwiseXOR(F.lit(1)).alias("t")))
+        counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high")
+        counts = materialize(counts.select("anchor", "n"), "anchors")
+        often = counts.filter(F.col("n") > HOT)
+        sent = spark.sparkContext.broadcast((bitmap(counts, "anchor", counts.count()), bitmap(often, "anchor", often.count())))
+        scratch.discard(counts)
+
+        def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+            repeated, hot = sent.value
+            names, seen = ["key", "fid", "t0", "t1", "at", "part"], set()
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            for b in arrow_slices(batches):
+                rows: list[tuple] = []
+                keys, lists = b.column("anchors").flatten().to_numpy(), b.column("anchors")
+                may, is_hot, at = in_bitmap(repeated, keys), in_bitmap(hot, keys), 0
+                firsts = b.column("firsts").flatten().to_numpy()
+                ids = list(zip(b.column("t0").to_pylist(), b.column("t1").to_pylist(), strict=True))
+                for i, n in enumerate(lists.value_lengths().to_pylist()):
+                    own = slice(at, at + n)
+                    at += n
+                    if not len(chosen := np.flatnonzero(may[own])):
+                        continue
+                    for key, first, part in _fragments(words(b.column("text")[i].as_py()), keys[own], firsts[own], chosen, is_hot[own]):
+                        fid = xxhash.xxh3_128_digest(part)
+                        # A task sends the words of a fragment once, as far as it remembers.
+                        rows.append((key, fid, *ids[i], first, None if fid in seen else part))
+                        seen.add(fid)
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    if len(rows) > 20_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        parts = texts.select("t0", "t1", "text", "anchors", "firsts").mapInArrow(fragments, "key long, fid binary, t0 long, t1 long, at int, part string")
+        parts = materialize(parts, "fragments")
+        copies = materialize(texts.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("whole"), "n"), "copies")
+        # Under HOT_SHARE of these can exist, so they may be collected.
+        often = copies.filter(F.col("n") > max(HOT_ROWS, texts.count() // HOT_SHARE)).select(F.struct("t0", "t1").alias("id"))
+        hot_ids = spark.createDataFrame(rows, often.schema) if (rows := often.collect()) else None
+        scratch.discard(texts)
+        distinct = parts.groupBy("key", "fid").agg(F.max("part").alias("part"), F.count(F.lit(1)).alias("n"))
+
+        def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[tuple[bytes, str, int]] = []
+            size, key = 0, None
+            for batch in slices(batches, 4096):
+                out: list[tuple[bytes, list[dict[str, int]]]] = []
+                for k, fid, part, n in zip(batch.key, batch.fid, batch.part, batch.n, strict=True):
+                    if k != key and size >= SHARD_WORDS:
+                        out += repeated_windows(held)
+                        held, size = [], 0
+                    held.append((fid, part, n))
+                    size += part.count(" ") + 1
+                    key = k
+                yield pd.DataFrame(out, columns=["fid", "runs"])
+            yield pd.DataFrame(list(repeated_windows(held)), columns=["fid", "runs"])
+
+        found = distinct.repartition("key").sortWithinPartitions("key").mapInPandas(shards, "fid binary, runs array<struct<first:int,last:int>>")
+        found = materialize(found, "runs")
+        # Copies of a text have the same places; one of each is enough. A window's hash may be the key of a hot anchor and a fragment's too.
+        places = materialize(parts.select("fid", "t0", "t1", "at").distinct(), "places")
+        scratch.discard(parts)
+        placed = skew_join(places, found, "fid", "t0")
+        placed = placed.select("t0", "t1", F.transform("runs", lambda r: F.struct((r["first"] + F.col("at")).alias("first"), (r["last"] + F.col("at")).alias("last"))).alias("runs"))
+        spans = placed.groupBy("t0", "t1").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("spans"))
+        return materialize(spans.join(copies, ["t0", "t1"], "full").select(F.struct("t0", "t1").alias("id"), F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), "spans", keep=True), hot_ids
+
+
+def cut_spans(text: str, spans: list[dict[str, int]] | None, whole: bool = False) -> tuple[str, int]:
     """The text without the words of its spans, and how many these are. What is kept side by side keeps its white space."""
+    if whole:
+        return "", len(words(text))
     if spans is None or not len(spans):
         return text, 0
     at = [m.span() for m in _WORD.finditer(text)]
@@ -244,19 +283,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A window is LENGTH consecutive words, compared unchanged; windows are judged on the input, in the same
     document as well. The first place of a passage goes like the others. A null text stays null; texts without a
     repeated window stay as they are. Rows that repeat an id are rows of their own, so equal rows remove each other's
-    windows. An empty table gives an empty one. Columns of docs named n_removed or row_id are replaced or dropped.
+    windows. An empty table gives an empty one. Other columns are carried along under whatever name; one named
+    n_removed is replaced. Equal texts are told by 128 bits of their SHA-256.
+
+    Only texts that may hold a repeated window, by a filter of their ids, shuffle to meet their spans.
     """
-    docs = docs.drop("n_removed", "row_id")
-    marked = docs.withColumn("row_id", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(marked.select("row_id", "text"))
+    kept = [c for c in docs.columns if c != "n_removed"]
+    spans, hot = repeated_spans(docs.select("text"))
+    # The caller's columns travel in one, so that no name of theirs clashes.
+    rows = docs.select(F.struct(*kept).alias("row"), text_id(F.col("text")).alias("id"), F.xxhash64(*[c for c in kept if c != "text"], F.lit(0)).alias("spread"))
+    rows = flagged(rows.withColumn("h", F.col("id.t0")), "h", spans.select(F.col("id.t0").alias("h")))
 
     @F.pandas_udf("text string, n_removed long")
-    def removed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, runs in batches:
-            yield pd.DataFrame([(None, 0) if t is None else cut_spans(t, s) for t, s in zip(texts, runs, strict=True)], columns=["text", "n_removed"])
+    def removed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(t, 0) if t is None else cut_spans(t, s, bool(w) and w == w) for t, s, w in zip(*batch, strict=True)], columns=["text", "n_removed"])
 
-    out = marked.join(spans, "row_id", "left").withColumn("cut", removed("text", "spans"))
-    return out.select(*[F.col("cut.text").alias("text") if c == "text" else c for c in docs.columns], F.col("cut.n_removed").alias("n_removed"))
+    cut = salted_join(rows.filter("flag"), spans, "id", "spread", hot, "left").withColumn("cut", removed("row.text", "spans", "whole"))
+    column = lambda c: F.col("row").getField(c)
+    cut = cut.select(*[F.col("cut.text").alias(c) if c == "text" else column(c).alias(c) for c in kept], F.col("cut.n_removed").alias("n_removed"))
+    plain = rows.filter("not flag").select(*[column(c).alias(c) for c in kept], F.lit(0).cast("long").alias("n_removed"))
+    return plain.unionByName(cut)
 
 
 ORACLE_SQL = f"""
