@@ -1,36 +1,83 @@
-"""Requests as text: `name.suffix?op&op`, each op a selection or a call."""
+"""Requests as text: `name.suffix?op&op`, each op a selection or a call.
+
+A selection is a name, an operator and a value: `ix<3`, `a.b =~ x.*`, `name == 'two words'`. A name is made of letters,
+digits, underscores and dots between them. Of the operators that the rest may begin with, the longest is taken. A value
+ends with the text; within single quotes it may hold anything but these, else anything but commas and parentheses.
+A call is a name and arguments in parentheses, which commas part: `uncurry()`, `gbox(-110, 10, -80, 35)`.
+"""
 
 from __future__ import annotations
 
-import re
 from urllib.parse import unquote_plus
 
 from ..operators.dataset import FDataset
 from ..functions.bins import BinGrid
 
-_VARIABLE = r"\w+(?:\.\w+)*"
-_VALUE = r"[\w.+\-:*?{}<>#\s'/&@=]+"
-_SELECTION = re.compile(rf"({_VARIABLE})\s*(>=|<=|=~|==|!=~|!=|>|<|=|~)\s*({_VALUE}|'{_VALUE}')")
-_CALL = re.compile(rf"(\w+)\(\s*({_VALUE}(?:,\s*{_VALUE})*)?\s*\)")
+# The operators' spellings.
+OPERATORS = (">", ">=", "<", "<=", "=", "==", "!=", "=~", "!=~", "~")
+#: After one of these, a single quote opens a quoted value.
+_BEFORE_QUOTE = frozenset("<>=~(,")
+
+
+def _name(text: str) -> tuple[str, str]:
+    """The name that a text begins with, and the rest."""
+    end = next((i for i, c in enumerate(text) if not (c.isalnum() or c in "_.")), len(text))
+    name = text[:end]
+    if not all(name.split(".")):
+        raise ValueError(f"no name at the beginning of: {text}")
+    return name, text[end:].lstrip()
+
+
+def _split(text: str, at: str) -> list[str]:
+    """Parts between separators outside quotes."""
+    parts, start, quoted, last = [], 0, False, ","
+    for i, c in enumerate(text):
+        if quoted:
+            quoted = c != "'"
+        elif c == "'" and last in _BEFORE_QUOTE:
+            quoted = True
+        elif c == at:
+            parts.append(text[start:i])
+            start = i + 1
+        if not c.isspace():
+            last = c
+    if quoted:
+        raise ValueError(f"a quote without an end: {text}")
+    return [*parts, text[start:]]
+
+
+def _value(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] == "'" and "'" not in text[1:-1]:
+        return text[1:-1]
+    if not text or text[0] == "'" or not text.isprintable() or any(c in ",()" for c in text):
+        raise ValueError(f"no value: {text}")
+    return text
 
 
 def parse_selection(text: str) -> tuple[str, str, str]:
-    found = _SELECTION.fullmatch(text.strip())
-    if not found:
-        raise ValueError(f"no selection: {text}")
-    name, op, value = found.groups()
-    return name, op, value[1:-1] if len(value) > 1 and value[0] == value[-1] == "'" else value.strip()
+    """(name, operator, value)."""
+    name, rest = _name(text.strip())
+    op = max((o for o in OPERATORS if rest.startswith(o)), key=len, default=None)
+    if op is None:
+        raise ValueError(f"no operator after the name: {text}")
+    return name, op, _value(rest[len(op) :])
 
 
 def parse(text: str) -> tuple:
     """("select", name, op, value) or ("call", name, arguments)."""
-    try:
+    name, rest = _name(text.strip())
+    if not rest.startswith("("):
         return "select", *parse_selection(text)
-    except ValueError:
-        found = _CALL.fullmatch(text.strip())
-        if not found:
-            raise ValueError(f"no operation: {text}") from None
-        return "call", found[1], [a.strip() for a in found[2].split(",")] if found[2] else []
+    if not rest.endswith(")"):
+        raise ValueError(f"no closing parenthesis: {text}")
+    inside = rest[1:-1]
+    return "call", name, [_value(a) for a in _split(inside, ",")] if inside.strip() else []
+
+
+def operations(query: str) -> list[tuple]:
+    """The operations of a query. An ampersand parts them unless it is within quotes or spelled %26."""
+    return [parse(unquote_plus(text)) for text in _split(query, "&") if text.strip()]
 
 
 def _resample(ds: FDataset, x1, y1, x2, y2, n) -> FDataset:
@@ -44,6 +91,7 @@ CALLS = {
     "gbox": lambda ds, *a: ds.gbox(*map(float, a)),
     "rgbImagePivot": lambda ds, *a: ds.rgb_pivot(*map(float, a)),
     "geoGridResample": _resample,
+    "geoSubset": lambda ds, x1, y1, x2, y2, n: ds.geo_subset((float(x1), float(y1)), (float(x2), float(y2)), int(n)),
     "stride": lambda ds, *a: ds.stride(*map(int, a)),
     "contains": lambda ds, name, *a: ds.contains(name, *map(float, a)),
     "groupByVariable": lambda ds, *a: ds.group_by_variable(*a),
@@ -56,10 +104,7 @@ CALLS = {
 
 
 def apply(ds: FDataset, query: str) -> FDataset:
-    for text in query.split("&"):
-        if not text:
-            continue
-        kind, *rest = parse(unquote_plus(text))
+    for kind, *rest in operations(query):
         if kind == "select":
             ds = ds.select_op(*rest)
         elif rest[0] in CALLS:
