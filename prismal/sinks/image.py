@@ -16,15 +16,41 @@ from ..functions import image as im
 MAX_PIXELS = 64_000_000
 
 
+def _size(ds: FDataset) -> tuple[int, int]:
+    """Distinct values of both coordinates, if an image of as many pixels can be held."""
+    counts = ds.df.agg(*[F.count_distinct(c).alias(f"n{i}") for i, c in enumerate(ds.domain)]).first()
+    if counts["n0"] * counts["n1"] > MAX_PIXELS:
+        raise ValueError(f"{counts['n0']} x {counts['n1']} pixels; {MAX_PIXELS} are the most of one image, see tiles()")
+    return counts["n0"], counts["n1"]
+
+
 def grid(ds: FDataset, fill: float = 0.0) -> DataFrame:
-    """Every (first, second) coordinate pair of the samples' distinct values, with `fill` where there is no sample or NaN."""
+    """Every (first, second) coordinate pair of the samples' distinct values, with `fill` where there is no sample or NaN.
+
+    These are the pixels of one image, whose number is checked here.
+    """
+    _size(ds)
     x, y = ds.domain
-    xs, ys = ds.df.select(x).distinct(), ds.df.select(y).distinct()
-    cells = xs.crossJoin(ys)  # the pixels of an image
+    cells = ds.df.select(x).distinct().crossJoin(ds.df.select(y).distinct())
     full = cells.join(ds.df, [x, y], "left")
     return full.select(x, y, *[F.coalesce(im.clean(F.col(c).cast("double")), F.lit(fill)).alias(c) for c in ds.range])
 
 
+def tiles(ds: FDataset, size: int = 1024) -> DataFrame:
+    """(tile_x, tile_y) -> png of an image of any size, from integer coordinates and levels 0..255; missing pixels are black. A task makes a tile."""
+    x, y = ds.domain
+    keyed = ds.df.select(F.floor(F.col(x) / size).alias("tile_x"), F.floor(F.col(y) / size).alias("tile_y"), F.col(x).alias("x"), F.col(y).alias("y"), *[F.col(c).alias(n) for c, n in zip(ds.range, "rgb", strict=True)])
+
+    def draw(key, rows):
+        import pandas as pd
+
+        data = np.zeros((size, size, 3), np.uint8)
+        data[size - 1 - rows.y.to_numpy(np.int64) % size, rows.x.to_numpy(np.int64) % size] = rows[["r", "g", "b"]].to_numpy().astype(np.uint8)
+        return pd.DataFrame([(*key, png(data))], columns=["tile_x", "tile_y", "png"])
+
+    return keyed.groupBy("tile_x", "tile_y").applyInPandas(draw, "tile_x long, tile_y long, png binary")
+
+
 def levels(ds: FDataset, stretch: float | None = 0.03) -> DataFrame:
     """(x, y, r, g, b) in 0..255: each channel by a percentile stretch, or by its least and largest value; then as levels of 0..1."""
     full = grid(ds)
@@ -41,15 +67,13 @@ def pixels(ds: FDataset) -> np.ndarray:
     if ds.arity != 2 or len(ds.range) not in (1, 3):
         raise ValueError("an image is (a, b) -> colour or (a, b) -> (r, g, b)")
     a, b = ds.domain
-    counts = ds.df.agg(F.count_distinct(a).alias("a"), F.count_distinct(b).alias("b")).first()
-    if counts["a"] * counts["b"] > MAX_PIXELS:
-        raise ValueError(f"{counts['a']} x {counts['b']} pixels; {MAX_PIXELS} are the most")
+    width, height = _size(ds)
     if len(ds.range) == 1:
         rows = ds.df.select(a, b, F.col(ds.range[0]).alias("c")).toPandas().sort_values([a, b], kind="stable")
         c = rows.c.to_numpy(np.int64) & 0xFFFFFFFF
-        return np.stack([c >> 16 & 255, c >> 8 & 255, c & 255], 1).astype(np.uint8).reshape(counts["a"], counts["b"], 3)
+        return np.stack([c >> 16 & 255, c >> 8 & 255, c & 255], 1).astype(np.uint8).reshape(width, height, 3)
     rows = levels(ds).toPandas().sort_values([b, a], ascending=[False, True])
-    return rows[["r", "g", "b"]].to_numpy().astype(np.uint8).reshape(counts["b"], counts["a"], 3)
+    return rows[["r", "g", "b"]].to_numpy().astype(np.uint8).reshape(height, width, 3)
 
 
 def png(data: np.ndarray) -> bytes:
@@ -68,8 +92,35 @@ def bmp(data: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
 
 
+def gif(data: np.ndarray) -> bytes:
+    """In a palette of 6 x 7 x 6 colours. Codes aren't chained: the table is cleared before it grows past nine bits."""
+    h, w = data.shape[:2]
+    steps = (6, 7, 6)
+    r, g, b = (np.rint(data[..., i].astype(float) * (n - 1) / 255).astype(int) for i, n in enumerate(steps))
+    palette = bytes(round(255 * v / (n - 1)) for i in range(6) for j in range(7) for k in range(6) for v, n in zip((i, j, k), steps, strict=True)) + bytes(3 * 4)
+    pixels = ((r * 7 + g) * 6 + b).reshape(-1)
+    codes = np.concatenate([np.concatenate([[256], pixels[at : at + 250]]) for at in range(0, len(pixels), 250)] + [[257]])
+    bits = np.unpackbits(codes.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9].reshape(-1)
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    blocks = b"".join(bytes([len(part)]) + part for part in (packed[at : at + 255] for at in range(0, len(packed), 255)))
+    return b"GIF87a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + palette + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + blocks + b"\0;"
+
+
+def wbmp(data: np.ndarray) -> bytes:
+    """Black and white, by brightness."""
+
+    def number(n: int) -> bytes:
+        out = [n & 127]
+        while n := n >> 7:
+            out.append(n & 127 | 128)
+        return bytes(reversed(out))
+
+    white = data.astype(int).sum(2) >= 3 * 128
+    return b"\0\0" + number(data.shape[1]) + number(data.shape[0]) + np.packbits(white, axis=1).tobytes()
+
+
 def encode(ds: FDataset, format: str = "png") -> bytes:
-    makers = {"png": png, "bmp": bmp}
+    makers = {"png": png, "bmp": bmp, "gif": gif, "wbmp": wbmp}
     if format not in makers:
         raise ValueError(f"formats are {sorted(makers)}")
     return makers[format](pixels(ds))
