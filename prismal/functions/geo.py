@@ -78,6 +78,13 @@ def geo_to_index(lat, lon, scale: float = 1.0) -> tuple[Column, Column]:
     return F.when(seen, row), F.when(seen, col)
 
 
+def geo_to_grid(lon, lat) -> tuple[Column, Column]:
+    """Fixed-grid angles (x, y), null where the place isn't visible."""
+    sx, sy, sz = view_from_lat_lon(lat, lon)
+    seen = is_visible(lat, lon)
+    return F.when(seen, F.asin(-sy / F.sqrt(sx * sx + sy * sy + sz * sz))), F.when(seen, F.atan(sz / sx))
+
+
 def index_to_geo(row, col) -> tuple[Column, Column]:
     """(lat, lon) of a pixel."""
     y, x = index_to_radians(row, col)
@@ -100,6 +107,11 @@ def scene_xy(ix, iy) -> tuple[Column, Column]:
     return STEP_X * _c(ix), STEP_Y * (MIDDLE - _c(iy))
 
 
+def scene_index(x, y) -> tuple[Column, Column]:
+    """The push-broom pixel of scene metres."""
+    return _c(x) / STEP_X, MIDDLE - _c(y) / STEP_Y
+
+
 def rotate(x, y, angle: float) -> tuple[Column, Column]:
     x, y = _c(x), _c(y)
     return x * math.cos(angle) - y * math.sin(angle), x * math.sin(angle) + y * math.cos(angle)

@@ -23,11 +23,16 @@ def polynomial(df: DataFrame, x: str, y: str, degree: int = 3) -> list[float]:
     """Least-squares coefficients, highest first, from sums that one aggregate row holds."""
     import numpy as np
 
-    power = lambda c, k: F.pow(F.col(c).cast("double"), F.lit(float(k)))
-    sums = [F.sum(power(x, k)).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(power(x, k) * F.col(y)).alias(f"t{k}") for k in range(degree + 1)]
-    row = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(*sums).first()
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    about = rows.agg(F.avg("x").alias("middle"), F.stddev_pop("x").alias("spread")).first()
+    middle, spread = about["middle"] or 0.0, about["spread"] or 1.0
+    # Powers of x as it is would lose the digits of a track far from 0.
+    power = lambda k: F.pow((F.col("x") - middle) / spread, F.lit(float(k)))
+    sums = [F.sum(power(k)).alias(f"s{k}") for k in range(2 * degree + 1)] + [F.sum(power(k) * F.col("y")).alias(f"t{k}") for k in range(degree + 1)]
+    row = rows.agg(*sums).first()
     a = np.array([[row[f"s{i + j}"] for j in range(degree + 1)] for i in range(degree + 1)], float)
-    return np.linalg.solve(a, np.array([row[f"t{i}"] for i in range(degree + 1)], float))[::-1].tolist()
+    found = np.linalg.solve(a, np.array([row[f"t{i}"] for i in range(degree + 1)], float))
+    return np.polynomial.Polynomial(found)(np.polynomial.Polynomial([-middle / spread, 1 / spread])).coef[::-1].tolist()
 
 
 def range_partition(c: Column, count: int, low: float, high: float) -> Column:

@@ -11,11 +11,13 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.bins import BinAxis, BinGrid
+from ..functions.transforms import Transform, transform_for
+from .ranks import ranked
 
 _NAN = float("nan")
 _OPERATORS: dict[str, Callable[[Column, Column], Column]] = {
@@ -97,13 +99,13 @@ class FDataset:
         return self.filter((ix >= x1) & (ix < x2) & (iy >= y1) & (iy < y2))
 
     def stride(self, *steps: int, first: tuple[int, ...] | None = None, index: bool = True) -> FDataset:
-        """Every n-th value of each coordinate. Without index, values are ranked, for which all distinct ones are sorted."""
+        """Every n-th value of each coordinate. Without index, values are ranked, for which the distinct ones are sorted in ranges."""
         names, out = self.domain[: len(steps)], self.df
         for i, (name, step) in enumerate(zip(names, steps, strict=True)):
             if index:
                 out = out.filter(F.pmod(F.col(name) - (first[i] if first else 0), F.lit(step)) == 0)
             else:
-                ranks = out.select(name).distinct().withColumn("_rank", F.row_number().over(Window.orderBy(name)) - 1)
+                ranks = ranked(out.select(name).distinct(), name, "_rank")
                 out = out.join(ranks.filter(F.col("_rank") % step == 0).drop("_rank"), name, "left_semi")
         return self._with(out)
 
@@ -152,13 +154,13 @@ class FDataset:
             raise ValueError("a curried dataset is asked for")
         return self.group_by_variable(*self.nested.domain, column=column)
 
-    def pivot(self, values: list, names: list[str], variable: str | None = None) -> FDataset:
-        """The range at each value of a variable, by conditional sums in one shuffle; missing ones are null."""
+    def pivot(self, values: list, names: list[str], variable: str | None = None, agg: Callable[[Column], Column] = F.max) -> FDataset:
+        """The range at each value of a variable, by conditional aggregates in one shuffle; missing ones are null. agg joins samples of one key, as F.sum."""
         flat = self.uncurry()
         variable = variable or flat.domain[-1]
         keys, value = [c for c in flat.domain if c != variable], flat.range[0]
-        # A domain value is in a function once; max() picks that one.
-        aggs = [F.max(F.when(F.col(variable) == F.lit(v), F.col(value))).alias(n) for v, n in zip(values, names, strict=True)]
+        # A domain value is in a function once, which max() picks.
+        aggs = [agg(F.when(F.col(variable) == F.lit(v), F.col(value))).alias(n) for v, n in zip(values, names, strict=True)]
         needed = flat.df.filter(F.col(variable).isin(*values))
         return FDataset(needed.groupBy(*keys).agg(*aggs), keys, list(names), self.id)
 
@@ -208,6 +210,20 @@ class FDataset:
         df = self.df.select(*[made[c].alias(c) if c in made else F.col(c) for c in domain], *self.range, *nested)
         return replace(self, df=df, domain=domain)
 
+    def substitute_nested(self, table: FDataset) -> FDataset:
+        """The table's domain within nested functions, as a swath's pixels, is replaced by its range: k -> (a, b) -> f to k -> (lon, lat) -> f.
+
+        The samples are joined flat and nested again, one shuffle by the outer coordinates; uncurry() undoes that for nothing.
+        """
+        if self.nested is None or not set(table.domain) <= set(self.nested.domain):
+            raise ValueError(f"no nested domain with {table.domain}")
+        flat = self.uncurry().substitute(table)
+        return flat.group_by_variable(*self.domain, *[c for c in flat.domain if c not in self.domain]).curry(self.arity, self.nested.column)
+
+    def transformed(self, transform: Transform) -> FDataset:
+        """The first two coordinates by a named transform."""
+        return self.substitute_by(self.domain[:2], list(transform.new), transform.to, once=True)
+
     def compose(self, f: Callable[[Column], dict[str, Column]]) -> FDataset:
         """A computed dataset applied to the range: of a nested function, or of one variable."""
         made = f(F.col(self.nested.column if self.nested else self.range[0]))
@@ -245,15 +261,39 @@ class FDataset:
         return replace(self, df=self.df.join(other.df.select(*other.domain, *other.range), self.domain, how), range=[*self.range, *other.range])
 
     def _neighbours(self, at: DataFrame, place: str) -> DataFrame:
-        """Places of a table beside the samples before and after them, by one sort within the domain's other coordinates."""
+        """Places of a table beside the samples before and after them.
+
+        The last coordinate is cut into ranges of about as many samples, so that one key of the domain's other
+        coordinates is sorted by many tasks. What a range lacks comes from the nearest one with a sample, of which
+        there is a row for each key and range.
+        """
         x, *keys = self.domain[::-1]
         sample = F.struct(F.col(x).alias("x"), *self.range)
+        cuts = self._cuts(x)
+
+        def cut(c: Column, low: int = 0, high: int = len(cuts)) -> Column:  # by halves
+            mid = (low + high) // 2
+            return F.lit(low) if low == high else F.when(c < cuts[mid], cut(c, low, mid)).otherwise(cut(c, mid + 1, high))
+
         rows = self.df.select(*keys, F.col(x).cast("double").alias("_at"), sample.alias("_s"), F.lit(None).cast("double").alias(place))
         asked = at.select(*keys, F.col(place).cast("double").alias("_at"), F.lit(None).cast(rows.schema["_s"].dataType).alias("_s"), F.col(place).cast("double").alias(place))
-        w = Window.partitionBy(*keys).orderBy("_at")
-        before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
-        both = rows.unionByName(asked).select(*keys, place, F.last("_s", True).over(before).alias("before"), F.first("_s", True).over(after).alias("after"))
-        return both.filter(F.col(place).isNotNull())
+        both = rows.unionByName(asked).withColumn("_cut", cut(F.col("_at")))
+        up = Window.partitionBy(*keys, "_cut").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+        down = Window.partitionBy(*keys, "_cut").orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, 0)
+        near = both.select(*keys, "_cut", place, F.last("_s", True).over(up).alias("_before"), F.last("_s", True).over(down).alias("_after")).filter(F.col(place).isNotNull())
+        where = F.when(F.col("_s").isNotNull(), F.col("_at"))
+        edges = both.groupBy(*keys, "_cut").agg(F.max_by("_s", where).alias("_high"), F.min_by("_s", where).alias("_low"))
+        earlier = Window.partitionBy(*keys).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+        later = Window.partitionBy(*keys).orderBy(F.col("_cut").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_cut").alias("_of"), F.last("_high", True).over(earlier).alias("_earlier"), F.last("_low", True).over(later).alias("_later"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys], F.col("_cut") == F.col("_of"))
+        return near.join(edges, same).select(*keys, place, F.coalesce("_before", "_earlier").alias("before"), F.coalesce("_after", "_later").alias("after"))
+
+    def _cuts(self, x: str, most: int = 200) -> list[float]:
+        """Ends of ranges with about as many values of a coordinate each, from one pass; as many ranges as shuffles have partitions."""
+        n = min(most, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        number = self.df.select(F.col(x).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+        return sorted(set(number.approxQuantile("x", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
 
     def nearest(self, at: DataFrame, place: str) -> FDataset:
         """For each place, the sample nearest along the last coordinate; the lower of two as near."""
@@ -272,6 +312,32 @@ class FDataset:
         out = [(F.col(f"before.{c}") + part * (F.col(f"after.{c}") - F.col(f"before.{c}"))).alias(c) for c in self.range]
         return FDataset(found.select(*keys, place, *out), [*keys, place], self.range, self.id)
 
+    def nodes(self, grid: BinGrid) -> DataFrame:
+        """The samples on a grid's nodes, with their indices i0 and i1: a cell-centred look-up of the grid's places."""
+        a, b = (replace(axis, center=True).index(c) for axis, c in zip(grid.axes, self.domain, strict=True))
+        return self.df.select(a.alias("i0"), b.alias("i1"), *self.range).filter("i0 is not null and i1 is not null")
+
+    def nearest_2d(self, at: DataFrame, places: tuple[str, str], grid: BinGrid) -> FDataset:
+        """For each place, the sample of the grid's node that is nearest along both axes (halves go up); places off the grid drop out. One equi-join."""
+        indices = [replace(axis, center=True).index(c).alias(f"i{k}") for k, (axis, c) in enumerate(zip(grid.axes, places, strict=True))]
+        found = at.select(*places, *indices).join(self.nodes(grid), ["i0", "i1"])
+        return FDataset(found.select(*places, *self.range), list(places), self.range, self.id)
+
+    def bilinear(self, at: DataFrame, places: tuple[str, str], grid: BinGrid) -> FDataset:
+        """For each place, the range interpolated between the four nodes around it; null outside and beside missing nodes.
+
+        Each place meets its corners in one equi-join by their indices; corners without weight aren't asked for.
+        """
+        offsets = [(F.col(c).cast("double") - axis.start) / axis.step for axis, c in zip(grid.axes, places, strict=True)]
+        low = [F.least(F.floor(o), F.lit(axis.count - 1)) for axis, o in zip(grid.axes, offsets, strict=True)]
+        part = [o - i for o, i in zip(offsets, low, strict=True)]
+        corners = [F.struct((low[0] + i).alias("i0"), (low[1] + j).alias("i1"), ((part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1])).alias("w")) for i in (0, 1) for j in (0, 1)]
+        asked = at.select(*places).distinct().select(*places, F.inline(F.filter(F.array(*corners), lambda c: c["w"] != 0)))
+        nodes = self.nodes(grid).withColumn("_there", F.lit(1))
+        met = asked.join(nodes, ["i0", "i1"], "left").groupBy(*places)
+        sums = [F.when(F.count(F.lit(1)) == F.count("_there"), F.sum(F.col("w") * F.col(c))).alias(c) for c in self.range]
+        return FDataset(met.agg(*sums), list(places), self.range, self.id)
+
     def union(self, other: FDataset, distinct: bool = False) -> FDataset:
         """Samples of both; copies stay unless distinct."""
         both = self.df.select(*self.columns).unionByName(other.df.select(*self.columns))
@@ -320,9 +386,17 @@ class FDataset:
         """Each nested function is resampled: its outer coordinates join the key of the group."""
         return self.uncurry().group_by_bin(grid)
 
-    def geo_subset(self, low: tuple[float, float], high: tuple[float, float], count: int, csx: Callable | None = None) -> FDataset:
-        """Resampled on a longitude-latitude grid. csx turns the first two coordinates into (lon, lat); it is part of the bin's expression."""
-        ds = self if csx is None else self.substitute_by(self.domain[:2], ["lon", "lat"], csx, once=True)
+    def geo_subset(self, low: tuple[float, float], high: tuple[float, float], count: int, transform: Transform | FDataset | None = None) -> FDataset:
+        """Resampled on a longitude-latitude grid of about `count` cells; the first sample of a cell counts.
+
+        Datasets of more than two coordinates are curried, so that whole spectra go to their cells. Unless the first
+        coordinate is a longitude, the first two are replaced: by `transform`, a formula or a table of a swath's
+        pixels, or by what the dataset's id asks for.
+        """
+        ds = self.curry(2) if self.nested is None and self.arity > 2 else self
+        if not ds.domain[0].lower().startswith("lon"):
+            found = transform if transform is not None else transform_for(ds.id, ds.domain[0])
+            ds = ds.substitute(found) if isinstance(found, FDataset) else ds.transformed(found)
         grid = BinGrid.from_extents(low, high, count)
         return ds.group_by_bin(grid, by=ds.domain[:2]) if ds.nested is None else ds._resample_curried(grid)
 
@@ -342,10 +416,23 @@ class FDataset:
         return self._with(self.df.repartition(n, F.coalesce(axis.index(self.domain[0]), F.lit(axis.count))))
 
     def cached(self) -> FDataset:
+        """Computed and kept; release() lets it go."""
         df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
         df.count()
         return self._with(df)
 
+    def release(self) -> FDataset:
+        self.df.unpersist()
+        return self
+
+    @staticmethod
+    def from_samples(spark: SparkSession, samples: list[tuple], schema: str, arity: int, id: str = "") -> FDataset:
+        """Of local samples, dealt out by ranges of the first coordinate; the first `arity` columns of the schema are the domain."""
+        df = spark.createDataFrame(samples, schema)
+        ds = FDataset(df, df.columns[:arity], df.columns[arity:], id)
+        n = min(max(1, len(samples)), spark.sparkContext.defaultParallelism)
+        return ds.partition_by_range(n) if samples else ds
+
     def as_view(self, name: str) -> FDataset:
         self.df.createOrReplaceTempView(name)
         return replace(self, id=name)
@@ -363,6 +450,12 @@ class FDataset:
     def transform(self, f: Callable[[DataFrame], DataFrame], domain: list[str] | None = None, range: list[str] | None = None) -> FDataset:
         return FDataset(self.df.transform(f), domain or self.domain, self.range if range is None else range, self.id)
 
+    def _repr_png_(self) -> bytes | None:
+        """What a notebook shows of an image; other datasets have their text."""
+        from ..sinks import image
+
+        return image.encode(self) if self.nested is None and self.arity == 2 and len(self.range) in (1, 3) else None
+
     def info(self) -> str:
         inner = f" -> ({', '.join(self.nested.domain)}) -> ({', '.join(self.nested.range)})" if self.nested else ""
         return f"{self.id or 'dataset'}: ({', '.join(self.domain)})" + (f" -> ({', '.join(self.range)})" if self.range else "") + inner
