@@ -17,10 +17,17 @@ class Catalog:
 
     def register(self, id: str, maker: Callable[[SparkSession], FDataset]) -> None:
         self._makers[id] = maker
-        self._made.pop(id, None)
+        self._drop(id)
+
+    def _drop(self, id: str) -> None:
+        """Lets go of a cached dataset that another one replaces."""
+        if (was := self._made.pop(id, None)) is not None:
+            was.release()
 
     def add(self, ds: FDataset) -> FDataset:
         """A dataset that is there already, also to SQL."""
+        if (was := self._made.get(ds.id)) is not None and was.df is not ds.df:
+            self._drop(ds.id)
         self._made[ds.id] = ds.as_view(ds.id)
         return ds
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import FDataset
+from ..operators.ranks import ranked
 
 
 def numbered(spark: SparkSession, base: str, count: int = 4200, stride: int = 1, pattern: str = "img%04d.txt") -> FDataset:
@@ -39,11 +40,7 @@ def from_listing(files: DataFrame, pattern: str, prefix: str = "", key: str = "p
     found = files.select(F.col(key).alias("key")).filter(F.col("key").startswith(prefix) & F.col("key").rlike(f"^(?:{pattern})$"))
     plain = re.sub(r"\(\?<[A-Za-z]\w*>", "(", pattern)
     groups = [F.regexp_extract("key", f"^(?:{plain})$", numbered_groups[n]).alias(n) for n in names]
-    ordered = found.repartitionByRange("key").sortWithinPartitions("key").withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    starts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    df = ordered.join(F.broadcast(starts), "_part").select((F.col("_at") - F.col("_low") + F.col("_before")).alias("index"), "key", *groups)
+    df = ranked(found, "key", "index").select("index", "key", *groups)
     return FDataset(df, ["index"], ["key", *names], "listing")
 
 
@@ -53,7 +50,16 @@ def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", "modificationTime")
 
 
-def with_reader(granules: FDataset, read: Callable[[DataFrame], DataFrame], domain: list[str], range: list[str]) -> FDataset:
-    """k -> uri to (k, inner domain) -> range: `read` turns a table with a uri column into samples that keep the other columns."""
+def with_reader(granules: FDataset, read: Callable, domain: list[str] | None = None, range: list[str] | None = None) -> FDataset:
+    """k -> uri to (k, inner domain) -> range.
+
+    `read` turns the list of granules into a dataset, as netcdf.read_granules() does; or, with a domain and a range
+    given, a table with a uri column into samples that keep the other columns.
+    """
+    if domain is None:
+        found = read(granules)
+        if found.domain[: granules.arity] != granules.domain:
+            raise ValueError(f"the reader lost {granules.domain}")
+        return found
     df = read(granules.df).select(*granules.domain, *domain, *range)
     return FDataset(df, [*granules.domain, *domain], range, granules.id)

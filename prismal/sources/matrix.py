@@ -28,8 +28,9 @@ def image(spark: SparkSession, path: str) -> FDataset:
 
 
 def wavelengths(spark: SparkSession, path: str) -> FDataset:
-    """iw -> wavelength from the first row of a matrix."""
-    df = read_matrices(spark, path).filter("row = 0").select(F.col("col").alias("iw"), F.col("value").alias("wavelength"))
+    """iw -> wavelength from the first row of a matrix; the other rows aren't split."""
+    first = spark.read.text(path, wholetext=True).select(F.split("value", "\r?\n", 2)[0].alias("line"))
+    df = first.select(F.posexplode(_cells(F.col("line"), ",")).alias("iw", "wavelength"))
     return FDataset(df, ["iw"], ["wavelength"], "wavelengths")
 
 
@@ -37,10 +38,11 @@ def index_cube(spark: SparkSession, base: str, count: int = 4200, stride: int =
     """(ix, iy, iw) -> radiance of numbered images. The list is made first, so only its files are opened."""
     granules = numbered(spark, base, count, stride, pattern).df
     paths = [r.uri for r in granules.collect()]  # a file name for each image
-    name = F.element_at(F.split("path", "/"), -1)
-    cells = read_matrices(spark, paths).withColumn("_name", name)
-    named = granules.select("ix", F.element_at(F.split("uri", "/"), -1).alias("_name"))
-    df = cells.join(F.broadcast(named), "_name").select("ix", F.col("row").alias("iy"), F.col("col").alias("iw"), F.col("value").alias("radiance"))
+    # Whole paths, as Spark spells them: escaped, and with a scheme.
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    cells = read_matrices(spark, paths).withColumn("_path", plain(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
+    named = granules.select("ix", plain(F.col("uri")).alias("_path"))
+    df = cells.join(F.broadcast(named), "_path").select("ix", F.col("row").alias("iy"), F.col("col").alias("iw"), F.col("value").alias("radiance"))
     return FDataset(df, ["ix", "iy", "iw"], ["radiance"], "pushbroom")
 
 
