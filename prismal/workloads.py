@@ -7,17 +7,20 @@ wavelength = 400 + 10 * iw.
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, geodesy, image, track
+from .functions import geo, geodesy, image, track, transforms
 from .functions.bins import BinAxis, BinGrid
 from .operators.dataset import FDataset, Nested, rgb_at
 from .plans.query import run_query
 from .sinks import image as image_sink
-from .sources import generator, granules
+from .sinks import text
+from .sources import generator, granules, matrix, netcdf, readers, store
 from .sources.catalog import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,9 +123,9 @@ def take_drop(spark, sf_dir):
     return _table(spark, sf_dir, "orders", ["o_orderkey"], ["o_totalprice"]).drop(10).take(20).df
 
 
-@query("SELECT ts, event_id, value FROM events ORDER BY ts LIMIT 25")
+@query("SELECT ts, event_id, value FROM events")
 def ordered(spark, sf_dir):
-    return _table(spark, sf_dir, "events", ["ts"], ["event_id", "value"]).ordered().take(25).df
+    return _table(spark, sf_dir, "events", ["ts"], ["event_id", "value"]).ordered().df
 
 
 # Lists of granules
@@ -138,12 +141,60 @@ def section_list(spark, sf_dir):
     return granules.sections(spark, "f.nc", [(1, "low", 0), (13.5, "high", 2)], stride=5).df
 
 
-@query("SELECT row_number() OVER (ORDER BY key) - 1 AS index, key, regexp_extract(key, 'x/(\\w+)-(\\d+)', 1) AS kind, regexp_extract(key, 'x/(\\w+)-(\\d+)', 2) AS num FROM (SELECT DISTINCT printf('x/%s-%03d', event_type, user_id) AS key FROM events WHERE user_id < 500)")
+@query("SELECT row_number() OVER (ORDER BY key) - 1 AS index, key, regexp_extract(key, 'x/(\\w+)-(\\d+)', 1) AS kind, regexp_extract(key, 'x/(\\w+)-(\\d+)', 2) AS num FROM (SELECT DISTINCT printf('x/%s-%03d', event_type, user_id) AS key FROM events)")
 def key_listing(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.format_string("x/%s-%03d", "event_type", "user_id").alias("path")).distinct()
     return granules.from_listing(keys, r"x/(?<kind>\w+)-(?<num>\d+)", "x/").df
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see; of this machine only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='prismal-')}"
+    return f"{base.rstrip('/')}/matrices-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT round(0.92167::DOUBLE * ix, 6) AS x, round(12.358::DOUBLE * (239.5::DOUBLE - iy), 6) AS y, CAST(1030 - 10 * iw AS DOUBLE) AS wavelength, radiance FROM {_CUBE}")
+def matrix_cube(spark, sf_dir):
+    """The cube as text matrices, an image each, read back from their list with wavelengths and metres."""
+    folder, cube = _folder(spark), _cube(spark, sf_dir).uncurry()
+    images = text.write_matrices(cube, folder).count()
+    store.write(f"{folder}/wavelength.txt", (",".join(str(1030.0 - 10 * i) for i in range(64)) + "\nnot,read\n").encode())
+    df = readers.pushbroom(spark, folder, count=images, cache=False).df
+    return df.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "wavelength", "radiance")
+
+
+@query(f"SELECT ix, iy, iw, radiance FROM {_CUBE} WHERE ix % 5 = 0")
+def matrix_named_cube(spark, sf_dir):
+    """Of every fifth image, by their number."""
+    folder = _folder(spark)
+    images = text.write_matrices(_cube(spark, sf_dir).uncurry(), folder).count()
+    return matrix.index_cube(spark, folder, images, 5).df.select(F.col("ix").cast("long"), F.col("iy").cast("long"), "iw", "radiance")
+
+
+@query("SELECT CAST(400 + 10 * k AS DOUBLE) AS wavelength, CAST(vec_id AS INTEGER) AS iy, CAST(embedding[k + 1] AS DOUBLE) AS radiance FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings), (VALUES (5), (20), (40)) AS b(k)")
+def granule_images(spark, sf_dir):
+    """wavelength -> uri of a section of an array file to (wavelength, iy) -> radiance; the table stands in for the file."""
+    bands = [(400.0 + 10 * k, f"{sf_dir}/embeddings.parquet!/embedding#(0:{_rows(spark, sf_dir) - 1}:1,{k}:{k}:1)") for k in (5, 20, 40)]
+    return netcdf.read_granules(granules.listed(spark, bands), ("iy",)).df
+
+
+def _rows(spark, sf_dir) -> int:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+@query("SELECT 0.5::DOUBLE * vec_id AS longitude, 10.0::DOUBLE - 0.25::DOUBLE * vec_id AS latitude, CAST(b AS DOUBLE) AS band, CAST(embedding[b] AS DOUBLE) AS radiance FROM embeddings, range(1, 65) AS r(b)")
+def swath_reader(spark, sf_dir):
+    """End to end: (band, pixel) of a list of sections, with the pixels' places."""
+    last = _rows(spark, sf_dir) - 1
+    bands = granules.listed(spark, [(float(b), f"{sf_dir}/embeddings.parquet!/embedding#(0:{last}:1,{b - 1}:{b - 1}:1)") for b in range(1, 65)], "band")
+    px = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("int").alias("ix"), (F.col("vec_id") * 0.5).alias("longitude"), (10.0 - F.col("vec_id") * 0.25).alias("latitude"))
+    return readers.swath(spark, bands, FDataset(px, ["ix"], ["longitude", "latitude"]), names=("ix",), cache=False).df.select("longitude", "latitude", "band", "radiance")
+
+
 # Restructuring
 
 
@@ -159,9 +210,9 @@ def curry(spark, sf_dir):
     return ds.df.select("user_id", F.size(s).cast("long").alias("n"), F.get(s, F.lit(0))["value"].alias("head"), F.get(s, F.size(s) - 1)["value"].alias("tail"))
 
 
-@query(f"SELECT iw, iy, ix, radiance FROM {_CUBE} WHERE iw < 4")
+@query(f"SELECT iw, iy, ix, radiance FROM {_CUBE}")
 def group_by_variable(spark, sf_dir):
-    return _cube(spark, sf_dir).uncurry().select("iw < 4").group_by_variable("iw", "iy", "ix").df
+    return _cube(spark, sf_dir).uncurry().group_by_variable("iw", "iy", "ix").df
 
 
 @query(f"SELECT iw, count(*) AS n, arg_min(radiance, ix * 20 + iy) AS head, arg_max(radiance, ix * 20 + iy) AS tail FROM {_CUBE} GROUP BY iw")
@@ -257,6 +308,56 @@ def linear_eval(spark, sf_dir):
     return df.select("event_type", "place", F.round("value", 6).alias("value"))
 
 
+_SPOTS = "(SELECT i % 20 * 1.375::DOUBLE AS x, i // 20 * 0.8125::DOUBLE AS y FROM range(400) AS r(i))"
+
+
+def _spots(spark):
+    return spark.range(400).select((F.col("id") % 20 * 1.375).alias("x"), (F.floor(F.col("id") / 20) * 0.8125).alias("y"))
+
+
+def _image_axes(spark, sf_dir) -> tuple[FDataset, BinGrid]:
+    """The image of one band, whose pixels are the nodes of a grid."""
+    px = _pixels(spark, sf_dir).select("ix", "iy", F.col("embedding")[5].cast("double").alias("v"))
+    return FDataset(px, ["ix", "iy"], ["v"]), _grid_over(px, {"ix": 1.0, "iy": 1.0})
+
+
+@query(f"WITH p AS (SELECT vec_id // 20 AS ix, vec_id % 20 AS iy, CAST(embedding[6] AS DOUBLE) AS v FROM embeddings) SELECT x, y, v FROM {_SPOTS} s JOIN p ON p.ix = floor(x + 0.5) AND p.iy = floor(y + 0.5)")
+def nearest_2d(spark, sf_dir):
+    ds, grid = _image_axes(spark, sf_dir)
+    return ds.nearest_2d(_spots(spark), ("x", "y"), grid).df
+
+
+@query(
+    f"""WITH p AS (SELECT vec_id // 20 AS ix, vec_id % 20 AS iy, CAST(embedding[6] AS DOUBLE) AS v FROM embeddings),
+    c AS (SELECT x, y, floor(x) + i AS ix, floor(y) + j AS iy, (CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) AS w
+      FROM {_SPOTS} s, range(2) AS a(i), range(2) AS b(j))
+    SELECT x, y, CASE WHEN count(*) = count(v) THEN round(sum(w * v), 9) END AS v FROM c LEFT JOIN p ON p.ix = c.ix AND p.iy = c.iy WHERE w <> 0 GROUP BY x, y"""
+)
+def bilinear(spark, sf_dir):
+    ds, grid = _image_axes(spark, sf_dir)
+    return ds.bilinear(_spots(spark), ("x", "y"), grid).df.select("x", "y", F.round("v", 9).alias("v"))
+
+
+@query(f"SELECT ix, iy, CASE WHEN iw < 60 THEN CAST(400 + 10 * iw AS DOUBLE) END AS wavelength, radiance FROM {_CUBE}")
+def substitute_left(spark, sf_dir):
+    """Samples that the table lacks stay, with nulls."""
+    table = FDataset(spark.range(60).select(F.col("id").cast("int").alias("iw"), (F.col("id") * 10.0 + 400.0).alias("wavelength")), ["iw"], ["wavelength"])
+    return _cube(spark, sf_dir).uncurry().substitute(table, how="left").df
+
+
+@query("SELECT user_id, round(sum(value) FILTER (WHERE event_type = 'click'), 6) AS click, round(sum(value) FILTER (WHERE event_type = 'view'), 6) AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id")
+def pivot_sum(spark, sf_dir):
+    """Samples of one key are added up."""
+    ds = _table(spark, sf_dir, "events", ["user_id", "event_type"], ["value"]).pivot(["click", "view"], ["click", "view"], agg=F.sum)
+    return ds.df.select("user_id", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
+
+
+@query(f"SELECT {_PIXEL}, label FROM embeddings")
+def rename_dataset(spark, sf_dir):
+    ds = FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"], "pixels").rename("other")
+    return ds.df if ds.id == "other" else ds.df.limit(0)
+
+
 @query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
 def union_all(spark, sf_dir):
     return _both(spark, sf_dir, False)
@@ -277,7 +378,6 @@ def _both(spark, sf_dir, distinct):
 # Gridding
 
 _HEAD_STEPS = {"value": 25.0, "user_id": 10.0}
-_IN_HEAD = "value >= 0 AND value < 500 AND user_id >= 0 AND user_id < 500"
 
 
 def _grid_over(df: DataFrame, steps: dict[str, float]) -> BinGrid:
@@ -290,22 +390,22 @@ def _grid_over(df: DataFrame, steps: dict[str, float]) -> BinGrid:
     return BinGrid(tuple(axes))
 
 
-@query(f"SELECT v * 25.0::DOUBLE AS value, u * 10.0::DOUBLE AS user_id, event_id FROM (SELECT floor(value / 25) AS v, floor(user_id / 10) AS u, event_id, row_number() OVER (PARTITION BY floor(value / 25), floor(user_id / 10) ORDER BY value, user_id, event_id) AS k FROM events WHERE {_IN_HEAD}) WHERE k = 1")
+@query(f"SELECT v * 25.0::DOUBLE AS value, u * 10.0::DOUBLE AS user_id, event_id FROM (SELECT floor(value / 25) AS v, floor(user_id / 10) AS u, event_id, row_number() OVER (PARTITION BY floor(value / 25), floor(user_id / 10) ORDER BY value, user_id, event_id) AS k FROM events) WHERE k = 1")
 def resample_head(spark, sf_dir):
     ds = _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"])
     return ds.resample(_grid_over(ds.df, _HEAD_STEPS)).df
 
 
-@query(f"SELECT floor(value / 25) * 25.0::DOUBLE AS value, floor(user_id / 10) * 10.0::DOUBLE AS user_id, count(*) AS n, max(event_id) AS last_id FROM events WHERE {_IN_HEAD} GROUP BY floor(value / 25) * 25.0::DOUBLE, floor(user_id / 10) * 10.0::DOUBLE")
+@query(f"SELECT floor(value / 25) * 25.0::DOUBLE AS value, floor(user_id / 10) * 10.0::DOUBLE AS user_id, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY floor(value / 25) * 25.0::DOUBLE, floor(user_id / 10) * 10.0::DOUBLE")
 def group_by_bin(spark, sf_dir):
     ds = _table(spark, sf_dir, "events", ["value", "user_id"], ["event_id"])
     return ds.group_by_bin(_grid_over(ds.df, _HEAD_STEPS), {"n": F.count(F.lit(1)), "last_id": F.max("event_id")}).df
 
 
-@query("SELECT x * 4.0::DOUBLE AS ix, y * 3.0::DOUBLE AS iy, label, vec_id FROM (SELECT (vec_id // 20) // 4 AS x, (vec_id % 20) // 3 AS y, label, vec_id, row_number() OVER (PARTITION BY (vec_id // 20) // 4, (vec_id % 20) // 3 ORDER BY (vec_id // 20 % 4 - 2.0) * (vec_id // 20 % 4 - 2.0) + (vec_id % 20 % 3 - 1.5) * (vec_id % 20 % 3 - 1.5), vec_id // 20, vec_id % 20) AS k FROM embeddings WHERE vec_id // 20 < 24 AND vec_id % 20 < 18) WHERE k = 1")
+@query("SELECT x * 4.0::DOUBLE AS ix, y * 3.0::DOUBLE AS iy, label, vec_id FROM (SELECT (vec_id // 20) // 4 AS x, (vec_id % 20) // 3 AS y, label, vec_id, row_number() OVER (PARTITION BY (vec_id // 20) // 4, (vec_id % 20) // 3 ORDER BY (vec_id // 20 % 4 - 2.0) * (vec_id // 20 % 4 - 2.0) + (vec_id % 20 % 3 - 1.5) * (vec_id % 20 % 3 - 1.5), vec_id // 20, vec_id % 20) AS k FROM embeddings) WHERE k = 1")
 def resample_nearest(spark, sf_dir):
     ds = FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label", "vec_id"), ["ix", "iy"], ["label", "vec_id"])
-    return ds.nearest_in_bin(BinGrid((BinAxis(0, 4, 6), BinAxis(0, 3, 6)))).df
+    return ds.nearest_in_bin(_grid_over(ds.df, {"ix": 4.0, "iy": 3.0})).df
 
 
 @query("SELECT round(-108.27::DOUBLE + (i // 4) * 0.01875::DOUBLE, 9) AS lon, round(34.68::DOUBLE + (i % 4) * 0.02::DOUBLE, 9) AS lat FROM range(16) AS r(i)")
@@ -319,7 +419,7 @@ _GEO = """(SELECT vec_id, x, y, rs * cos(x) * cos(y) AS sx, -rs * sin(x) AS sy,
   SELECT *, (42164160.0::DOUBLE * cos(x) * cos(y) - sqrt(greatest(d, 0))) / a AS rs FROM (
     SELECT *, (42164160.0::DOUBLE * cos(x) * cos(y)) ** 2 - a * (42164160.0::DOUBLE ** 2 - 6378137.0::DOUBLE ** 2) AS d FROM (
       SELECT vec_id, x, y, sin(x) ** 2 + cos(x) ** 2 * (cos(y) ** 2 + (6378137.0::DOUBLE / 6356752.31414::DOUBLE) ** 2 * sin(y) ** 2) AS a FROM (
-        SELECT vec_id, (vec_id // 20 - 12) * 0.005::DOUBLE AS x, (vec_id % 20 - 10) * 0.01::DOUBLE AS y FROM embeddings WHERE vec_id < 500)))  WHERE d >= 0))"""
+        SELECT vec_id, (vec_id // 20 - 12) * 0.005::DOUBLE AS x, (vec_id % 20 - 10) * 0.01::DOUBLE AS y FROM embeddings))) WHERE d >= 0 AND cos(x) * cos(y) > 0))"""
 _LON, _LAT = "degrees(-1.308996939::DOUBLE - atan(sy / (42164160.0::DOUBLE - sx)))", "degrees(atan((6378137.0::DOUBLE / 6356752.31414::DOUBLE) ** 2 * sz / sqrt((42164160.0::DOUBLE - sx) ** 2 + sy ** 2)))"
 
 
@@ -334,15 +434,43 @@ def grid_to_geo(spark, sf_dir):
     return df.select("vec_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query(f"SELECT floor((lon + 105) / 6) * 6.0::DOUBLE - 105 AS lon, floor((lat + 60) / 12) * 12.0::DOUBLE - 60 AS lat, count(*) AS n FROM (SELECT {_LON} AS lon, {_LAT} AS lat FROM {_GEO}) WHERE lon >= -105 AND lon < -45 AND lat >= -60 AND lat < 60 GROUP BY 1, 2".replace("GROUP BY 1, 2", "GROUP BY ALL"))
+_CELL = "floor((lon + 105) / 6) * 6.0::DOUBLE - 105 AS lon, floor((lat + 60) / 6) * 6.0::DOUBLE - 60 AS lat"
+_IN_BOX = f"(SELECT vec_id, {_LON} AS lon, {_LAT} AS lat FROM {_GEO})"
+
+
+@query(f"SELECT {_CELL}, arg_min(vec_id, round(lon, 6) * 1000 + lat) AS vec_id FROM {_IN_BOX} WHERE lon >= -105 AND lon < -45 AND lat >= -60 AND lat < 60 GROUP BY floor((lon + 105) / 6) * 6.0::DOUBLE - 105, floor((lat + 60) / 6) * 6.0::DOUBLE - 60")
 def geo_subset(spark, sf_dir):
-    ds = _fixed_grid(spark, sf_dir).substitute_by(["x", "y"], ["lon", "lat"], geo.grid_to_geo, once=True)
-    return ds.group_by_bin(BinGrid.of_shape((-105.0, -60.0), (-45.0, 60.0), (10, 10)), {"n": F.count(F.lit(1))}).df
+    return _fixed_grid(spark, sf_dir).rename("geostationary").geo_subset((-105.0, -60.0), (-45.0, 60.0), 200).df
+
+
+@query(f"WITH p AS (SELECT {_CELL}, arg_min(vec_id, round(lon, 6) * 1000 + lat) AS vec_id FROM {_IN_BOX} WHERE lon >= -105 AND lon < -45 AND lat >= -60 AND lat < 60 GROUP BY floor((lon + 105) / 6) * 6.0::DOUBLE - 105, floor((lat + 60) / 6) * 6.0::DOUBLE - 60) SELECT lon, lat, CAST(i AS INTEGER) AS iw, CAST(embedding[i + 1] AS DOUBLE) AS radiance FROM p JOIN embeddings USING (vec_id), range(64) AS r(i)")
+def geo_subset_spectra(spark, sf_dir):
+    """Of (x, y, iw) -> radiance, which is curried: whole spectra go to the cells."""
+    cube = _cube(spark, sf_dir).substitute_by(["ix", "iy"], ["x", "y"], lambda ix, iy: ((ix - 12) * 0.005, (iy - 10) * 0.01))
+    return cube.uncurry().rename("geostationary spectra").geo_subset((-105.0, -60.0), (-45.0, 60.0), 200).uncurry().df
 
 
-@query(f"SELECT iw, ix // 5 * 5.0::DOUBLE AS ix, iy // 5 * 5.0::DOUBLE AS iy, arg_min(radiance, ix * 20 + iy) AS radiance FROM {_CUBE} WHERE ix < 25 AND iw < 8 GROUP BY iw, ix // 5 * 5.0::DOUBLE, iy // 5 * 5.0::DOUBLE")
+@query(f"SELECT vec_id, round({_LON}, 6) AS lon, round({_LAT}, 6) AS lat, round(x, 8) AS x, round(y, 8) AS y FROM {_GEO}")
+def transform_pair(spark, sf_dir):
+    """To longitude and latitude, and back by the inverse."""
+    t = transforms.GEOSTATIONARY
+    there = _fixed_grid(spark, sf_dir).transformed(t).df.filter("not isnan(lon) and not isnan(lat)")
+    x, y = t.inverse(F.col("lon"), F.col("lat"))
+    return there.select("vec_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round(x, 8).alias("x"), F.round(y, 8).alias("y"))
+
+
+@query(f"SELECT iw, round(0.5::DOUBLE * ix + 0.125::DOUBLE * iy, 9) AS longitude, round(0.25::DOUBLE * iy - 0.0625::DOUBLE * ix, 9) AS latitude, radiance FROM {_CUBE}")
+def swath_nested(spark, sf_dir):
+    """band -> (ix, iy) -> radiance with the pixels' places in the nested domain."""
+    px = _pixels(spark, sf_dir)
+    table = FDataset(px.select("ix", "iy", (0.5 * F.col("ix") + 0.125 * F.col("iy")).alias("longitude"), (0.25 * F.col("iy") - 0.0625 * F.col("ix")).alias("latitude")), ["ix", "iy"], ["longitude", "latitude"], "swath")
+    ds = _cube(spark, sf_dir).uncurry().group_by_variable("iw", "ix", "iy").curry(1).substitute_nested(table).uncurry()
+    return ds.df.select("iw", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), "radiance")
+
+
+@query(f"SELECT iw, ix // 5 * 5.0::DOUBLE AS ix, iy // 5 * 5.0::DOUBLE AS iy, arg_min(radiance, ix * 20 + iy) AS radiance FROM {_CUBE} GROUP BY iw, ix // 5 * 5.0::DOUBLE, iy // 5 * 5.0::DOUBLE")
 def image_resample(spark, sf_dir):
-    by_band = _cube(spark, sf_dir).uncurry().select("iw < 8").group_by_variable("iw", "ix", "iy")
+    by_band = _cube(spark, sf_dir).uncurry().group_by_variable("iw", "ix", "iy")
     return by_band.resample_range(_grid_over(_pixels(spark, sf_dir), {"ix": 5.0, "iy": 5.0})).df
 
 
@@ -357,8 +485,8 @@ def bounding_box(spark, sf_dir):
 
 @query("SELECT round(quantile_cont(value, 0.05), 8) AS p05, round(quantile_cont(value, 0.5), 8) AS p50, round(quantile_cont(value, 0.97), 8) AS p97 FROM (SELECT CAST(value AS DOUBLE) AS value FROM events)")
 def percentiles(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return df.agg(*[F.round(image.percentile("value", p), 8).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p97", 0.97))])
+    found = image.percentiles(spark.read.parquet(f"{sf_dir}/events.parquet"), {"value": [0.05, 0.5, 0.97]})["value"]
+    return spark.createDataFrame([tuple(found)], "p05 double, p50 double, p97 double").select(*[F.round(n, 8).alias(n) for n in ("p05", "p50", "p97")])
 
 
 _EDGES = "(SELECT " + ", ".join(f"quantile_cont({c}, 0.03) AS {c}0, quantile_cont({c}, 0.97) AS {c}1" for c in "rgb") + f" FROM ({_RGB_SQL}))"
@@ -383,9 +511,24 @@ def packed_argb(spark, sf_dir):
     return _rgb(spark, sf_dir).df.select("ix", "iy", image.packed_argb(*[image.to_level(c, 0.0, 1.0) for c in "rgb"]).alias("argb"))
 
 
-@query(f"WITH p AS (SELECT * FROM ({_RGB_SQL}) WHERE (ix * 20 + iy) % 11 <> 0) SELECT x.ix, y.iy, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT ix FROM p) x CROSS JOIN (SELECT DISTINCT iy FROM p) y LEFT JOIN p ON p.ix = x.ix AND p.iy = y.iy")
+@query(f"WITH p AS (SELECT * FROM ({_RGB_SQL})) SELECT x.ix, y.iy, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM (SELECT DISTINCT ix FROM p) x CROSS JOIN (SELECT DISTINCT iy FROM p) y LEFT JOIN p ON p.ix = x.ix AND p.iy = y.iy")
 def image_grid(spark, sf_dir):
-    return image_sink.grid(_rgb(spark, sf_dir).filter("(ix * 20 + iy) % 11 <> 0"))
+    return image_sink.grid(_rgb(spark, sf_dir))
+
+
+@query(f"WITH p AS ({_RGB_SQL}), e AS (SELECT " + ", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in "rgb") + " FROM p) SELECT ix, iy, " + ", ".join(f"CAST(trunc(greatest(0, least(1, ({c} - {c}0) / ({c}1 - {c}0))) * 255) AS INTEGER) AS {c}" for c in "rgb") + " FROM p, e")
+def image_levels(spark, sf_dir):
+    """Each channel by its least and largest value."""
+    return image_sink.levels(_rgb(spark, sf_dir), stretch=None)
+
+
+@query("SELECT CAST(vec_id // 20 AS BIGINT) AS i, CAST(vec_id % 20 AS BIGINT) AS j, CAST(label * 7919 % 256 AS BIGINT) AS r, CAST(vec_id % 256 AS BIGINT) AS g, CAST(label % 256 AS BIGINT) AS b FROM embeddings")
+def packed_pixels(spark, sf_dir):
+    """A packed-colour image, in sample order, read back from its bytes."""
+    colour = image.packed_argb(F.col("label") * 7919 % 256, (F.col("vec_id") % 256).cast("int"), F.col("label") % 256)
+    data = image_sink.pixels(FDataset(_pixels(spark, sf_dir).select("ix", "iy", colour.alias("argb")), ["ix", "iy"], ["argb"]))
+    rows = [(i, j, *map(int, data[i, j])) for i in range(data.shape[0]) for j in range(data.shape[1])]
+    return spark.createDataFrame(rows, "i long, j long, r long, g long, b long")
 
 
 @query("SELECT count(DISTINCT vec_id // 20) AS rows, count(DISTINCT vec_id % 20) AS cols, 1.0::DOUBLE AS dx, 1.0::DOUBLE AS dy, min(vec_id % 20) - 0.5::DOUBLE AS min_lon, min(vec_id // 20) - 0.5::DOUBLE AS min_lat, max(vec_id % 20) + 0.5::DOUBLE AS max_lon, max(vec_id // 20) + 0.5::DOUBLE AS max_lat FROM embeddings")
@@ -441,7 +584,29 @@ def rotate_xy(spark, sf_dir):
     return _pixels(spark, sf_dir).select("vec_id", F.round(x, 8).alias("x"), F.round(y, 8).alias("y"))
 
 
-@query()
+def _geodesic_sql(steps: int = 8) -> str:
+    """The published direct formula in SQL: `steps` iterations of the angle on the auxiliary sphere, a subquery each."""
+    a, f = "6378137.0::DOUBLE", "(1 / 298.257223563::DOUBLE)"
+    lon, lat, turn = f"{geo.ORIGIN[0]!r}::DOUBLE", f"{geo.ORIGIN[1]!r}::DOUBLE", f"{geo.ANGLE!r}::DOUBLE"
+    rows = f"SELECT vec_id, 0.92167::DOUBLE * (vec_id // 20) AS x, 12.358::DOUBLE * (239.5::DOUBLE - vec_id % 20) AS y, {a} * (1 - {f}) AS minor, atan((1 - {f}) * tan(radians({lat}))) AS u FROM embeddings"
+    rows = f"SELECT vec_id, minor, u, x * cos({turn}) - y * sin({turn}) AS e, x * sin({turn}) + y * cos({turn}) AS n FROM ({rows})"
+    rows = f"SELECT vec_id, minor, u, atan2(e, n) AS az, sqrt(e * e + n * n) AS s FROM ({rows})"
+    rows = f"SELECT *, atan2(tan(u), cos(az)) AS s1, cos(u) * sin(az) AS sa FROM ({rows})"
+    rows = f"SELECT *, 1 - sa * sa AS c2, (1 - sa * sa) * ({a} * {a} - minor * minor) / (minor * minor) AS u2 FROM ({rows})"
+    rows = f"SELECT *, s / (minor * (1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))))) AS arc, u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2))) AS k FROM ({rows})"
+    keep = "vec_id, u, az, s1, sa, c2, arc, k"
+    rows = f"SELECT {keep}, arc AS g FROM ({rows})"
+    for _ in range(steps):
+        rows = f"SELECT {keep}, g, cos(2 * s1 + g) AS m FROM ({rows})"
+        rows = f"SELECT {keep}, arc + k * sin(g) * (m + k / 4 * (cos(g) * (2 * m * m - 1) - k / 6 * m * (4 * sin(g) * sin(g) - 3) * (4 * m * m - 3))) AS g FROM ({rows})"
+    rows = f"SELECT *, cos(2 * s1 + g) AS m, sin(u) * sin(g) - cos(u) * cos(g) * cos(az) AS t, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) AS c FROM ({rows})"
+    out_lat = f"atan2(sin(u) * cos(g) + cos(u) * sin(g) * cos(az), (1 - {f}) * sqrt(sa * sa + t * t))"
+    lam = "atan2(sin(g) * sin(az), cos(u) * cos(g) - sin(u) * sin(g) * cos(az))"
+    turned = f"{lam} - (1 - c) * {f} * sa * (g + c * sin(g) * (m + c * cos(g) * (2 * m * m - 1)))"
+    return f"SELECT vec_id, round({lon} + degrees({turned}), 9) AS lon, round(degrees({out_lat}), 9) AS lat FROM ({rows})"
+
+
+@query(_geodesic_sql())
 def geodesic_direct(spark, sf_dir):
     g = geodesy.scene_index_to_geo(F.col("ix").cast("double"), F.col("iy").cast("double"))
     return _pixels(spark, sf_dir).select("vec_id", F.round(g["lon"], 9).alias("lon"), F.round(g["lat"], 9).alias("lat"))
@@ -486,6 +651,22 @@ def query_string(spark, sf_dir):
     return run_query("/dap/cube.txt?uncurry()&ix%3C3&iw>=60", catalog)[0].df
 
 
+@query(f"SELECT floor(ix / 5) * 5.0::DOUBLE AS ix, floor(iy / 5) * 5.0::DOUBLE AS iy, arg_min(label, vec_id) AS label FROM (SELECT vec_id, vec_id // 20 AS ix, vec_id % 20 AS iy, label FROM embeddings) WHERE ix < 20 GROUP BY floor(ix / 5) * 5.0::DOUBLE, floor(iy / 5) * 5.0::DOUBLE")
+def query_resample(spark, sf_dir):
+    catalog = Catalog(spark)
+    catalog.register("pixels", lambda s: FDataset(_pixels(s, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"]))
+    return run_query("pixels.txt?geoGridResample(0,0,20,20,16)", catalog)[0].df
+
+
+@query("SELECT CAST(floor(value / 10) AS BIGINT) AS bin, CAST(1 AS BIGINT) AS parts, count(*) AS n FROM events WHERE value >= 0 AND value < 1000 GROUP BY floor(value / 10)")
+def set_partitions(spark, sf_dir):
+    """Samples of one place of a domain set are in one partition."""
+    axis = BinAxis(0.0, 10.0, 100)
+    ds = _table(spark, sf_dir, "events", ["value"], ["event_id"]).partition_by_set(axis, 7)
+    df = ds.df.select(axis.index("value").alias("bin"), F.spark_partition_id().alias("part")).filter("bin is not null")
+    return df.groupBy("bin").agg(F.count_distinct("part").alias("parts"), F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def sql_view(spark, sf_dir):
     FDataset(_pixels(spark, sf_dir).select("ix", "iy", "label"), ["ix", "iy"], ["label"]).as_view("prismal_pixels")
