@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences, each stage one operator over all that the stage before kept."""
+"""From raw documents to packed sequences, each stage one operator over all that the stage before kept.
+
+All stages take any table with doc_id, text and source: null and empty texts and repeated rows pass as rows of their own unless a
+stage says otherwise, and an empty table gives an empty one. Other columns are carried to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,10 @@ from prismal.llm import jaccard_join, line_dedup, packing, substring_dedup, toxi
 from prismal.llm.common import documents, materialize
 
 
+#: Near copies: words in a shingle, and the least Jaccard index in percent.
+SHINGLE, PERCENT = 5, 80
+
+
 def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of `like`; n_chars follows the text where there is such a column."""
     if "n_chars" in like.columns:
@@ -17,7 +25,7 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be toxic go."""
+    """Documents predicted to be toxic go. Without labelled documents none does."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -27,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest doc_id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of documents that links of five-word shingles (Jaccard 0.8 at least) connect, the one with the smallest doc_id stays; null ids and texts without words stay."""
+    return jaccard_join.keep_one(docs, SHINGLE, PERCENT)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +45,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences, and a digest of their ids."""
+    """Pieces with their places in sequences, and a digest of their ids; an empty text is a piece of the end id."""
     return packing.pack(docs, keep={"ids_crc32": F.crc32("ids")})
 
 
