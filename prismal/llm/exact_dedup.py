@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, folded, materialize
+from .common import HOT_ROWS, HOT_SHARE, Scratch, folded, materialize
 
 #: Bits of a bitmap that bitmap_construct_agg() makes.
 _BLOCK = 32768
-#: Filters, bits a row in each, and the largest filter: 2**27 bits are 16 MB, whatever the input.
+#: Filters, bits a row in each, and the largest filter: 2**27 bits are 16 MB. More rows are taken in parts, with filters of their own.
 FILTERS, BITS_A_ROW, MIN_BITS, MAX_BITS = 2, 8, 1 << 16, 1 << 27
 
 
 def filter_bits(rows: int) -> int:
-    """A power of two; a filter too small for the rows only lets more unique rows shuffle."""
+    """A power of two, enough for the rows of a part."""
     bits = MIN_BITS
     while bits < min(rows * BITS_A_ROW, MAX_BITS):
         bits *= 2
@@ -50,35 +52,52 @@ def mark_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Texts are equal if identical after lower-casing A-Z; null counts as empty. The row with the largest id
     of equal texts is kept. Rows that repeat both id and text are one document and are all kept or all not;
-    a null id never wins against another. Equality is that of SHA-256. An empty table gives an empty one. Columns of docs that have the
-    names of those added are replaced.
+    a null id never wins against another. Equality is that of SHA-256. An empty table gives an empty one. Other columns
+    are carried along under whatever name; those that have the names of those added are replaced.
+
+    The first pass writes the hash of each text, a narrow table, and counts cells of two Bloom filters; in the second
+    pass rows whose cells no other row set go straight to the result, and only the others shuffle, to meet the row of
+    their group. Groups with over a thousandth of all rows, under a thousand of them, are broadcast to their rows instead.
 
-    The first pass counts cells of two Bloom filters; in the second pass rows whose cells no other row set
-    go straight to the result, and only the others shuffle, to meet the row of their group. Groups with over
-    a thousandth of all rows, under a thousand of them, are broadcast to their rows instead.
+    A filter has MAX_BITS at most. With more rows than it can tell apart, they are first written in parts by the first
+    bits of their hash, and each part has filters of its own, so that these never fill up.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    docs = docs.drop(*added)
-    bits = filter_bits(total := docs.count())
-    blocks = materialize(repeated_cells(docs.select(F.xxhash64(folded(F.col(text))).alias("h")), bits), "blocks")
-    norm = folded(F.col(text))
-    marked = possibly_repeated(docs.withColumn("h", F.xxhash64(norm)), blocks, bits).drop("h")
-    marked = marked.withColumn("text_sha256", F.sha2(norm, 256))
-    some = marked.filter("maybe").drop("maybe")
-    groups = some.groupBy("text_sha256").agg(F.max(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    groups = materialize(groups, "groups")
+    columns = [c for c in docs.columns if c not in added]
+    # The caller's columns travel in one, so that no name of theirs clashes.
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(doc_id).alias("id"), F.sha2(folded(F.col(text)), 256).alias("sha"))
+    rows = rows.withColumn("h", F.conv(F.substring("sha", 1, 16), 16, -10).cast("long"))
+    total = docs.count()
+    parts = -(-total * BITS_A_ROW // MAX_BITS)
+    if parts <= 1:
+        found = _marked(rows, rows.select("id", "sha", "h"), total, total)
+    else:
+        written = materialize(rows.withColumn("part", F.pmod(F.shiftright("h", 40), F.lit(parts)).cast("int")), "parts", keep=True, by="part")
+        each = lambda p: written.filter(F.col("part") == p).drop("part")
+        found = reduce(DataFrame.unionByName, [_marked(each(p), each(p).select("id", "sha", "h"), each(p).count(), total) for p in range(parts)])
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *added)
+
+
+def _marked(rows: DataFrame, narrow: DataFrame, n: int, total: int) -> DataFrame:
+    """row and the added columns, of rows (row, id, sha, h) that hold all of each group."""
+    bits = filter_bits(n)
+    with Scratch():
+        narrow = materialize(narrow, "hashes")
+        blocks = materialize(repeated_cells(narrow, bits), "blocks", keep=True)
+        groups = possibly_repeated(narrow, blocks, bits).filter("maybe").groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = materialize(groups, "groups", keep=True)
+    marked = possibly_repeated(rows, blocks, bits).drop("h")
     is_hot = F.col("group_size") > max(HOT_ROWS, total // HOT_SHARE)
-    hot = groups.filter(is_hot).select(F.col("text_sha256"), F.col("keep_id").alias("_hot_id"), F.col("group_size").alias("_hot_size"))
-    cold = groups.filter(~is_hot).withColumnRenamed("text_sha256", "_sha")
-    found = some.join(F.broadcast(hot), "text_sha256", "left")
+    hot = groups.filter(is_hot).select("sha", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size"))
+    found = marked.filter("maybe").join(F.broadcast(hot), "sha", "left")
     # A row that has met its hot group joins nothing more; its key is spread.
-    found = found.withColumn("_sha", F.when(F.col("_hot_size").isNull(), F.col("text_sha256")).otherwise(F.concat(F.lit("-"), F.xxhash64(doc_id))))
-    found = found.join(cold, "_sha", "left")
-    found = found.withColumn("keep_id", F.when(F.col("_hot_size").isNull(), F.col("keep_id")).otherwise(F.col("_hot_id")))
-    found = found.withColumn("group_size", F.coalesce("_hot_size", "group_size")).drop("_sha", "_hot_id", "_hot_size")
-    single = marked.filter("not maybe").drop("maybe").withColumn("keep_id", F.col(doc_id)).withColumn("group_size", F.lit(1).cast("long"))
-    both = single.unionByName(found).withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
-    return both.select(*docs.columns, *added)
+    found = found.withColumn("key", F.when(F.col("hot_size").isNull(), F.col("sha")).otherwise(F.concat(F.lit("-"), F.xxhash64("id"))))
+    found = found.join(groups.filter(~is_hot).withColumnRenamed("sha", "key"), "key", "left")
+    keep_id = F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id"))
+    found = found.select("row", "id", "sha", keep_id.alias("keep_id"), F.coalesce("hot_size", "group_size").alias("group_size"))
+    single = marked.filter("not maybe").select("row", "id", "sha", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    both = single.unionByName(found)
+    return both.select("row", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, skew_join
+from .common import Scratch, hot_keys, materialize, salted_join
 
-#: A line goes if it is on more than this share of its host's pages, and on this many at least.
-RATIO, MIN_PAGES = 0.05, 10
+#: A line goes if it is on more than this share of its host's pages, and on this many at least, which only leaves out chance repeats of small hosts.
+RATIO, MIN_PAGES = 0.05, 3
 #: Largest table of boilerplate that is broadcast, by its measured number of lines.
 BROADCAST_LINES = 500_000
 
 
+def host_of(url: Column) -> Column:
+    """The host that a URL names, in lower case; null for what isn't one."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def _lines(text: str):
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
@@ -23,13 +28,13 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float = RATI
     Sums are partial before they shuffle, so a host with a third of all pages, or a line on all of them, is one
     row a task. A host has at most lines-a-page / ratio lines above the ratio, so its array is of bounded size.
     """
-    has_host = docs.filter(F.col(host).isNotNull())
-    found = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x)))
-    seen = has_host.select(F.col(host).alias("_host"), F.explode(found).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    seen = materialize(seen.filter(F.col("_n") >= min_pages), "lines")
-    pages = materialize(has_host.groupBy(F.col(host).alias("_host")).agg(F.count(F.lit(1)).alias("_pages")), "pages")
-    often = seen.join(pages, "_host").filter(F.col("_n") > F.lit(ratio) * F.col("_pages"))
-    return often.groupBy("_host").agg(F.collect_list("_line").alias("_boilerplate"))
+    docs = docs.select(F.col(host).alias("host"), F.col(text).alias("text")).filter("host is not null")
+    found = F.array_distinct(F.transform(F.filter(_lines("text"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.xxhash64(x)))
+    seen = docs.select("host", F.explode(found).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    seen = materialize(seen.filter(F.col("n") >= min_pages), "lines")
+    pages = materialize(docs.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "pages")
+    often = seen.join(pages, "host").filter(F.col("n") > F.lit(ratio) * F.col("pages"))
+    return often.groupBy("host").agg(F.collect_list("line").alias("boilerplate"))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -38,27 +43,36 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", doc_id: str = "doc_i
     A line is what stands between newlines, compared as it is. Rows without a host, hosts with fewer than
     min_pages pages, and lines without a word stay as they are; a null text stays null and counts as one empty
     line. A page all of whose lines go keeps its row, with an empty text. Repeated rows each count as a page. An empty
-    table gives an empty one. Columns of docs that have the names of those added are replaced.
+    table gives an empty one. Other columns are carried along under whatever name; those that have the names of those
+    added are replaced.
 
     Rows aren't shuffled where the table of boilerplate, whose size is counted first, is small enough to be
     broadcast; else they are joined by host, hot hosts being salted.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages), "boilerplate")
-    lines = found.agg(F.coalesce(F.sum(F.size("_boilerplate") + 4), F.lit(0)).alias("n")).first()["n"]
-    keyed = docs.withColumn("_host", F.col(host))
-    if lines <= BROADCAST_LINES:
-        keyed = keyed.join(F.broadcast(found), "_host", "left")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    with Scratch():
+        found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages), "boilerplate", keep=True)
+    size = found.agg(F.coalesce(F.sum(F.size("boilerplate") + 4), F.lit(0)).alias("n")).first()["n"]
+    # The caller's columns travel in one, so that no name of theirs clashes.
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(host).alias("host"), F.col(doc_id).alias("id"))
+    if size <= BROADCAST_LINES:
+        rows = rows.join(F.broadcast(found), "host", "left")
     else:
-        # A null host matches nothing; its rows are spread.
-        keyed = keyed.withColumn("_host", F.coalesce(F.col(host), F.concat(F.lit("\0"), F.xxhash64(doc_id).cast("string"))))
-        keyed = skew_join(keyed, found, "_host", doc_id, "left")
-    left = F.filter(_lines(text), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | ~F.array_contains("_boilerplate", F.xxhash64(x)))
-    left = F.when(F.col("_boilerplate").isNull(), _lines(text)).otherwise(left)
-    keyed = keyed.withColumn("_left", left).withColumn("n_lines", F.size(_lines(text)).cast("long"))
-    keyed = keyed.withColumn("n_dropped", F.col("n_lines") - F.size("_left"))
-    keyed = keyed.withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("_left", "\n")))
-    return keyed.select(*docs.columns, "n_lines", "n_dropped")
+        # A null host matches nothing; its rows are spread. The rows are written, as they are read for the hot hosts too.
+        rows = rows.withColumn("host", F.coalesce("host", F.concat(F.lit("\0"), F.xxhash64("id").cast("string"))))
+        counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        hot = hot_keys(counts, "host", "n", docs.count())
+        rows = salted_join(rows, found, "host", "id", rows.sparkSession.createDataFrame(hot.collect(), hot.schema), "left")
+    rows = rows.select("row", F.col(f"row.`{text}`").alias("text"), F.split(F.coalesce(F.col(f"row.`{text}`"), F.lit("")), "\n", -1).alias("lines"), "boilerplate")
+    # The page's own boilerplate is a short list, met by hash.
+    own = F.coalesce(F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), "boilerplate"), F.array().cast("array<bigint>"))
+    rows = rows.withColumn("gone", own)
+    left = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & F.array_contains("gone", F.xxhash64(x)))))
+    rows = rows.withColumn("left", left)
+    n_dropped = (F.size("lines") - F.size("left")).cast("long")
+    rows = rows.withColumn("text", F.when(n_dropped == 0, F.col("text")).otherwise(F.array_join("left", "\n")))
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in kept]
+    return rows.select(*columns, F.size("lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 ORACLE_SQL = f"""

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 DEFAULT_FILE = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -216,7 +215,6 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with piece_ids, the ids of every whole text, added; null and empty texts have none. Repeated rows repeat, an
     empty table gives an empty one, and a column of that name is replaced."""
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -227,9 +225,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
-    """rows with decoded, the text of piece_ids, added; null ids give an empty text."""
+    """rows with decoded, the text of piece_ids, added; null and empty ids give an empty text, ids that the file lacks are an
+    error. Repeated rows repeat, an empty table gives an empty one, and a column of that name is replaced."""
     path = path or default_path()
-    small_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -242,7 +240,6 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of the same encoding and decoding, without the ids themselves."""
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -14,12 +14,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, small_batches
+from .common import materialize, new_path
 from .word_bpe import default_path, encoder
 
 #: Ids in a shard; a longer document has a shard of its own. Bits of a plane that are compressed together. Appended id.
 SHARD_IDS, BLOCK_BITS, END_ID = 4_000_000, 1 << 18, 1
-_MAGIC = b"PWM1"
+_MAGIC, LEAST = b"PWM2", -(1 << 63)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -29,8 +29,8 @@ def _compressor():
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """One shard. Layout: magic, header size, header (JSON), doc ids, lengths (int64), blocks.
+def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, nulls: int = 0) -> bytes:
+    """One shard, whose first `nulls` documents have no id. Layout: magic, header size, header (JSON), doc ids, lengths (int64), blocks.
 
     Plane k holds bit k, from the highest, of all ids, which are stably sorted by that bit before the next
     plane. The header has each plane's zeros, its ones before each block, and the blocks' sizes; a block that
@@ -51,7 +51,7 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
             sizes.append(len(small) if len(small) < len(block) else -len(block))
         planes.append({"zeros": len(level) - before[-1], "before": before, "sizes": sizes})
         level = np.concatenate([level[~ones], level[ones]])
-    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits, "planes": planes}).encode()
+    header = json.dumps({"n": len(ids), "docs": len(doc_ids), "nulls": nulls, "bits": bits, "planes": planes}).encode()
     return b"".join([_MAGIC, struct.pack("<I", len(header)), header, doc_ids.astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), *body])
 
 
@@ -100,7 +100,7 @@ class WaveletMatrix:
             raise ValueError("not a wavelet matrix")
         size = struct.unpack("<I", data[4:8])[0]
         about = json.loads(data[8 : 8 + size])
-        self.n, self.bits, at = about["n"], about["bits"], 8 + size
+        self.n, self.bits, self.nulls, at = about["n"], about["bits"], about["nulls"], 8 + size
         self.doc_ids = np.frombuffer(data, "<i8", about["docs"], at)
         self.lengths = np.frombuffer(data, "<i8", about["docs"], at := at + 8 * about["docs"])
         at += 8 * about["docs"]
@@ -186,14 +186,13 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
     """Writes all documents in ascending doc_id order; a row for each shard: uri, task, first_doc, n_docs, n_ids, start.
 
     docs has doc_id and text; a null or empty text is end_id alone. Ids that repeat stand side by side, in order of
-    their texts; null ids come first and read back as the least long. An empty table makes no shard. Rows are
+    their texts; null ids come first and read back as null. An empty table makes no shard. Rows are
     dealt out by ranges of doc_id, which is even for ids that are unique. The list of shards is written before
     it is used, so only files of successful attempts are in it. The folder is a URI that pyarrow can open.
     """
     spark, path = docs.sparkSession, path or default_path()
     folder = folder or new_path(spark, "wavelet")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
-    small_batches(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, task = encoder(path).encode, int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
@@ -202,12 +201,16 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
 
         def flush() -> pd.DataFrame:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            data = build(ids, np.array([d for d, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64))
+            nulls = sum(d is None for d, _ in held)
+            data = build(ids, np.array([LEAST if d is None else d for d, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64), nulls)
             uri = _store(folder, f"{task:06d}-{uuid.uuid4().hex}.pwm", data)
-            return pd.DataFrame([(uri, task, held[0][0], len(held), len(ids))], columns=["uri", "task", "first_doc", "n_docs", "n_ids"])
+            # A shard that begins with null ids begins before every other one.
+            first = pd.array([held[0][0]], dtype="Int64")
+            return pd.DataFrame({"uri": [uri], "task": [task], "first_doc": first, "n_docs": [len(held)], "n_ids": [len(ids)]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+            for doc_id, none, text in zip(batch.doc_id, batch.none, batch.text, strict=True):
+                doc_id = None if none else doc_id
                 ids = encode(text) + end
                 if held and size + len(ids) // 4 > shard_ids:
                     yield flush()
@@ -217,19 +220,23 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
         if held:
             yield flush()
 
-    ordered = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.col("doc_id").isNull().alias("none"), "text")
+    ordered = rows.repartitionByRange("has_id", "doc_id").sortWithinPartitions("has_id", "doc_id", "text").select("doc_id", "none", "text")
     shards = materialize(ordered.mapInPandas(run, "uri string, task int, first_doc long, n_docs long, n_ids long"), "shards")
     # Sums over tasks, of which there are as many as partitions, and then within each.
-    tasks = shards.groupBy("task").agg(F.min("first_doc").alias("_first"), F.sum("n_ids").alias("_ids"))
+    tasks = shards.groupBy("task").agg(F.min(F.coalesce("first_doc", F.lit(LEAST))).alias("_first"), F.max(F.col("first_doc").isNull()).alias("_null"), F.sum("n_ids").alias("_ids"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    tasks = tasks.select("task", F.coalesce(F.sum("_ids").over(before(Window.orderBy("_first"))), F.lit(0)).alias("_before"))
+    tasks = tasks.select("task", F.coalesce(F.sum("_ids").over(before(Window.orderBy(F.desc("_null"), "_first"))), F.lit(0)).alias("_before"))
     within = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("task").orderBy("first_doc", "uri"))), F.lit(0))
     return shards.join(tasks, "task").withColumn("start", F.col("_before") + within).drop("_before")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """doc_id, start and ids (little-endian unsigned 32-bit) of every document, from the files that write_shards() lists."""
-    small_batches(shards.sparkSession)
+    """doc_id, start and ids (little-endian unsigned 32-bit) of every document, from the files that write_shards() lists.
+
+    Documents without an id have a null one; empty ones have the end id alone; repeated ids and rows are all there. A list of
+    no shards gives an empty table.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,13 +246,16 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 for at in range(0, len(ends), 512):
                     part = slice(at, at + 512)
                     first = ends[part] - shard.lengths[part]
-                    yield pd.DataFrame({"doc_id": shard.doc_ids[part], "start": start + first, "ids": [bytes(data[4 * a : 4 * b]) for a, b in zip(first, ends[part], strict=True)]})
+                    doc_ids = pd.array(shard.doc_ids[part], dtype="Int64")
+                    doc_ids[: max(0, shard.nulls - at)] = None
+                    yield pd.DataFrame({"doc_id": doc_ids, "start": start + first, "ids": [bytes(data[4 * a : 4 * b]) for a, b in zip(first, ends[part], strict=True)]})
 
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return shards.select("uri", "start").repartition(parts).mapInPandas(run, "doc_id long, start long, ids binary")
 
 
 def digests(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of read_documents()."""
     rows = read_documents(shards)
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
