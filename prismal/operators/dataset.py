@@ -148,11 +148,12 @@ class FDataset:
         ordered = FDataset(flat.df.select(*names, *rest, *flat.range), [*names, *rest], flat.range, self.id)
         return ordered if not rest else ordered.curry(len(names), column)
 
-    def transpose(self, column: str = "samples") -> FDataset:
-        """a -> (b, c) -> f to (b, c) -> a -> f."""
+    def transpose(self, column: str = "samples", flat: bool = False) -> FDataset:
+        """a -> (b, c) -> f to (b, c) -> a -> f; flat, to (b, c, a) -> f, without a shuffle and without an array of all that a (b, c) has."""
         if self.nested is None:
             raise ValueError("a curried dataset is asked for")
-        return self.group_by_variable(*self.nested.domain, column=column)
+        outer = self.domain if flat else []
+        return self.group_by_variable(*self.nested.domain, *outer, column=column)
 
     def pivot(self, values: list, names: list[str], variable: str | None = None, agg: Callable[[Column], Column] = F.max) -> FDataset:
         """The range at each value of a variable, by conditional aggregates in one shuffle; missing ones are null. agg joins samples of one key, as F.sum."""

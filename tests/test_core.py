@@ -41,6 +41,8 @@ def test_reordering_needs_no_shuffle(spark):
     ds = cube(spark).group_by_variable("z", "y", "x")
     assert ds.domain == ["z", "y", "x"] and exchanges(ds.df) == 0
     assert cube(spark).curry(2).transpose().collect()[1].samples[0].v == 1.0
+    flat = cube(spark).curry(2).transpose(flat=True)
+    assert flat.domain == ["z", "x", "y"] and flat.nested is None and flat.count() == 24
 
 
 def test_rgb_takes_one_shuffle(spark):
