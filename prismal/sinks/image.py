@@ -1,4 +1,4 @@
-"""PNG and GeoTIFF images. Pixels are computed on the executors; one image, of a checked size, is put together on the driver."""
+"""PNG, BMP, GIF, JPEG, WBMP and GeoTIFF images. Pixels are computed on the executors; one image, of a checked size, is put together on the driver."""
 
 from __future__ import annotations
 
@@ -106,6 +106,61 @@ def gif(data: np.ndarray) -> bytes:
     return b"GIF87a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + palette + b"," + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + blocks + b"\0;"
 
 
+def _bits(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The lowest `lengths` bits of values, one after the other, highest first."""
+    places = np.arange(31, -1, -1)
+    return ((values[:, None] >> places) & 1)[places < lengths[:, None]].astype(np.uint8)
+
+
+def jpeg(data: np.ndarray) -> bytes:
+    """Baseline, full colour resolution. Codes of equal length, eight bits for runs and four for averages, need no tables of frequencies."""
+    h, w = data.shape[:2]
+    padded = np.pad(data.astype(float), ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge")
+    luma = padded @ [0.299, 0.587, 0.114]
+    planes = np.stack([luma - 128, (padded[..., 2] - luma) / 1.772, (padded[..., 0] - luma) / 1.402])
+    blocks = planes.reshape(3, planes.shape[1] // 8, 8, planes.shape[2] // 8, 8).transpose(1, 3, 0, 2, 4).reshape(-1, 3, 8, 8)
+    u = np.arange(8)
+    cosine = np.cos((2 * u + 1) * u[:, None] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)[:, None]
+    steps = 2 + u + u[:, None]
+    zigzag = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+    found = np.rint(cosine @ blocks @ cosine.T / steps).astype(int).reshape(-1, 3, 64)[:, :, zigzag]
+    symbols = [0x00, 0xF0, *[run << 4 | size for run in range(16) for size in range(1, 11)]]
+    code = {symbol: i for i, symbol in enumerate(symbols)}
+    values, lengths = [], []
+
+    def put(prefix: int, width: int, v: int, size: int) -> None:
+        values.append(prefix << size | (v if v > 0 else v + (1 << size) - 1) if size else prefix)
+        lengths.append(width + size)
+
+    last = [0, 0, 0]
+    for block in found:
+        for k, own in enumerate(block):
+            first = int(own[0]) - last[k]
+            last[k] = int(own[0])
+            size = abs(first).bit_length()
+            put(size, 4, first, size)
+            at = 0
+            for i in np.flatnonzero(own[1:]).tolist():
+                for _ in range((i - at) // 16):
+                    put(code[0xF0], 8, 0, 0)
+                v = int(own[i + 1])
+                put(code[(i - at) % 16 << 4 | abs(v).bit_length()], 8, v, abs(v).bit_length())
+                at = i + 1
+            if at < 63:
+                put(code[0x00], 8, 0, 0)
+    bits = _bits(np.array(values, np.int64), np.array(lengths))
+    body = np.packbits(np.append(bits, np.ones(-len(bits) % 8, np.uint8))).tobytes().replace(b"\xff", b"\xff\0")
+
+    def part(marker: int, content: bytes) -> bytes:
+        return struct.pack(">BBH", 0xFF, marker, len(content) + 2) + content
+
+    table = lambda kind, width, all: bytes([kind]) + bytes(len(all) if i == width else 0 for i in range(1, 17)) + bytes(all)
+    head = b"\xff\xd8" + part(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + part(0xDB, b"\0" + bytes(int(steps.reshape(-1)[i]) for i in zigzag))
+    head += part(0xC0, struct.pack(">BHHB", 8, h, w, 3) + b"".join(bytes([k, 0x11, 0]) for k in (1, 2, 3)))
+    head += part(0xC4, table(0x00, 4, list(range(12)))) + part(0xC4, table(0x10, 8, symbols))
+    return head + part(0xDA, b"\3" + b"".join(bytes([k, 0]) for k in (1, 2, 3)) + b"\0\x3f\0") + body + b"\xff\xd9"
+
+
 def wbmp(data: np.ndarray) -> bytes:
     """Black and white, by brightness."""
 
@@ -120,7 +175,7 @@ def wbmp(data: np.ndarray) -> bytes:
 
 
 def encode(ds: FDataset, format: str = "png") -> bytes:
-    makers = {"png": png, "bmp": bmp, "gif": gif, "wbmp": wbmp}
+    makers = {"png": png, "bmp": bmp, "gif": gif, "jpg": jpeg, "jpeg": jpeg, "wbmp": wbmp}
     if format not in makers:
         raise ValueError(f"formats are {sorted(makers)}")
     return makers[format](pixels(ds))

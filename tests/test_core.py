@@ -543,3 +543,18 @@ def test_matrices_of_equal_names(spark, tmp_path):
     full = readers.pushbroom(spark, str(tmp_path / "c+d"), "../wavelength.txt", 2)
     assert full.domain == ["x", "y", "wavelength"] and full.count() == 4
     full.release()
+
+
+def test_formats_are_read_by_another_library(spark):
+    rng = np.random.default_rng(1)
+    smooth = np.stack([np.add.outer(np.arange(37) * 3, np.arange(21) * 4), np.full((37, 21), 120), np.subtract.outer(np.full(37, 200), np.arange(21) * 5)], 2).astype(np.uint8)
+    noisy = rng.integers(0, 256, (16, 40, 3)).astype(np.uint8)
+    for data in (smooth, noisy, smooth[:1, :1]):
+        for maker, most in ((image_sink.png, 0), (image_sink.bmp, 0), (image_sink.gif, 26), (image_sink.jpeg, 14 if data is not noisy else 45)):
+            stream = spark._jvm.java.io.ByteArrayInputStream(bytearray(maker(data)))
+            found = spark._jvm.javax.imageio.ImageIO.read(stream)
+            assert (found.getWidth(), found.getHeight()) == (data.shape[1], data.shape[0]), maker
+            for y in range(0, data.shape[0], 3):
+                for x in range(0, data.shape[1], 4):
+                    c = found.getRGB(x, y)
+                    assert np.abs(np.array([c >> 16 & 255, c >> 8 & 255, c & 255]) - data[y, x].astype(int)).max() <= most, (maker, x, y)
