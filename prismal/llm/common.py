@@ -46,11 +46,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bounds what one Arrow batch of documents brings into a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
     """Arrow batches (64 MB of texts at most, by Spark's own setting) in pieces, so that what is made of one stays small."""
     for batch in batches:
@@ -109,22 +104,27 @@ class Scratch:
 _scratch: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
 #: Spark's own setting that removes the shuffle files of an execution as it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH, TEXTS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 
 
-def materialize(df: DataFrame, tag: str, keep: bool = False, codec: str = "snappy", by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, keep: bool = False, codec: str = "snappy", by: str | None = None, batch: int | None = None) -> DataFrame:
     """Writes a table to the shared folder and reads it back: cuts the lineage and outlives lost executors.
 
     It belongs to the innermost open Scratch; with keep, to the one around that, if any. The shuffle files behind it
     are removed once it is written, as nothing reads them again. by: a column whose values have folders of their own.
+    batch: rows of texts that a Python worker is given at a time. The session's settings are as before afterwards.
     """
     spark = df.sparkSession
-    path, was = new_path(spark, tag), spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    path, settings = new_path(spark, tag), {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})
+    was = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         write = df.write.option("compression", codec)
         (write.partitionBy(by) if by else write).parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     owners = _scratch.get()[: -1 if keep else None]
     if owners:
@@ -219,7 +219,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; a worker remembers a bounded number."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_slices, bitmap, fold, hot_rows, in_bitmap, materialize, mixed, run_hashes, salted_join, skew_join, slices, word_hashes, words
+from .common import TEXTS, Scratch, arrow_slices, bitmap, fold, hot_rows, in_bitmap, materialize, mixed, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words in a shingle; two sets link if 100 * intersection >= PERCENT * union. Those of op9; other callers may give their own.
 SHINGLE, PERCENT = 3, 90
@@ -263,9 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 _MEMBERS = pa.schema(
     [("doc_id", pa.int64()), ("n", pa.int64()), *[(c, pa.int64()) for c in ("s0", "s1", "f0", "f1", "f2", "f3")]]
-    + [("bits", pa.binary()), ("keys", pa.list_(pa.int64())), ("elements", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("spare", pa.list_(pa.int32()))]
+    + [("bits", pa.binary()), ("keys", pa.list_(pa.int64())), ("elements", pa.list_(pa.int8())), ("lengths", pa.list_(pa.int32())), ("spare", pa.list_(pa.int32()))]
 )
-_MEMBER_KINDS = "doc_id long, n long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long, bits binary, keys array<long>, elements array<int>, lengths array<int>, spare array<int>"
+_MEMBER_KINDS = "doc_id long, n long, s0 long, s1 long, f0 long, f1 long, f2 long, f3 long, bits binary, keys array<long>, elements array<tinyint>, lengths array<int>, spare array<int>"
 
 
 def _member(text: str | None, shingle: int, percent: int) -> tuple:
@@ -275,7 +275,7 @@ def _member(text: str | None, shingle: int, percent: int) -> tuple:
         return 0, *[None] * 7, [], [], [], []
     bands = segment_keys(s, percent)
     keys, elements = np.concatenate([k for _, k, _ in bands]).astype(np.int64), np.concatenate([c for *_, c in bands])
-    return len(s), *set_id(s), *_fold_sketch(s), long_sketch(s).tobytes(), keys, elements.astype(np.int32), [len(k) for _, k, _ in bands], [spare for spare, *_ in bands]
+    return len(s), *set_id(s), *_fold_sketch(s), long_sketch(s).tobytes(), keys, np.minimum(elements, 127).astype(np.int8), [len(k) for _, k, _ in bands], [spare for spare, *_ in bands]
 
 
 class _Search:
@@ -294,7 +294,7 @@ class _Search:
                 arrays = [pa.array(list(c), f.type) for c, f in zip(columns, list(_MEMBERS)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], schema=_MEMBERS)
 
-        return materialize(self.docs.mapInArrow(run, _MEMBER_KINDS).withColumn("uid", F.monotonically_increasing_id()), "members")
+        return materialize(self.docs.mapInArrow(run, _MEMBER_KINDS).withColumn("uid", F.monotonically_increasing_id()), "members", batch=TEXTS)
 
     def segments(self, nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Bitmaps of segments that two sets have at least, and of hot ones."""
@@ -346,7 +346,7 @@ class _Search:
                     yield pd.DataFrame([(*set_id(s), s.tobytes()) for s in sets], columns=["s0", "s1", "shingles"])
 
         found = self.docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInPandas(run, "s0 long, s1 long, shingles binary")
-        return materialize(found.join(wanted.select("s0", "s1"), ["s0", "s1"], "left_semi").dropDuplicates(["s0", "s1"]), "sets")
+        return materialize(found.join(wanted.select("s0", "s1"), ["s0", "s1"], "left_semi").dropDuplicates(["s0", "s1"]), "sets", batch=TEXTS)
 
     def linked(self, pairs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
         """Edges (a, b) between the nodes of sets that link."""
@@ -364,6 +364,8 @@ class _Search:
         classes = materialize(grouped.select("s0", "s1", F.col("first.doc_id").alias("node"), F.col("first.uid").alias("uid"), "size"), "classes")
         # Copies go no further: the first row of a class stands for them.
         nodes = materialize(members.join(classes.select("uid"), "uid", "left_semi"), "nodes")
+        wide, members = members, materialize(members.select("doc_id", "n", "s0", "s1"), "members")
+        self.scratch.discard(wide)
         cold, hot = self.rows(nodes)
         # First one set of each group with all of it: in hot segments the middle, the set with most hot segments.
         me, middle = F.struct("n_hot", *_SELF), [F.col(f"m.{c}").alias(f"m_{c}") for c in _SELF]
@@ -384,7 +386,7 @@ class _Search:
         rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named))), "pairs")
         if not rest.isEmpty():
             found = components(links.unionByName(self.linked(rest, classes, nodes)))
-        return members.select("doc_id", "n", "s0", "s1"), classes, found
+        return members, classes, found
 
     def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame) -> DataFrame:
         percent = self.percent

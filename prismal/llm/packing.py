@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import TEXTS, Scratch, arrow_slices, materialize
 from .word_bpe import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -148,23 +149,29 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
     rank_in_task counts the pieces of each length in the task; both are kept with the rows once they are written.
     """
     path = path or default_path()
-    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+    names = ["doc_id", "piece", "start", "length", "ids", "task", "rank_in_task"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+        for batch in arrow_slices(batches):
+            rows, of = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     length = len(part) // 4
-                    rows.append((doc_id, piece, start // 4, length, part, task, seen[length]))
+                    rows.append((piece, start // 4, length, part, task, seen[length]))
+                    of.append(i)
                     seen[length] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "task", "rank_in_task"])
+            # Ids stay as they are: a null beside them would make them floats elsewhere.
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of, pa.int64())), *columns], names)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids binary, task int, rank_in_task long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, task int, rank_in_task long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, keep: dict[str, Column] | None = None) -> DataFrame:
@@ -175,16 +182,18 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
     The plan is made on the driver from the histogram of lengths, which has at most `capacity` rows whatever the
     input. A piece finds its place by its rank among those of its length: its rank in its task, after the pieces
-    of that length in earlier tasks. Only these sums, and rows of fixed width, are shuffled, by task and length.
+    of that length in earlier tasks. These sums grow with the tasks; Spark broadcasts them only below its own limit, and
+    else shuffles them and the rows, which are of fixed width unless the ids are kept.
     """
     spark, keep = docs.sparkSession, keep or {"ids": F.col("ids")}
     fixed = ["doc_id", "piece", "start", "length", "task", "rank_in_task"]
-    pieces = materialize(cut(docs, path, capacity, end_id).select(*fixed, *[c.alias(k) for k, c in keep.items()]), "pieces")
-    counts = materialize(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = plan(histogram, capacity)
-    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    pieces = materialize(cut(docs, path, capacity, end_id).select(*fixed, *[c.alias(k) for k, c in keep.items()]), "pieces", batch=TEXTS)
+    with Scratch():
+        counts = materialize(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
+        histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+        places = plan(histogram, capacity)
+        earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        before = materialize(counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "before", keep=True)
     ranked = pieces.join(before, ["task", "length"])
     by_length = {k: v[["low", "each", "sequence", "offset"]].to_numpy() for k, v in places.groupby("length")}
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, words
+from .common import TEXTS, Scratch, materialize, skew_join, words
 
 #: Larger is worse; each with its candidate cutoffs, strictest first. A text is rejected if it is above the chosen one.
 RULES = {
@@ -22,8 +23,8 @@ RULES = {
 }
 #: A good text of a stratum is rejected with at most this probability, all rules together; the chance that any cutoff breaks this is at most DELTA.
 ALPHA, DELTA = 0.04, 0.05
-#: More strata than this are refused: their table is collected and broadcast.
-MAX_STRATA = 10_000
+#: Strata whose cutoffs are broadcast, by their measured number; of more, rows meet theirs in a join that deals out hot strata.
+BROADCAST_STRATA = 10_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SPACE = " \t\n\v\f\r"
 
@@ -86,35 +87,49 @@ def needed(level: float, rate: float) -> int:
     return math.ceil(math.log(level) / math.log1p(-rate))
 
 
-def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Cutoffs:
-    """The strictest cutoff of each rule and stratum whose bound on false rejections holds, Bonferroni-corrected over all candidates.
+def cutoff_table(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """stratum, and a cutoff and its bound for each rule (null: it rejects nothing there): the strictest whose bound on false rejections holds.
 
+    Bonferroni-corrected over all candidates of all strata with enough good rows for any bound; of other strata there is no row.
     Every labelled row counts: sums by stratum are partial before they shuffle. The thresholds are fixed in
-    advance, so that every labelled row is a holdout. Strata with too few good rows for any bound reject nothing.
+    advance, so that every labelled row is a holdout.
     """
     rate = alpha / len(RULES)
     candidates = sum(len(c) for _, c in RULES.values())
-    good = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("id")).distinct()
     sums = [F.sum(F.when(F.col(rule) > c, 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (_, cs) in RULES.items() for i, c in enumerate(cs)]
     # Texts that fail the base rules are rejected anyway: no cutoff makes or saves those.
-    tested = measured.filter("not base_failed").join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
-    rows = tested.filter(F.col("n") >= needed(delta / candidates, rate)).limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    level, found = delta / (candidates * max(1, len(rows))), Cutoffs({}, {})
-    for row in rows:
-        of, bounds = found.of.setdefault(row.stratum, {}), found.bounds.setdefault(row.stratum, {})
-        for rule, (_, cs) in RULES.items():
-            for i, c in enumerate(cs):
-                if row[f"{rule}_{i}"] <= rate * row.n and (upper := binomial_upper(row[f"{rule}_{i}"], row.n, level)) <= rate:
-                    of[rule], bounds[rule] = c, upper
-                    break
+    tested = measured.filter("not base_failed").select(F.col("row.doc_id").alias("id"), "stratum", *RULES).join(good, "id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
+    tested = materialize(tested.filter(F.col("n") >= needed(delta / candidates, rate)), "strata")
+    level = delta / (candidates * max(1, tested.count()))
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_dict("records"):
+                found = []
+                for rule, (_, cs) in RULES.items():
+                    bounds = ((c, row[f"{rule}_{i}"]) for i, c in enumerate(cs) if row[f"{rule}_{i}"] <= rate * row["n"])
+                    bounds = ((c, binomial_upper(k, row["n"], level)) for c, k in bounds)
+                    found += next(([c, upper] for c, upper in bounds if upper <= rate), [None, None])
+                rows.append((row["stratum"], *found))
+            yield pd.DataFrame(rows, columns=names).astype({n: "float64" for n in names[1:]})
+
+    names = ["stratum", *[f"{rule}_{x}" for rule in RULES for x in ("cutoff", "bound")]]
+    return tested.mapInPandas(choose, "stratum string, " + ", ".join(f"{n} double" for n in names[1:]))
+
+
+def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> Cutoffs:
+    """cutoff_table() as an object, for few strata."""
+    found = Cutoffs({}, {})
+    for row in cutoff_table(measured, labels, alpha, delta).collect():
+        chosen = {rule: (row[f"{rule}_cutoff"], row[f"{rule}_bound"]) for rule in RULES if row[f"{rule}_cutoff"] is not None and row[f"{rule}_cutoff"] == row[f"{rule}_cutoff"]}
+        found.of[row.stratum], found.bounds[row.stratum] = ({rule: x[i] for rule, x in chosen.items()} for i in (0, 1))
     return found
 
 
 def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs with metrics(), base_failed, the rules' values and the stratum (null: empty) added."""
-    small_batches(docs.sparkSession)
+    """row (docs' columns but the text, in a struct), stratum (null: empty), metrics(), the rules' values and base_failed."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
@@ -122,9 +137,8 @@ def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([metrics(t) for t in texts], columns=names, dtype="int64")
 
-    taken = [*names, "base_failed", "stratum", "kept", *RULES]
-    kept = [F.col(c) for c in docs.columns if c not in taken and c != "text"]
-    out = docs.select(*kept, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), measured("text").alias("m")).select("*", "m.*").drop("m")
+    row = F.struct(*[c for c in docs.columns if c != "text"])
+    out = docs.select(row.alias("row"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), measured("text").alias("m")).select("row", "stratum", "m.*")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     for rule, (ratio, _) in RULES.items():
         over, under = ratio.split(" / ")
@@ -137,13 +151,17 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
 
     A null or empty text has no words and so fails the base rules. A null stratum is one of its own. Repeated
     rows get the same verdict; ids that repeat count as often among the labelled rows. Labels that are null or of
-    unknown ids count for nothing. An empty table gives an empty one. Columns named as those added are replaced.
+    unknown ids count for nothing. An empty table gives an empty one. Other columns are carried along under whatever
+    name; those that have the names of those added are replaced. There may be any number of strata.
     """
-    measured = materialize(measure(docs, stratum), "quality")
-    cutoffs = select_cutoffs(measured, labels, alpha, delta).of
-    rejected = F.lit(False)
-    for rule in RULES:
-        pairs = [x for s, of in cutoffs.items() if rule in of for x in (F.lit(s), F.lit(of[rule]))]
-        if pairs:
-            rejected = rejected | F.coalesce(F.col(rule) > F.try_element_at(F.create_map(*pairs), F.col("stratum")), F.lit(False))
-    return measured.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    with Scratch():
+        measured = materialize(measure(docs, stratum).withColumn("spread", F.xxhash64("row.doc_id")), "quality", keep=True, batch=TEXTS)
+        cutoffs = materialize(cutoff_table(measured, labels, alpha, delta), "cutoffs", keep=True)
+    if cutoffs.count() <= BROADCAST_STRATA:
+        judged = measured.join(F.broadcast(cutoffs), "stratum", "left")
+    else:
+        judged = skew_join(measured, cutoffs, "stratum", "spread", "left")
+    rejected = [F.coalesce(F.col(rule) > F.col(f"{rule}_cutoff"), F.lit(False)) for rule in RULES]
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~reduce(lambda a, b: a | b, rejected))
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", *RULES, "base_failed", "kept"]
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "text" and c not in added], *added)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, WORD, Scratch, arrow_slices, bitmap, flagged, in_bitmap, materialize, run_hashes, salted_join, skew_join, slices, word_hashes, words
+from .common import HOT_ROWS, HOT_SHARE, TEXTS, WORD, Scratch, arrow_slices, bitmap, flagged, in_bitmap, materialize, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words of a window, and of an anchor in it. Anchors in more places than HOT are not kept together. Words of a shard's automaton.
 LENGTH, ANCHOR, HOT, SHARD_WORDS = 35, 12, 1000, 50_000
@@ -189,7 +189,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     texts = docs.select(text_id(F.col("text")).alias("t"), "text").select("t.*", "text")
     texts = texts.mapInArrow(with_anchors, "t0 long, t1 long, text string, anchors array<long>, firsts array<int>, once array<long>, doubled array<long>")
     with Scratch() as scratch:
-        texts = materialize(texts, "texts", codec="zstd")
+        texts = materialize(texts, "texts", codec="zstd", batch=TEXTS)
         # An anchor that stands twice in one text counts as if in two.
         places = texts.select(F.explode("once").alias("anchor"), F.col("t0").alias("t")).unionByName(texts.select(F.explode("doubled").alias("anchor"), F.col("t0").bitwiseXOR(F.lit(1)).alias("t")))
         counts = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high")
@@ -227,7 +227,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         parts = texts.select("t0", "t1", "text", "anchors", "firsts").mapInArrow(fragments, "key long, fid binary, t0 long, t1 long, at int, part string")
-        parts = materialize(parts, "fragments")
+        parts = materialize(parts, "fragments", batch=TEXTS)
         copies = materialize(texts.groupBy("t0", "t1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t0", "t1", F.lit(True).alias("whole"), "n"), "copies")
         # Under HOT_SHARE of these can exist, so they may be collected.
         often = copies.filter(F.col("n") > max(HOT_ROWS, texts.count() // HOT_SHARE)).select(F.struct("t0", "t1").alias("id"))
@@ -294,10 +294,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*kept).alias("row"), text_id(F.col("text")).alias("id"), F.xxhash64(*[c for c in kept if c != "text"], F.lit(0)).alias("spread"))
     rows = flagged(rows.withColumn("h", F.col("id.t0")), "h", spans.select(F.col("id.t0").alias("h")))
 
-    @F.pandas_udf("text string, n_removed long")
-    def removed(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, n_removed long")
+    def removed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.DataFrame([(t, 0) if t is None else cut_spans(t, s, bool(w) and w == w) for t, s, w in zip(*batch, strict=True)], columns=["text", "n_removed"])
+            parts = []
+            for at in range(0, len(batch[0]), 256):  # what is made of a piece stays small
+                columns = zip(*[c.slice(at, 256).to_pylist() for c in batch], strict=True)
+                found = [(None, 0) if t is None else cut_spans(t, s, bool(w)) for t, s, w in columns]
+                parts.append(pa.StructArray.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["text", "n_removed"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
 
     cut = salted_join(rows.filter("flag"), spans, "id", "spread", hot, "left").withColumn("cut", removed("row.text", "spans", "whole"))
     column = lambda c: F.col("row").getField(c)

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize, words
+from .common import TEXTS, Scratch, materialize, slices, words
 
 # General insults, threats and profanity, and words for "you", in four languages.
 INSULTS = """idiot idiots moron morons stupid dumb loser losers trash garbage scum worthless pathetic disgusting clown clowns fool fools
@@ -27,7 +28,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"
 
 FEATURES = ("insult_density", "insult_count", "threat_density", "profanity_density", "near_you", "you_density", "obfuscated", "capitals", "shouted_words", "punctuation", "exclamations", "symbols", "stretched", "length", "lexicon_density", "lexicon_sum", "lexicon_count", "lexicon_max")
 #: Labelled rows that fit the trees and the calibration, words between an insult and "you", words kept in a worker's memory.
-SAMPLE, NEAR, CACHE = 20_000, 5, 600_000
+SAMPLE, NEAR, CACHE = 20_000, 5, 200_000
 BINS, DEPTH, TREES, RATE, LEAST = 32, 3, 60, 0.2, 20
 #: Letters of word beginnings in the learned lexicon; toxic texts that must have an entry, and how many times likelier it is in them.
 BEGINNINGS, LEAST_TOXIC, LIKELIER = (4, 5, 6, 7), 4, 4.0
@@ -236,7 +237,7 @@ def _count_entries(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     """entry and the number of texts that have it, by fold (f1 to f4); of `wanted` entries, or of all that are in LEAST_TOXIC texts at least."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, 1024):
             found: dict[tuple[str, int], int] = {}
             for text, fold in zip(b.text, b.fold, strict=True):
                 own = {e for w in set(words(text)) for e in entries(w)}
@@ -280,12 +281,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("fold", _fold())
     with Scratch():
         chosen = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("y"), F.col("fold").cast("long").alias("fold"))
-        chosen = materialize(chosen, "sample")
+        chosen = materialize(chosen, "sample", batch=TEXTS)
         lexicons = learn_lexicons(chosen)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            of = {fold: Words(lexicons[fold], CACHE // 4) for fold in FOLDS}
-            for b in batches:
+            of = {fold: Words(lexicons[fold], CACHE // 2) for fold in FOLDS}
+            for b in slices(batches, 1024):
                 yield pd.DataFrame({"doc_id": b.doc_id, "x": [of[f].features(t) for t, f in zip(b.text, b.fold, strict=True)], "y": b.y, "fold": b.fold})
 
         found = chosen.mapInPandas(run, "doc_id long, x array<double>, y double, fold long").toPandas().sort_values("doc_id", kind="stable")
@@ -304,10 +305,11 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     docs = docs.drop(*added)
     model = fit(docs, labels, sample)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(model.score(texts))
+            parts = [model.score(texts.slice(at, 256).to_pylist()) for at in range(0, len(texts), 256)]
+            yield pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
 
     out = docs.withColumn("held_out", _fold() == 0).withColumn("score", scored("text"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*docs.columns, *added)

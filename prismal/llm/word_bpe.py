@@ -11,7 +11,7 @@ from .common import words
 
 DEFAULT_FILE = "word_bpe_49k.json"
 #: Words, and as many stems, that a worker remembers.
-CACHE = 300_000
+CACHE = 150_000
 #: Signs, letters, signs. Below U+0130 letters have no combining forms, and lower() maps each to itself or to one letter.
 _PLAIN = re.compile("([!-&(-/:;=>?@\\[-`{-~]*)([A-Za-zªµºÀ-ÖØ-öø-į]*)([!-&(-/:;=>?@\\[-`{-~]*)")
 
