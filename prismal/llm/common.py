@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
 import numpy as np
@@ -225,11 +226,31 @@ class WordHashes(dict):
         return found
 
 
-_hashes = WordHashes()
+#: What this worker remembers, under the name of its kind.
+_remembered: dict[str, object] = {}
+
+
+def remembered(kind: str, make: Callable[[], object]):
+    """What a worker remembers from one batch or task to the next, of one kind at a time.
+
+    Workers outlive stages, so what an earlier one remembered would stay beside what the next one needs.
+    """
+    if kind not in _remembered:
+        forget()
+        _remembered[kind] = make()
+    return _remembered[kind]
+
+
+def forget() -> None:
+    """Frees what this worker remembers, and gives what is free back to the system, which allocators would rather keep."""
+    _remembered.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
 
 
 def word_hashes(found: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, found), np.uint64, len(found))
+    return np.fromiter(map(remembered("word hashes", WordHashes).__getitem__, found), np.uint64, len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

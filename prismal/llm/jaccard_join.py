@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS, Scratch, arrow_slices, bitmap, fold, hot_rows, in_bitmap, materialize, mixed, run_hashes, salted_join, skew_join, slices, word_hashes, words
+from .common import TEXTS, Scratch, arrow_slices, bitmap, fold, forget, hot_rows, in_bitmap, materialize, mixed, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words in a shingle; two sets link if 100 * intersection >= PERCENT * union. Those of op9; other callers may give their own.
 SHINGLE, PERCENT = 3, 90
@@ -85,6 +85,32 @@ def sketch_distance(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _folded_rows(sketches: list[bytes], size: int) -> np.ndarray:
+    """Long sketches of one length as the rows of a matrix, folded to `size` words."""
+    rows = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while rows.shape[1] > size:
+        rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+    return rows
+
+
+def sketches_near(a: list[bytes], b: list[bytes], na: np.ndarray, nb: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether the long sketches of the pairs a[i], b[j], sets of na[i] and nb[j] elements, allow a link: see near_enough()."""
+    out = np.maximum(na[i], nb[j]) <= SHORT_BITS
+    lengths = [np.array([len(x) // 8 for x in side], np.int64) for side in (a, b)]
+    for x in np.unique(lengths[0]):
+        for y in np.unique(lengths[1]):
+            at = np.flatnonzero((lengths[0][i] == x) & (lengths[1][j] == y) & ~out)
+            if not len(at):
+                continue
+            of = [np.flatnonzero(own == z) for own, z in zip(lengths, (x, y), strict=True)]
+            left, right = [_folded_rows([side[k] for k in rows], min(x, y)) for side, rows in zip((a, b), of, strict=True)]
+            step = max(1, (1 << 18) // min(x, y))
+            for part in (at[k : k + step] for k in range(0, len(at), step)):
+                differing = np.bitwise_count(left[np.searchsorted(of[0], i[part])] ^ right[np.searchsorted(of[1], j[part])]).sum(1, dtype=np.int64)
+                out[part] = differing <= (100 - percent) * (na[i[part]] + nb[j[part]]) // (100 + percent)
+    return out
+
+
 def parities(shingles: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """For each segment the parities of 64 bits of its elements' hashes, which is their xor, and how many elements it has."""
     h = mixed(shingles + np.uint64(segments))
@@ -293,6 +319,7 @@ class _Search:
                 columns = zip(*[_member(t, shingle, percent) for t in b.column("text").to_pylist()], strict=True)
                 arrays = [pa.array(list(c), f.type) for c, f in zip(columns, list(_MEMBERS)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], schema=_MEMBERS)
+            forget()  # workers live on, and the joins need the memory
 
         return materialize(self.docs.mapInArrow(run, _MEMBER_KINDS).withColumn("uid", F.monotonically_increasing_id()), "members", batch=TEXTS)
 
@@ -330,7 +357,7 @@ class _Search:
                 about = [b.column(c).to_numpy(zero_copy_only=False)[row] for c in _SELF]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys[chosen], *about, is_hot[chosen].astype(np.int64), n_hot[band])], names)
 
-        once = materialize(nodes.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "rows")
+        once = materialize(nodes.mapInArrow(run, ", ".join(f"{c} long" for c in names)), "rows", batch=TEXTS)  # a row has hundreds of keys
         return once.filter("hot = 0").select("key", *_SELF), once.filter("hot = 1").select("key", *_SELF, "n_hot")
 
     def sets(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -344,6 +371,7 @@ class _Search:
                 for part in slices([b[in_bitmap(sent.value, b.h.to_numpy())]]):
                     sets = [s for t in part.text if len(s := shingle_set(t, shingle))]
                     yield pd.DataFrame([(*set_id(s), s.tobytes()) for s in sets], columns=["s0", "s1", "shingles"])
+            forget()
 
         found = self.docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInPandas(run, "s0 long, s1 long, shingles binary")
         return materialize(found.join(wanted.select("s0", "s1"), ["s0", "s1"], "left_semi").dropDuplicates(["s0", "s1"]), "sets", batch=TEXTS)
@@ -352,7 +380,7 @@ class _Search:
         """Edges (a, b) between the nodes of sets that link."""
         pairs = materialize(near_enough(pairs, nodes, self.percent), "near")
         sets = self.sets(pairs, classes)
-        edges = materialize(verify(pairs, sets, self.percent), "verified")
+        edges = materialize(verify(pairs, sets, self.percent), "verified", batch=TEXTS)
         self.scratch.discard(sets, pairs)
         return materialize(_with_ends(edges, classes, "node").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
 
@@ -383,35 +411,45 @@ class _Search:
         # Then all pairs that this leaves apart; in hot segments, sets apart from the middle with all that are apart from them.
         named = materialize(classes.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("c")), "named")
         rest = _with_ends(pairs.filter("star = 0"), named, "c").filter("x <> y").select(*_PAIR_COLUMNS)
-        rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named))), "pairs")
+        rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named, nodes))), "pairs")
         if not rest.isEmpty():
             found = components(links.unionByName(self.linked(rest, classes, nodes)))
         return members, classes, found
 
-    def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame) -> DataFrame:
+    def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Pairs of hot segments that star pairs leave apart, as far as their long sketches, which go along, allow a link.
+
+        Segments of one middle are one group: most hold the same sets, whose pairs would be found in each of them.
+        """
         percent = self.percent
         # Only keys where a set is apart from the middle go on, so groups that link as a whole end here, as narrow rows.
         names = named.select(F.struct("s0", "s1").alias("s"), "c")
-        narrow = materialize(hot.select("key", F.struct("s0", "s1").alias("s")).join(names, "s"), "apart")
-        ends = materialize(middles.select("key", F.struct(F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).alias("s")).join(names, "s").select("key", F.col("c").alias("m_c")), "middle")
-        apart = skew_join(narrow, ends, "key", "s").withColumn("apart", (F.col("c") != F.col("m_c")).cast("int"))
-        counts = apart.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum("apart").alias("some")).filter("some > 0")
-        blocks = materialize(counts.select("key", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("all", "some")]).join(ends, "key"), "blocks")
-        kept = materialize(skew_join(hot.drop("n_hot"), blocks, "key", "s0").withColumn("s", F.struct("s0", "s1")), "hot")
-        rows = kept.join(names, "s").drop("s").withColumn("apart", F.col("c") != F.col("m_c"))
+        narrow = hot.select("key", F.struct("s0", "s1").alias("s"))
+        ends = middles.select("key", F.struct(F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).alias("s")).join(names, "s")
+        ends = materialize(ends.select("key", F.col("s").alias("m"), F.col("c").alias("m_c")), "middle")
+        apart = skew_join(materialize(narrow.join(names, "s"), "apart"), ends, "key", "s")
+        keys = materialize(apart.groupBy("key").agg(F.max(F.col("c") != F.col("m_c")).alias("some")).filter("some").select("key").join(ends, "key"), "keys")
+        groups = materialize(skew_join(narrow, keys, "key", "s").select("m", "m_c", "s").distinct().join(names, "s"), "groups")
+        groups = groups.withColumn("apart", F.col("c") != F.col("m_c"))
+        counts = groups.groupBy("m").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("int")).alias("some"))
+        blocks = materialize(counts.select("m", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("all", "some")]), "blocks")
+        about = nodes.select(F.struct("s0", "s1").alias("s"), *_SELF, "bits")
+        rows = skew_join(materialize(groups.select("m", "s", "c", "apart").join(about, "s"), "hot"), blocks, "m", "s")
         at = lambda n: F.pmod(F.xxhash64("s1", "s0"), F.col(n)).cast("int")
         # Block i of all rows meets block j of those apart.
         left = rows.select("*", at("all").alias("i"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("j")).withColumn("side", F.lit(0))
         right = rows.filter("apart").select("*", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("i"), at("some").alias("j")).withColumn("side", F.lit(1))
-        met = left.unionByName(right).select("key", "i", "j", "side", "c", *_SELF)
+        met = left.unionByName(right).select("m", "i", "j", "side", "c", "bits", *_SELF)
 
         def compare(rows: pd.DataFrame) -> pd.DataFrame:
             values, c, side = rows[_SELF].to_numpy(np.int64), rows.c.to_numpy(), rows.side.to_numpy()
             a, b = values[side == 0], values[side == 1]
+            bits = [rows.bits[side == k].tolist() for k in (0, 1)]
             i, j = np.nonzero(_may_link([x[:, None] for x in a.T], [x[None] for x in b.T], percent) & (c[side == 0][:, None] != c[side == 1][None]))
-            return pd.DataFrame(_ordered(a[i], b[j], 0), columns=_PAIR_COLUMNS)
+            near = sketches_near(*bits, a[:, 2], b[:, 2], i, j, percent)
+            return pd.DataFrame(_ordered(a[i[near]], b[j[near]], 0), columns=_PAIR_COLUMNS)
 
-        return met.groupBy("key", "i", "j").applyInPandas(compare, _PAIR)
+        return met.groupBy("m", "i", "j").applyInPandas(compare, _PAIR)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

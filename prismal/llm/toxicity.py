@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXTS, Scratch, materialize, slices, words
+from .common import TEXTS, Scratch, materialize, remembered, slices, words
 
 # General insults, threats and profanity, and words for "you", in four languages.
 INSULTS = """idiot idiots moron morons stupid dumb loser losers trash garbage scum worthless pathetic disgusting clown clowns fool fools
@@ -125,16 +125,9 @@ class Words(dict):
         return out
 
 
-#: Of the lexicon that a worker used last, by the model's name.
-_caches: dict[str, Words] = {}
-
-
 def features(text: str | None, lexicon: dict[str, float] | None = None, name: str = "") -> np.ndarray:
     """FEATURES of a text, by a lexicon whose words a worker remembers under its name."""
-    if name not in _caches:
-        _caches.clear()
-        _caches[name] = Words(lexicon or {})
-    return _caches[name].features(text)
+    return remembered(f"toxicity {name}", lambda: Words(lexicon or {})).features(text)
 
 
 class BoostedTrees:
