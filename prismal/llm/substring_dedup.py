@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, HOT_SHARE, TEXTS, WORD, Scratch, arrow_slices, bitmap, flagged, in_bitmap, materialize, run_hashes, salted_join, skew_join, slices, word_hashes, words
+from .common import HOT_ROWS, HOT_SHARE, TEXTS, Scratch, arrow_slices, bitmap, flagged, in_bitmap, materialize, run_hashes, salted_join, skew_join, slices, word_hashes, words
 
 #: Words of a window, and of an anchor in it. Anchors in more places than HOT are not kept together. Words of a shard's automaton.
 LENGTH, ANCHOR, HOT, SHARD_WORDS = 35, 12, 1000, 50_000
-_WORD = re.compile(WORD)
 
 
 class SuffixAutomaton:
@@ -50,7 +48,7 @@ class SuffixAutomaton:
         for word in sequence:
             old = following[last].get(word)
             if old is not None:
-                last = self._split(last, word, old)
+                last = old if length[old] == length[last] + 1 else self._split(last, word, old)
             else:
                 new = len(link)
                 following.append({})
@@ -69,8 +67,9 @@ class SuffixAutomaton:
 
     def finish(self) -> None:
         """Adds each state's count to the state of its longest shorter ending."""
-        for state in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            self.count[self.link[state]] += self.count[state]
+        count, link = self.count, self.link
+        for state in np.argsort(np.array(self.length))[:0:-1].tolist():  # but the first, which alone has length 0
+            count[link[state]] += count[state]
 
     def matching(self, sequence: list[int], length: int) -> list[tuple[int, int]]:
         """For each place: how many words before its end match, up to length, and how often those occur."""
@@ -92,6 +91,27 @@ class SuffixAutomaton:
             out.append((matched, count[state]))
         return out
 
+    def repeated(self, sequence: list[int], length: int) -> list[int]:
+        """The places of matching() where `length` words match that occur twice at least."""
+        following, link, lengths, count, out = self.next, self.link, self.length, self.count, []
+        state = matched = 0
+        for end, word in enumerate(sequence):
+            after = following[state].get(word)
+            while after is None and state:
+                state = link[state]
+                matched = lengths[state]
+                after = following[state].get(word)
+            if after is not None:
+                state = after
+                if matched < length:
+                    matched += 1
+                if matched == length:
+                    while lengths[link[state]] >= length:
+                        state = link[state]
+                    if count[state] > 1:
+                        out.append(end)
+        return out
+
 
 def anchors(hashes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """For each window of `length` words, where its anchor is: the run of `anchor` words with the least hash, leftmost. And the hashes of all runs.
@@ -101,11 +121,15 @@ def anchors(hashes: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR) -> t
     grams = run_hashes(hashes, anchor)
     if len(hashes) < length:
         return np.zeros(0, np.int64), grams
-    out = np.empty(len(hashes) - length + 1, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(grams, length - anchor + 1)
-    for at in range(0, len(out), 1 << 16):
-        out[at : at + (1 << 16)] = view[at : at + (1 << 16)].argmin(1) + np.arange(at, min(at + (1 << 16), len(out)))
-    return out, grams
+    # The least of 1, 2, 4 ... runs from each on, and where it is; of equal ones the left one.
+    least, at, runs, size = grams, np.arange(len(grams)), length - anchor + 1, 1
+    while size < runs:
+        step = min(size, runs - size)
+        right = least[step:] < least[:-step]
+        at = np.where(right, at[step:], at[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        size += step
+    return at, grams
 
 
 def _fragments(found: list[str], keys: np.ndarray, first: np.ndarray, chosen: np.ndarray, is_hot: np.ndarray) -> Iterator[tuple[int, int, str]]:
@@ -134,13 +158,12 @@ def repeated_windows(shard: list[tuple[bytes, str, int]]) -> Iterator[tuple[byte
     automaton.finish()
     for sequence, (fid, _, _) in zip(sequences, shard, strict=True):
         runs: list[dict[str, int]] = []
-        for end, (matched, n) in enumerate(automaton.matching(sequence, LENGTH)):
-            if matched == LENGTH and n > 1:
-                at = end - LENGTH + 1
-                if runs and runs[-1]["last"] == at - 1:
-                    runs[-1]["last"] = at
-                else:
-                    runs.append({"first": at, "last": at})
+        for end in automaton.repeated(sequence, LENGTH):
+            at = end - LENGTH + 1
+            if runs and runs[-1]["last"] == at - 1:
+                runs[-1]["last"] = at
+            else:
+                runs.append({"first": at, "last": at})
         if runs:
             yield fid, runs
 
@@ -267,14 +290,16 @@ def cut_spans(text: str, spans: list[dict[str, int]] | None, whole: bool = False
         return "", len(words(text))
     if spans is None or not len(spans):
         return text, 0
-    at = [m.span() for m in _WORD.finditer(text)]
+    raw = text.encode()  # no byte of a longer character is ASCII white space
+    signs = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(np.diff(((signs != 32) & ((signs < 9) | (signs > 13))).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
     gone = np.zeros(len(at) + 1, np.int32)
     for s in spans:
         gone[s["first"]] += 1
         gone[min(s["last"] + LENGTH, len(at))] -= 1
     keep = gone.cumsum()[:-1] == 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
-    return " ".join(text[at[a][0] : at[b - 1][1]] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((~keep).sum())
+    return " ".join(raw[at[a, 0] : at[b - 1, 1]].decode() for a, b in zip(edges[::2], edges[1::2], strict=True)), int((~keep).sum())
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from prismal.llm import common, jaccard_join
+from prismal.llm import common, jaccard_join, substring_dedup
 
 
 def test_a_worker_remembers_one_kind():
@@ -45,3 +45,15 @@ def test_pairs_left_apart_are_found_once(spark):
         found = search._apart(hot, middles, named, nodes).select("a0", "a1", "b0", "b1").collect()
     assert len({frozenset([(r.a0, r.a1), (r.b0, r.b1)]) for r in found}) == 3
     assert len(found) <= 4  # two sets apart from the middle meet from either side
+
+
+def test_repeated_places_of_an_automaton_and_cuts():
+    a = substring_dedup.SuffixAutomaton()
+    texts = [[1, 2, 3, 4, 1, 2, 3], [9, 2, 3, 4, 9], [5, 5, 5, 5]]
+    for t in texts:
+        a.add(t)
+    a.finish()
+    for t in texts:
+        assert a.repeated(t, 3) == [end for end, (matched, n) in enumerate(a.matching(t, 3)) if matched == 3 and n > 1]
+    text = "\xa0é " + " ".join(f"w{i}" for i in range(40)) + "\x0b\tz\x85z"
+    assert substring_dedup.cut_spans(text, [{"first": 1, "last": 2}]) == ("\xa0é w36 w37 w38 w39\x0b\tz\x85z", 36)
