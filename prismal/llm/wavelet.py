@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ from .word_bpe import default_path, encoder
 
 #: Ids in a shard; a longer document has a shard of its own. Bits of a plane that are compressed together. Appended id.
 SHARD_IDS, BLOCK_BITS, END_ID = 4_000_000, 1 << 18, 1
+#: Bytes of texts that are encoded together: the more, the fewer words are met again.
+BATCH_BYTES = 16 << 20
 _MAGIC, LEAST = b"PWM2", -(1 << 63)
+_SHARD = pa.schema([("uri", pa.string()), ("task", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -194,24 +198,24 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
     folder = folder or new_path(spark, "wavelet")
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end, task = encoder(path).encode, int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end, task = encoder(path).encode_all, int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         held: list[tuple[int, bytes]] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
             nulls = sum(d is None for d, _ in held)
             data = build(ids, np.array([LEAST if d is None else d for d, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64), nulls)
             uri = _store(folder, f"{task:06d}-{uuid.uuid4().hex}.pwm", data)
             # A shard that begins with null ids begins before every other one.
-            first = pd.array([held[0][0]], dtype="Int64")
-            return pd.DataFrame({"uri": [uri], "task": [task], "first_doc": first, "n_docs": [len(held)], "n_ids": [len(ids)]})
+            about = {"uri": uri, "task": task, "first_doc": held[0][0], "n_docs": len(held), "n_ids": len(ids)}
+            return pa.RecordBatch.from_pylist([about], _SHARD)
 
         for batch in batches:
-            for doc_id, none, text in zip(batch.doc_id, batch.none, batch.text, strict=True):
+            for doc_id, none, own in zip(batch.column("doc_id").to_pylist(), batch.column("none").to_pylist(), encode(batch.column("text"), BATCH_BYTES), strict=True):
                 doc_id = None if none else doc_id
-                ids = encode(text) + end
+                ids = own + end
                 if held and size + len(ids) // 4 > shard_ids:
                     yield flush()
                     held, size = [], 0
@@ -222,7 +226,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, path: str | None =
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("doc_id"), F.col("doc_id").isNotNull().alias("has_id"), F.col("doc_id").isNull().alias("none"), "text")
     ordered = rows.repartitionByRange("has_id", "doc_id").sortWithinPartitions("has_id", "doc_id", "text").select("doc_id", "none", "text")
-    shards = materialize(ordered.mapInPandas(run, "uri string, task int, first_doc long, n_docs long, n_ids long"), "shards")
+    shards = materialize(ordered.mapInArrow(run, "uri string, task int, first_doc long, n_docs long, n_ids long"), "shards")
     # Sums over tasks, of which there are as many as partitions, and then within each.
     tasks = shards.groupBy("task").agg(F.min(F.coalesce("first_doc", F.lit(LEAST))).alias("_first"), F.max(F.col("first_doc").isNull()).alias("_null"), F.sum("n_ids").alias("_ids"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -187,3 +188,12 @@ def test_reduction_keeps_the_optimum(sizes):
             placed.setdefault(r.sequence + k // r.each, []).append((r.offset + k % r.each * r.length, r.length))
     fits(placed, 20)
     assert sorted(x for rows in placed.values() for _, x in rows) == sorted(sizes)
+
+
+def test_words_with_added_tokens_and_batches_are_encoded_as_the_library_does(word_library, monkeypatch):
+    texts = ["a <|endoftext|>, b", "x<|startoftext|>y", None, "", " \t", "(Über) it's 12 \x85 é", "<|EndOfText|>", "word " * 50]
+    wanted = [word_library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(word_bpe, "BATCH_BYTES", size)
+        found = word_bpe.encoder(word_bpe.default_path()).encode_all(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == wanted
