@@ -13,10 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TEXTS, Scratch, arrow_slices, materialize
+from .common import Scratch, arrow_slices, materialize
 from .word_bpe import default_path, encoder
 
-CAPACITY, END_ID = 2048, 0
+#: Ids of a sequence, the id after a document, and documents that a Python worker is given at a time.
+CAPACITY, END_ID, TEXTS = 2048, 0, 2048
 
 
 @dataclass
@@ -154,12 +155,12 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, seen = encoder(path).encode, TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encode, task, seen = encoder(path).encode_all, TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = int(end_id).to_bytes(4, "little")
-        for batch in arrow_slices(batches):
+        for batch in arrow_slices(batches, TEXTS):
             rows, of = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text) + end
+            for i, own in enumerate(encode(batch.column("text"))):
+                ids = own + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     length = len(part) // 4
