@@ -17,6 +17,8 @@ from .common import TEXTS, Scratch, arrow_slices, bitmap, fold, forget, hot_rows
 SHINGLE, PERCENT = 3, 90
 #: A segment that more rows than this have is hot; rows of a block of a hot segment that are compared with another block.
 HOT, BLOCK_ROWS = 32, 512
+#: Lists over which a hot segment's sets are dealt.
+LISTS = 16
 #: A band's largest set is this many times its smallest. Bits of the short sketch, which is enough for sets of as many elements.
 BAND_RATIO, SHORT_BITS = 1.5, 256
 _SELF = ["s0", "s1", "n", "f0", "f1", "f2", "f3"]
@@ -398,9 +400,9 @@ class _Search:
         # First one set of each group with all of it: in hot segments the middle, the set with most hot segments.
         me, middle = F.struct("n_hot", *_SELF), [F.col(f"m.{c}").alias(f"m_{c}") for c in _SELF]
         middles = materialize(hot.groupBy("key").agg(F.max(me).alias("m")).select("key", *middle), "middles")
-        star = skew_join(hot, middles, "key", "s0")
+        groups = self._groups(hot, middles)
         bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"m_{c}"))) for c in _SELF[3:]), F.lit(0))
-        star = star.filter("s0 <> m_s0 or s1 <> m_s1").filter(F.lit(100) * F.least("n", "m_n") >= F.lit(percent) * F.greatest("n", "m_n"))
+        star = groups.filter("s0 <> m_s0 or s1 <> m_s1").filter(F.lit(100) * F.least("n", "m_n") >= F.lit(percent) * F.greatest("n", "m_n"))
         star = star.filter(bits <= F.floor((100 - percent) * (F.col("n") + F.col("m_n")) / (100 + percent)))
         swap = (F.col("s0") > F.col("m_s0")) | ((F.col("s0") == F.col("m_s0")) & (F.col("s1") > F.col("m_s1")))
         ends = [F.when(swap, F.col(f"m_{c}")).otherwise(F.col(c)).alias(f"a{c[1]}") for c in ("s0", "s1")] + [F.when(swap, F.col(c)).otherwise(F.col(f"m_{c}")).alias(f"b{c[1]}") for c in ("s0", "s1")]
@@ -411,30 +413,39 @@ class _Search:
         # Then all pairs that this leaves apart; in hot segments, sets apart from the middle with all that are apart from them.
         named = materialize(classes.join(found, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("c")), "named")
         rest = _with_ends(pairs.filter("star = 0"), named, "c").filter("x <> y").select(*_PAIR_COLUMNS)
-        rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named, nodes))), "pairs")
+        rest = materialize(_distinct_pairs(rest.unionByName(self._apart(hot, middles, named, nodes, groups))), "pairs")
         if not rest.isEmpty():
             found = components(links.unionByName(self.linked(rest, classes, nodes)))
         return members, classes, found
 
-    def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    def _groups(self, hot: DataFrame, middles: DataFrame) -> DataFrame:
+        """(m_*, *_SELF): a middle and each set that shares a hot segment of its own with it, itself included, once.
+
+        Most segments of a middle hold the same sets. A segment's sets meet the middle as LISTS lists at most, dealt by
+        their ids, so that the join has a few rows for a segment, and nothing after it a row for each segment of a set.
+        """
+        lists = hot.groupBy("key", F.pmod(F.xxhash64("s0"), F.lit(LISTS)).cast("int").alias("list")).agg(F.collect_list(F.struct(*_SELF)).alias("sets"))
+        ends = middles.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(LISTS - 1))))
+        met = lists.join(ends, ["key", "list"]).select(*[f"m_{c}" for c in _SELF], F.explode("sets").alias("s"))
+        return materialize(met.select(*[f"m_{c}" for c in _SELF], "s.*").distinct(), "groups")
+
+    def _apart(self, hot: DataFrame, middles: DataFrame, named: DataFrame, nodes: DataFrame, groups: DataFrame | None = None) -> DataFrame:
         """Pairs of hot segments that star pairs leave apart, as far as their long sketches, which go along, allow a link.
 
-        Segments of one middle are one group: most hold the same sets, whose pairs would be found in each of them.
+        Segments of one middle are one group, see _groups(): most hold the same sets, whose pairs would be found in each of them.
         """
-        percent = self.percent
-        # Only keys where a set is apart from the middle go on, so groups that link as a whole end here, as narrow rows.
-        names = named.select(F.struct("s0", "s1").alias("s"), "c")
-        narrow = hot.select("key", F.struct("s0", "s1").alias("s"))
-        ends = middles.select("key", F.struct(F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1")).alias("s")).join(names, "s")
-        ends = materialize(ends.select("key", F.col("s").alias("m"), F.col("c").alias("m_c")), "middle")
-        apart = skew_join(materialize(narrow.join(names, "s"), "apart"), ends, "key", "s")
-        keys = materialize(apart.groupBy("key").agg(F.max(F.col("c") != F.col("m_c")).alias("some")).filter("some").select("key").join(ends, "key"), "keys")
-        groups = materialize(skew_join(narrow, keys, "key", "s").select("m", "m_c", "s").distinct().join(names, "s"), "groups")
-        groups = groups.withColumn("apart", F.col("c") != F.col("m_c"))
-        counts = groups.groupBy("m").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("int")).alias("some"))
+        percent, groups = self.percent, self._groups(hot, middles) if groups is None else groups
+        names, middle = named.select(F.struct("s0", "s1").alias("s"), "c"), F.struct(F.col("m_s0").alias("s0"), F.col("m_s1").alias("s1"))
+        ends = materialize(middles.select(middle.alias("s")).distinct().join(names, "s").select(F.col("s").alias("m"), F.col("c").alias("m_c")), "middle")
+        groups = materialize(groups.select(middle.alias("m"), F.struct("s0", "s1").alias("s")).join(names, "s"), "groups")
+        hot_middles = hot_rows(groups, "m")
+        groups = salted_join(groups, ends, "m", "s", hot_middles).withColumn("apart", F.col("c") != F.col("m_c"))
+        groups = materialize(groups.select("m", "s", "c", "apart"), "apart")
+        # Only groups where a set is apart from the middle go on, so those that link as a whole end here, as narrow rows.
+        counts = groups.groupBy("m").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("apart").cast("int")).alias("some")).filter("some > 0")
         blocks = materialize(counts.select("m", *[F.ceil(F.col(c) / BLOCK_ROWS).cast("int").alias(c) for c in ("all", "some")]), "blocks")
         about = nodes.select(F.struct("s0", "s1").alias("s"), *_SELF, "bits")
-        rows = skew_join(materialize(groups.select("m", "s", "c", "apart").join(about, "s"), "hot"), blocks, "m", "s")
+        rows = materialize(salted_join(groups, blocks, "m", "s", hot_middles).join(about, "s"), "hot")
         at = lambda n: F.pmod(F.xxhash64("s1", "s0"), F.col(n)).cast("int")
         # Block i of all rows meets block j of those apart.
         left = rows.select("*", at("all").alias("i"), F.explode(F.sequence(F.lit(0), F.col("some") - 1)).alias("j")).withColumn("side", F.lit(0))

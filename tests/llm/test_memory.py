@@ -57,3 +57,42 @@ def test_repeated_places_of_an_automaton_and_cuts():
         assert a.repeated(t, 3) == [end for end, (matched, n) in enumerate(a.matching(t, 3)) if matched == 3 and n > 1]
     text = "\xa0é " + " ".join(f"w{i}" for i in range(40)) + "\x0b\tz\x85z"
     assert substring_dedup.cut_spans(text, [{"first": 1, "last": 2}]) == ("\xa0é w36 w37 w38 w39\x0b\tz\x85z", 36)
+
+
+def rows_of_joins(spark, run):
+    """What run() returns, and the most rows that a join of it made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    executions = lambda: {(x := store.executionsList().apply(k)).executionId() for k in range(store.executionsList().size())}
+    before, out, most = executions(), run(), 0
+    bus.waitUntilEmpty()
+    for k in executions() - before:
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            for metric in (node.metrics().apply(m) for m in range(node.metrics().size())):
+                if "Join" in node.name() and metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_joins_of_a_group_make_no_row_for_each_segment(spark):
+    """200 sets share 30 hot segments: joins make a few rows for a segment and one for a set, and find all pairs left apart."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 60, 150).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[3 * (k % 8) :], rng.integers(0, 1 << 60, 2 + 3 * (k % 8)).astype(np.uint64)])) for k in range(200)]
+    rows = [(*jaccard_join.set_id(s), len(s), *jaccard_join._fold_sketch(s), jaccard_join.long_sketch(s).tobytes()) for s in sets]
+    nodes = spark.createDataFrame(pd.DataFrame(rows, columns=[*jaccard_join._SELF, "bits"]))
+    hot = nodes.drop("bits").crossJoin(spark.range(30).withColumnRenamed("id", "key")).selectExpr("key", *jaccard_join._SELF, "1L n_hot")
+    middles = spark.createDataFrame([(k, *rows[0][:-1]) for k in range(30)], "key long, " + ", ".join(f"m_{c} long" for c in jaccard_join._SELF))
+    label = [0 if k % 8 < 5 else k for k in range(200)]  # those that differ more from the middle are apart from it
+    named = spark.createDataFrame([(r[0], r[1], c) for r, c in zip(rows, label, strict=True)], "s0 long, s1 long, c long")
+    columns = list(np.array([r[:-1] for r in rows]).T)
+    may = jaccard_join._may_link([x[:, None] for x in columns], [x[None] for x in columns], 80)
+    wanted = {frozenset([rows[i][:2], rows[j][:2]]) for i, j in zip(*np.nonzero(may), strict=True) if label[i] != label[j]}
+    with common.Scratch() as scratch:
+        # Written first, so that the rows are those of the search alone.
+        hot, nodes = common.materialize(hot, "hot"), common.materialize(nodes, "nodes")
+        search = jaccard_join._Search(spark.createDataFrame([], "doc_id long, text string"), 5, 80, scratch)
+        found, most = rows_of_joins(spark, lambda: search._apart(hot, middles, named, nodes).select("a0", "a1", "b0", "b1").collect())
+    assert {frozenset([(r.a0, r.a1), (r.b0, r.b1)]) for r in found} == wanted and wanted
+    assert 200 <= most <= 30 * 16 + 200 < 30 * 200
