@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 
 from .. import config
 from ..operators.dataset import FDataset
+from . import tables
 from .arrays import opened
 from .sections import Range, parse, spell, whole, with_stride
 
@@ -108,6 +110,11 @@ class NetcdfSource(DataSource):
 
 def image(spark: SparkSession, uri: str, stride: tuple[int, ...] | None = None, names: tuple[str, ...] = ("iy", "ix"), value: str = "radiance", section: str = "") -> FDataset:
     """Index coordinates -> value of a section of one variable; the section is that given, or the uri's, or all."""
+    file, variable, _ = parse_uri(uri)
+    if file.endswith(tables.SUFFIX):
+        named = f"{file}!/{variable}#({section.strip('()')})" if section else uri
+        one = FDataset(spark.createDataFrame([(0, named)], "_image int, _uri_of string"), ["_image"], ["_uri_of"])
+        return FDataset(read_granules(one, names, value, stride=stride).df.drop("_image"), list(names), [value], "image")
     spark.dataSource.register(NetcdfSource)
     reader = spark.read.format("prismal_netcdf").schema(", ".join([f"{n} int" for n in names] + [f"{value} double"])).option("cache", config.get(spark, "file.cache.dir"))
     if stride:
@@ -122,12 +129,25 @@ def read_granules(granules: FDataset, names: tuple[str, ...], value: str = "radi
 
     The uri is `file!/variable#(section)`; a section given counts for uris without one, and none for all of an array. Shapes
     are looked up by the tasks, which cut each array into pieces; these are dealt out and read, one a task at a time.
+    Columns of Parquet tables are scanned by Spark, for which the list's uris are looked at here; rows are the first dimension.
     With coordinates, a dimension has the values of its 1-D variable, if the file has one of that name. A uri that can't
     be opened is an error.
     """
     spark, keys, uri = granules.df.sparkSession, granules.domain, granules.range[0]
     if dict(granules.df.dtypes)[uri] != "string":
         raise ValueError(f"{uri} is no text")
+    file = F.split(F.col(uri), "!/", 2)[0]
+    of_tables = [r[0] for r in granules.df.select(F.when(file.endswith(tables.SUFFIX), F.col(uri)).alias("u")).distinct().collect()]
+    if any(of_tables):
+        columns: dict[tuple[str, str], dict[str, list[Range] | None]] = {}
+        for u in sorted(filter(None, of_tables)):
+            path, own, cut = parse_uri(u)
+            columns.setdefault((path, own or variable), {})[u] = cut or (parse(section.strip("()")) if section else None)
+        found = [tables.read(granules.df, keys, uri, *of, cuts, stride, names, value, coordinates) for of, cuts in columns.items()]
+        if None in of_tables:
+            rest = granules.filter(~F.coalesce(file.endswith(tables.SUFFIX), F.lit(False)))
+            found.append(read_granules(rest, names, value, variable, section, stride, coordinates).df)
+        return FDataset(reduce(DataFrame.unionByName, found), [*keys, *names], [value], granules.id)
     cache, wanted = config.get(spark, "file.cache.dir"), len(names)
     key_fields = [granules.df.schema[k] for k in keys]
 
