@@ -31,11 +31,14 @@ def geostationary(spark: SparkSession, images: FDataset | None = None, variable:
     return cube.cached() if cache else cube
 
 
-def swath(spark: SparkSession, bands: FDataset, geolocation: FDataset | str = "", names: tuple[str, ...] = ("ix", "iy"), cache: bool = True) -> FDataset:
-    """(band, longitude, latitude) -> radiance of a list of sections, band -> uri; pixels are replaced by their places."""
+def swath(spark: SparkSession, bands: FDataset, geolocation: FDataset | str = "", names: tuple[str, ...] = ("ix", "iy"), cache: bool = True, coordinates: bool = False) -> FDataset:
+    """(band, longitude, latitude) -> radiance of a list of sections, band -> uri; pixels are replaced by their places.
+
+    With coordinates, pixels are told by the values of their coordinates' variables, not by their indices.
+    """
     table = geolocation or config.get(spark, "swath.geolocation")
     table = table if isinstance(table, FDataset) else netcdf.geolocation(spark, table)
-    cube = netcdf.read_granules(bands, names).substitute(table).rename("swath")
+    cube = netcdf.read_granules(bands, names, coordinates=coordinates).substitute(table).rename("swath")
     return cube.cached() if cache else cube
 
 

@@ -40,3 +40,8 @@ def test_columns_of_tables_are_cut_like_arrays(spark, tmp_path):
     for bad in (f"{folder}!/w", f"{tmp_path}/none.parquet!/v", f"{folder}!/v#(0:1:1)"):
         with pytest.raises(ValueError):
             netcdf.image(spark, bad, names=("i",))
+
+
+@pytest.mark.parametrize("ids", [range(57), [3], [900, 5, 41]])
+def test_swath_of_a_folder(spark, tmp_path, ids):
+    check(spark, vectors(spark, tmp_path, ids), tmp_path, "swath_reader")
