@@ -62,16 +62,31 @@ def levels(ds: FDataset, stretch: float | None = 0.03) -> DataFrame:
     return full.select(*ds.domain, *[im.to_level(F.col(c), F.col(f"_{c}_low"), F.col(f"_{c}_high")).alias(n) for c, n in zip(ds.range, "rgb", strict=True)])
 
 
+def _placed(rows, domain: list[str], values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct coordinates of a pandas frame's samples, and an image of these with the samples' bytes in their places; missing pixels are black."""
+    (first, i), (second, j) = (np.unique(rows[c].to_numpy(), return_inverse=True) for c in domain)
+    data = np.zeros((len(first), len(second), values.shape[1]), np.uint8)
+    data[i, j] = values
+    return first, second, data
+
+
+def packed(ds: FDataset) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both coordinates' values, and first x second x 3 bytes of (a, b) -> packed colour."""
+    a, b = ds.domain
+    _size(ds)
+    rows = ds.df.select(a, b, F.coalesce(F.col(ds.range[0]), F.lit(0)).alias("c")).dropna(subset=[a, b]).toPandas()
+    c = rows.c.to_numpy(np.int64) & 0xFFFFFFFF
+    return _placed(rows, [a, b], np.stack([c >> 16 & 255, c >> 8 & 255, c & 255], 1).astype(np.uint8))
+
+
 def pixels(ds: FDataset) -> np.ndarray:
     """rows x columns x 3 bytes: x from left to right, y from the top down. A single range column is a packed colour, in sample order."""
     if ds.arity != 2 or len(ds.range) not in (1, 3):
         raise ValueError("an image is (a, b) -> colour or (a, b) -> (r, g, b)")
     a, b = ds.domain
-    width, height = _size(ds)
     if len(ds.range) == 1:
-        rows = ds.df.select(a, b, F.col(ds.range[0]).alias("c")).toPandas().sort_values([a, b], kind="stable")
-        c = rows.c.to_numpy(np.int64) & 0xFFFFFFFF
-        return np.stack([c >> 16 & 255, c >> 8 & 255, c & 255], 1).astype(np.uint8).reshape(width, height, 3)
+        return packed(ds)[2]
+    width, height = _size(ds)
     rows = levels(ds).toPandas().sort_values([b, a], ascending=[False, True])
     return rows[["r", "g", "b"]].to_numpy().astype(np.uint8).reshape(height, width, 3)
 
@@ -199,15 +214,15 @@ def geo_extent(ds: FDataset) -> DataFrame:
 
 
 def geotiff(ds: FDataset) -> bytes:
-    """(lat, lon) -> (r, g, b) bytes in geographic coordinates, north up, uncompressed."""
+    """(lat, lon) -> (r, g, b) bytes in geographic coordinates, north up, uncompressed; missing pixels are black."""
     about = geo_extent(ds).first()
     if about["rows"] * about["cols"] < 2 or about["dx"] is None:
         raise ValueError("two samples at least")
     if about["rows"] * about["cols"] > MAX_PIXELS:
         raise ValueError(f"{MAX_PIXELS} pixels are the most")
     lat, lon = ds.domain
-    rows = ds.df.select(lat, lon, *ds.range).toPandas().sort_values([lat, lon], ascending=[False, True])
-    data = (rows[ds.range].to_numpy().astype(np.int64) & 255).astype(np.uint8).tobytes()
+    rows = ds.df.select(lat, lon, *ds.range).dropna(subset=[lat, lon]).toPandas()
+    data = _placed(rows, [lat, lon], (rows[ds.range].to_numpy().astype(np.int64) & 255).astype(np.uint8))[2][::-1].tobytes()
     h, w = about["rows"], about["cols"]
     keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, 4326)
     scale, tie = struct.pack("<3d", about["dx"], about["dy"], 0.0), struct.pack("<6d", 0, 0, 0, about["min_lon"], about["max_lat"], 0)

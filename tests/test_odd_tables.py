@@ -4,7 +4,8 @@ import duckdb
 import oracle
 import pytest
 
-from prismal import workloads
+from prismal import FDataset, workloads
+from prismal.sinks import image as image_sink
 from prismal.sources import granules, netcdf
 
 
@@ -45,3 +46,15 @@ def test_columns_of_tables_are_cut_like_arrays(spark, tmp_path):
 @pytest.mark.parametrize("ids", [range(57), [3], [900, 5, 41]])
 def test_swath_of_a_folder(spark, tmp_path, ids):
     check(spark, vectors(spark, tmp_path, ids), tmp_path, "swath_reader")
+
+
+@pytest.mark.parametrize("ids", [range(57), [900, 5, 41]])
+def test_packed_image_lacks_pixels(spark, tmp_path, ids):
+    check(spark, vectors(spark, tmp_path, ids), tmp_path, "packed_pixels")
+
+
+def test_missing_pixels_are_black(spark):
+    colours = FDataset(spark.createDataFrame([(0, 0, -65536), (2, 0, None), (2, 5, -1), (None, 5, -1)], "a int, b int, c int"), ["a", "b"], ["c"])
+    assert image_sink.pixels(colours).tolist() == [[[255, 0, 0], [0, 0, 0]], [[0, 0, 0], [255, 255, 255]]]
+    corners = FDataset(spark.createDataFrame([(40.0, 7.0, 1, 2, 3), (41.0, 8.0, 4, 5, 6), (40.0, 8.0, 7, 8, 9)], "lat double, lon double, r int, g int, b int"), ["lat", "lon"], ["r", "g", "b"])
+    assert image_sink.geotiff(corners)[-12:] == bytes([0, 0, 0, 4, 5, 6, 1, 2, 3, 7, 8, 9])
