@@ -51,9 +51,12 @@ def tiles(ds: FDataset, size: int = 1024) -> DataFrame:
     return keyed.groupBy("tile_x", "tile_y").applyInPandas(draw, "tile_x long, tile_y long, png binary")
 
 
-def levels(ds: FDataset, stretch: float | None = 0.03) -> DataFrame:
-    """(x, y, r, g, b) in 0..255: each channel by a percentile stretch, or by its least and largest value; then as levels of 0..1."""
-    full = grid(ds)
+def levels(ds: FDataset, stretch: float | None = 0.03, whole: bool = True) -> DataFrame:
+    """(x, y, r, g, b) in 0..255: each channel by a percentile stretch, or by its least and largest value; then as levels of 0..1.
+
+    Of every pixel of the image, as grid() gives them; or, unless it is to be whole, of the samples alone, of which there may be any number.
+    """
+    full = grid(ds) if whole else ds.df.select(*ds.domain, *[F.coalesce(im.clean(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in ds.range])
     if stretch is not None:
         full = im.with_stretch(full, ds.range, stretch)
         return full.select(*ds.domain, *[im.to_level(F.col(c), 0.0, 1.0).alias(n) for c, n in zip(ds.range, "rgb", strict=True)])

@@ -58,3 +58,8 @@ def test_missing_pixels_are_black(spark):
     assert image_sink.pixels(colours).tolist() == [[[255, 0, 0], [0, 0, 0]], [[0, 0, 0], [255, 255, 255]]]
     corners = FDataset(spark.createDataFrame([(40.0, 7.0, 1, 2, 3), (41.0, 8.0, 4, 5, 6), (40.0, 8.0, 7, 8, 9)], "lat double, lon double, r int, g int, b int"), ["lat", "lon"], ["r", "g", "b"])
     assert image_sink.geotiff(corners)[-12:] == bytes([0, 0, 0, 4, 5, 6, 1, 2, 3, 7, 8, 9])
+
+
+@pytest.mark.parametrize("ids", [range(57), [900, 5, 41]])
+def test_levels_of_an_image_that_lacks_pixels(spark, tmp_path, ids):
+    check(spark, vectors(spark, tmp_path, ids), tmp_path, "image_levels")
