@@ -346,11 +346,11 @@ class FDataset:
 
     # Gridding
 
-    def group_by_bin(self, grid: BinGrid, aggs: dict[str, Column] | None = None, by: list[str] | None = None, keep: list[str] | None = None) -> FDataset:
+    def group_by_bin(self, grid: BinGrid, aggs: dict[str, Column] | None = None, by: list[str] | None = None, keep: list[str] | None = None, first: Column | None = None) -> FDataset:
         """Samples by bin, one shuffle with partial sums; those outside are dropped before it. Keys are the nodes.
 
         by: the binned coordinates, by default the last ones; other coordinates in keep stay keys. Without aggs the
-        first sample of a bin, by its coordinates and then its range, counts.
+        first sample of a bin counts: by the order `first` if given, then its coordinates and its range.
         """
         by = by or self.domain[-len(grid.axes) :]
         keep = keep if keep is not None else [c for c in self.domain if c not in by]
@@ -358,7 +358,7 @@ class FDataset:
         for axis, c in zip(grid.axes, by, strict=True):
             binned = binned.withColumn(f"_bin_{c}", axis.index(c))
         binned = binned.filter(reduce(lambda a, b: a & b, [F.col(f"_bin_{c}").isNotNull() for c in by]))
-        order = F.struct(*by, *[F.col(c) for c in self.range])
+        order = F.struct(*([] if first is None else [first.alias("_first")]), *by, *[F.col(c) for c in self.range])
         aggs = aggs or {c: F.min_by(F.col(c), order) for c in self.range}
         found = binned.groupBy(*keep, *[f"_bin_{c}" for c in by]).agg(*[a.alias(n) for n, a in aggs.items()])
         nodes = [axis.node(F.col(f"_bin_{c}")).alias(c) for axis, c in zip(grid.axes, by, strict=True)]
@@ -377,18 +377,18 @@ class FDataset:
     def resample(self, grid: BinGrid) -> FDataset:
         return self.uncurry().group_by_bin(grid) if self.nested is None else self._resample_curried(grid)
 
-    def _resample_curried(self, grid: BinGrid) -> FDataset:
+    def _resample_curried(self, grid: BinGrid, first: Column | None = None) -> FDataset:
         """Whole nested functions go to the bins of the outer coordinates."""
         column = self.nested.column
         as_range = FDataset(self.df, self.domain, [column], self.id)
-        return replace(as_range.group_by_bin(grid), nested=self.nested, range=[])
+        return replace(as_range.group_by_bin(grid, first=first), nested=self.nested, range=[])
 
     def resample_range(self, grid: BinGrid) -> FDataset:
         """Each nested function is resampled: its outer coordinates join the key of the group."""
         return self.uncurry().group_by_bin(grid)
 
-    def geo_subset(self, low: tuple[float, float], high: tuple[float, float], count: int, transform: Transform | FDataset | None = None) -> FDataset:
-        """Resampled on a longitude-latitude grid of about `count` cells; the first sample of a cell counts.
+    def geo_subset(self, low: tuple[float, float], high: tuple[float, float], count: int, transform: Transform | FDataset | None = None, first: Column | None = None) -> FDataset:
+        """Resampled on a longitude-latitude grid of about `count` cells; the first sample of a cell counts, by the order `first` of the new coordinates if given.
 
         Datasets of more than two coordinates are curried, so that whole spectra go to their cells. Unless the first
         coordinate is a longitude, the first two are replaced: by `transform`, a formula or a table of a swath's
@@ -399,7 +399,7 @@ class FDataset:
             found = transform if transform is not None else transform_for(ds.id, ds.domain[0])
             ds = ds.substitute(found) if isinstance(found, FDataset) else ds.transformed(found)
         grid = BinGrid.from_extents(low, high, count)
-        return ds.group_by_bin(grid, by=ds.domain[:2]) if ds.nested is None else ds._resample_curried(grid)
+        return ds.group_by_bin(grid, by=ds.domain[:2], first=first) if ds.nested is None else ds._resample_curried(grid, first)
 
     def bounding_box(self, low: tuple[float, float], high: tuple[float, float], shape: int | tuple[int, int]) -> FDataset:
         grid = BinGrid.from_extents(low, high, shape) if isinstance(shape, int) else BinGrid.of_shape(low, high, shape)

@@ -63,3 +63,7 @@ def test_missing_pixels_are_black(spark):
 @pytest.mark.parametrize("ids", [range(57), [900, 5, 41]])
 def test_levels_of_an_image_that_lacks_pixels(spark, tmp_path, ids):
     check(spark, vectors(spark, tmp_path, ids), tmp_path, "image_levels")
+
+
+def test_first_of_a_cell_beyond_a_turn(spark, tmp_path):
+    check(spark, vectors(spark, tmp_path, [*range(300), *range(75640, 75660)]), tmp_path, "geo_subset")
