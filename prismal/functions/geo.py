@@ -78,8 +78,14 @@ def geo_to_index(lat, lon, scale: float = 1.0) -> tuple[Column, Column]:
     return F.when(seen, row), F.when(seen, col)
 
 
+def in_turn_of(angle, near) -> Column:
+    """The angle, by whole turns, that is nearest to another one. A place on the globe doesn't tell how often a view's angles went round."""
+    angle, near = _c(angle), _c(near)
+    return angle + F.rint((near - angle) / (2 * math.pi)) * (2 * math.pi)
+
+
 def geo_to_grid(lon, lat) -> tuple[Column, Column]:
-    """Fixed-grid angles (x, y), null where the place isn't visible."""
+    """Fixed-grid angles (x, y) of less than a turn, null where the place isn't visible."""
     sx, sy, sz = view_from_lat_lon(lat, lon)
     seen = is_visible(lat, lon)
     return F.when(seen, F.asin(-sy / F.sqrt(sx * sx + sy * sy + sz * sz))), F.when(seen, F.atan(sz / sx))

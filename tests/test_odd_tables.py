@@ -71,3 +71,7 @@ def test_first_of_a_cell_beyond_a_turn(spark, tmp_path):
 
 def test_spectrum_of_a_cell_beyond_a_turn(spark, tmp_path):
     check(spark, vectors(spark, tmp_path, [*range(300), *range(75640, 75660)]), tmp_path, "geo_subset_spectra")
+
+
+def test_angles_keep_their_turn(spark, tmp_path):
+    check(spark, vectors(spark, tmp_path, [*range(300), *range(50900, 51000), 150580]), tmp_path, "transform_pair")
