@@ -41,6 +41,7 @@ class FDataset:
     range: list[str]
     id: str = ""
     nested: Nested | None = field(default=None)
+    dropped: tuple[DataFrame, DataFrame, int] | None = field(default=None, repr=False, compare=False)
 
     def __post_init__(self):
         nested = [self.nested.column] if self.nested else []
@@ -114,11 +115,37 @@ class FDataset:
         kept = [c for c in self.range if c in names]
         return replace(self, df=self.df.select(*self.domain, *kept), range=kept, nested=None)
 
+    def _order(self) -> list[str] | None:
+        """All columns, coordinates first: an order in which only copies are alike. None if there are columns without an order."""
+        rest = [c for c in self.df.columns if c not in self.domain]
+        return None if any("map<" in kind or "variant" in kind or "interval" == kind for _, kind in self.df.dtypes) else [*self.domain, *rest]
+
+    def _undropped(self) -> tuple[DataFrame, int]:
+        """What drop() was called on, and how many it dropped, if no other step came since."""
+        return self.dropped[1:] if self.dropped and self.dropped[0] is self.df else (self.df, 0)
+
     def take(self, n: int) -> FDataset:
-        return self._with(self.df.orderBy(*self.domain).limit(n))
+        """The first n samples: each task keeps as many (after drop(), those dropped as well), and so does the one that joins theirs."""
+        df, gone = self._undropped()
+        return self._with(df.orderBy(*(self._order() or self.domain)).offset(gone).limit(n))
 
     def drop(self, n: int) -> FDataset:
-        return self._with(self.df.orderBy(*self.domain).offset(n))
+        """All but the first n samples, in no order: a filter by the last of those, which are found as in take(). No task sees all samples."""
+        if n <= 0:
+            return self
+        (df, gone), order = self._undropped(), self._order()
+        if order is None:
+            return self._with(self.df.orderBy(*self.domain).offset(n))
+        key, columns = F.struct(*[F.col(f"`{c}`") for c in order]), df.columns
+        head = df.select(key.alias("_key")).orderBy("_key").limit(gone + n)
+        edge = head.groupBy(F.col("_key").alias("_edge")).agg(F.count(F.lit(1)).alias("_gone")).orderBy(F.desc("_edge")).limit(1)
+        met = df.select(key.alias("_key")).crossJoin(F.broadcast(edge))  # one row
+        fields = [F.col("_key")[c].alias(c) for c in columns]
+        # Copies of the last one that stay: counted, and made again.
+        copies = met.filter(F.col("_key") == F.col("_edge")).groupBy("_edge", "_gone").agg(F.count(F.lit(1)).alias("_all")).select(F.col("_edge").alias("_key"), (F.col("_all") - F.col("_gone")).alias("_left")).filter("_left > 0")
+        copies = copies.select("_key", "_left", F.explode(F.expr("sequence(0L, (_left - 1) div 65536)")).alias("_block")).select("_key", F.explode(F.expr("sequence(1L, least(65536L, _left - 65536 * _block))")))
+        left = met.filter(F.col("_key") > F.col("_edge")).select(*fields).unionByName(copies.select(*fields))
+        return self._with(left, dropped=(left, df, gone + n))
 
     def first(self) -> FDataset:
         return self.take(1)

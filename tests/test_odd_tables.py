@@ -75,3 +75,18 @@ def test_spectrum_of_a_cell_beyond_a_turn(spark, tmp_path):
 
 def test_angles_keep_their_turn(spark, tmp_path):
     check(spark, vectors(spark, tmp_path, [*range(300), *range(50900, 51000), 150580]), tmp_path, "transform_pair")
+
+
+def test_no_task_sees_all_that_drop_leaves(spark):
+    rows = [(i % 7, None if i % 3 == 0 else float(i % 3)) for i in range(100)]
+    ds = FDataset(spark.createDataFrame(rows, "k long, v double").repartition(5), ["k"], ["v"])
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0.0))
+    for n in (0, 1, 8, 20, 99, 100, 150):
+        assert sorted(map(repr, map(tuple, ds.drop(n).df.collect()))) == sorted(map(repr, ordered[n:]))
+        assert [tuple(r) for r in ds.drop(n).take(9).df.collect()] == ordered[n : n + 9]
+    assert [tuple(r) for r in ds.drop(3).drop(4).take(2).df.collect()] == ordered[7:9]
+    assert [r.k for r in ds.drop(20).filter("k > 3").take(2).df.collect()] == [4, 4]
+    for left in (ds.drop(10), ds.drop(10).take(20)):
+        left.df.collect()
+        plan = left.df._jdf.queryExecution().executedPlan().toString()
+        assert "GlobalLimit" not in plan and "Exchange SinglePartition" not in plan.replace("Exchange SinglePartition, EXECUTOR_BROADCAST", "")
